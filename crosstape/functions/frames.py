@@ -27,3 +27,13 @@ def full(expr: Column, n: int) -> Column:
 
 def lag(name: str, k: int) -> Column:
     return F.lag(name, k).over(series())
+
+
+def let(values: dict[str, Column], body) -> Column:
+    """Evaluate each named value once and hand them to ``body``.
+
+    A window expression mentioned twice in a formula would be computed twice;
+    bound here it is computed once.
+    """
+    cell = F.struct(*[v.alias(k) for k, v in values.items()])
+    return F.get(F.transform(F.array(cell), lambda x: body(*[x[k] for k in values])), F.lit(0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import full, lag, series, trailing
+from .frames import full, lag, let, series, trailing
 
 RS_LOOKBACKS = (20, 60, 125, 250)
 # Bars per block of the recurrence scan. 64 keeps (1-a)**-64 far from overflow
@@ -26,11 +26,9 @@ def rolling_min(name: str, n: int) -> Column:
 
 
 def true_range() -> Column:
-    prev = lag("close", 1)
     span = F.col("high") - F.col("low")
-    return F.when(prev.isNull(), span).otherwise(
-        F.greatest(span, F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))
-    )
+    # greatest() skips NULL, which leaves the plain range on the first bar.
+    return let({"prev": lag("close", 1)}, lambda prev: F.greatest(span, F.abs(F.col("high") - prev), F.abs(F.col("low") - prev)))
 
 
 def zscore(name: str, n: int) -> Column:
@@ -63,16 +61,24 @@ def positive_mean(name: str, n: int) -> Column:
     return F.round(F.avg(F.when(F.col(name) > 0, F.col(name))).over(trailing(-(n - 1))), 9)
 
 
-def median_of(values: Column) -> Column:
-    """Median of a small sorted-on-the-fly array column (bounded window contents)."""
-    s = F.sort_array(values)
-    k = F.size(s)
-    return F.when(
-        k > 0,
-        F.when(k % 2 == 1, F.element_at(s, F.floor(k / 2).cast("int") + 1)).otherwise(
-            (F.try_element_at(s, F.floor(k / 2).cast("int")) + F.try_element_at(s, F.floor(k / 2).cast("int") + 1)) / 2
-        ),
-    )
+def median_of(v: str) -> Column:
+    """Median of a sorted array column (bounded window contents), NULL when empty."""
+    k = F.size(v)
+    half = F.floor(k / 2).cast("int")
+    upper = F.get(v, half)
+    return F.when(k > 0, F.when(k % 2 == 1, upper).otherwise((F.get(v, half - 1) + upper) / 2))
+
+
+def with_positive_median(df: DataFrame, name: str, n: int, out: str, count: str | None = None) -> DataFrame:
+    """Median (and count) of the positive values among the last n bars.
+
+    The window contents are sorted in one projection and read in the next: an
+    expensive value used several times is not inlined.
+    """
+    df = df.withColumn("_v", F.sort_array(positive_list(name, n)))
+    if count:
+        df = df.withColumn(count, F.size("_v"))
+    return df.withColumn(out, median_of("_v")).drop("_v")
 
 
 def positive_list(name: str, n: int) -> Column:
@@ -82,8 +88,7 @@ def positive_list(name: str, n: int) -> Column:
 
 def high_gap_pct(n: int = 126) -> Column:
     """Percent below the highest high of the last n bars (0 = at the high)."""
-    top = F.max("high").over(trailing(-(n - 1)))
-    return (top - F.col("close")) / top * 100
+    return let({"top": F.max("high").over(trailing(-(n - 1)))}, lambda top: (top - F.col("close")) / top * 100)
 
 
 def daily_vol_pct(ret: str = "ret1") -> Column:
@@ -146,15 +151,11 @@ def with_features(bars: DataFrame) -> DataFrame:
     Lazy and wide on purpose: column pruning drops the windows a query does not read.
     """
     return (
-        bars.withColumn("ret1", bar_return(1))
+        with_positive_median(with_positive_median(bars, "turnover", 251, "size_med", "size_n"), "turnover", 61, "liq")
+        .withColumn("ret1", bar_return(1))
         .withColumn("rs_raw", bar_return(125))
         .withColumn("ret63", bar_return(63))
         .withColumn("deliv_mean", positive_mean("deliv_pct", 61))
-        .withColumn("liq", median_of(positive_list("turnover", 61)))
-        .withColumn("_t251", positive_list("turnover", 251))
-        .withColumn("size_n", F.size("_t251"))
-        .withColumn("size_med", median_of(F.col("_t251")))
-        .drop("_t251")
         .withColumn("off_high", high_gap_pct())
         .withColumn("near_high", -F.col("off_high"))
         .withColumn("sma200", sma("close", 200))

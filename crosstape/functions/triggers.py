@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .frames import lag, trailing
+from .frames import lag, let, trailing
 from .indicators import sma
 
 # Pattern thresholds, fixed before any run.
@@ -35,8 +35,7 @@ def none() -> Column:
 
 
 def volume() -> Column:
-    mean = sma("volume", 20)
-    return _sure((mean > 0) & (F.col("volume") > 1.5 * mean))
+    return _sure(let({"mean": sma("volume", 20)}, lambda mean: (mean > 0) & (F.col("volume") > 1.5 * mean)))
 
 
 def breakout() -> Column:
@@ -62,46 +61,46 @@ def vol_and_breakout() -> Column:
 
 
 def flag() -> Column:
+    """A sharp advance (the pole), then a shallow, quiet pause."""
     start, end = -(FLAG_POLE + FLAG_LEN), -FLAG_LEN
-    pole_top, pole_floor = _top(start, end), _floor(start, end)
-    pole = pole_top - pole_floor
-    pause_top, pause_floor = _top(end + 1, 0), _floor(end + 1, 0)
     gain = (lag("close", FLAG_LEN) / lag("close", FLAG_POLE + FLAG_LEN) - 1.0) * 100
-    return _sure(
-        (F.col("ix") >= FLAG_POLE + FLAG_LEN)
-        & (gain >= FLAG_MIN_GAIN)
-        & (pole > 0)
-        & ((pole_top - pause_floor) <= FLAG_MAX_RETRACE * pole)
-        & ((pause_top - pause_floor) <= FLAG_MAX_RANGE * pole)
+    frames = {
+        "top": _top(start, end), "low": _floor(start, end), "pause_top": _top(end + 1, 0), "pause_low": _floor(end + 1, 0), "gain": gain,
+    }
+    shape = lambda top, low, p_top, p_low, g: (
+        (g >= FLAG_MIN_GAIN) & (top > low)
+        & (top - p_low <= FLAG_MAX_RETRACE * (top - low)) & (p_top - p_low <= FLAG_MAX_RANGE * (top - low))
     )
+    return _sure((F.col("ix") >= FLAG_POLE + FLAG_LEN) & let(frames, shape))
 
 
 def ascending_triangle() -> Column:
+    """Two half windows with level highs and a rising floor."""
     half = TRI_WINDOW // 2
-    a_top, b_top = _top(-(TRI_WINDOW - 1), -half), _top(-(half - 1), 0)
-    a_low, b_low = _floor(-(TRI_WINDOW - 1), -half), _floor(-(half - 1), 0)
-    return _sure(
-        (F.col("ix") >= TRI_WINDOW - 1)
-        & (F.abs(b_top - a_top) / a_top <= TRI_TOP_TOL)
-        & ((b_low - a_low) / a_low >= TRI_MIN_RISE)
+    frames = {
+        "a_top": _top(-(TRI_WINDOW - 1), -half), "b_top": _top(-(half - 1), 0),
+        "a_low": _floor(-(TRI_WINDOW - 1), -half), "b_low": _floor(-(half - 1), 0),
+    }
+    shape = lambda a_top, b_top, a_low, b_low: (
+        (F.abs(b_top - a_top) / a_top <= TRI_TOP_TOL) & ((b_low - a_low) / a_low >= TRI_MIN_RISE)
     )
+    return _sure((F.col("ix") >= TRI_WINDOW - 1) & let(frames, shape))
 
 
 def cup_handle() -> Column:
+    """A rounded recovery to the old rim, then a small pause."""
     q = CUP_WINDOW // 4
     lo = -(CUP_HANDLE + CUP_WINDOW - 1)
-    left = _top(lo, lo + q - 1)
-    trough = _floor(lo + q, -(CUP_HANDLE + q))
-    right = _top(-(CUP_HANDLE + q - 1), -CUP_HANDLE)
-    handle = _floor(-(CUP_HANDLE - 1), 0)
-    depth = (left - trough) / left
-    give = (right - handle) / F.when(left > trough, left - trough)
-    return _sure(
-        (F.col("ix") >= CUP_HANDLE + CUP_WINDOW - 1)
-        & depth.between(CUP_DEPTH_MIN, CUP_DEPTH_MAX)
+    frames = {
+        "left": _top(lo, lo + q - 1), "trough": _floor(lo + q, -(CUP_HANDLE + q)),
+        "right": _top(-(CUP_HANDLE + q - 1), -CUP_HANDLE), "handle": _floor(-(CUP_HANDLE - 1), 0),
+    }
+    shape = lambda left, trough, right, handle: (
+        ((left - trough) / left).between(CUP_DEPTH_MIN, CUP_DEPTH_MAX)
         & (F.abs(right - left) / left <= CUP_RIM_TOL)
-        & give.between(0, CUP_HANDLE_MAX)
+        & ((right - handle) / F.when(left > trough, left - trough)).between(0, CUP_HANDLE_MAX)
     )
+    return _sure((F.col("ix") >= CUP_HANDLE + CUP_WINDOW - 1) & let(frames, shape))
 
 
 def any_pattern() -> Column:

@@ -349,3 +349,28 @@ def walk_forward(halves: DataFrame, metric: str = "mean") -> DataFrame:
 def newest(rows: DataFrame, key: str, at: str = "at") -> DataFrame:
     """Latest row per key."""
     return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), F.col(at)).alias("_r")).select(key, "_r.*")
+
+
+# Expectations frozen before forward results arrived.
+EXPECTED = dict(rate_mo=2.86, per_trade=2.15, se=1.08, occ=3.10)
+
+
+def forward_checks(row: DataFrame, expected: dict[str, float] = EXPECTED) -> DataFrame:
+    """Trading rate, holding time, occupancy and edge against frozen expectations.
+
+    Each check is 'early' until its sample can decide anything. The input row has
+    closed, months, mean_hold, occ, mean and se, all measured from trades and sessions.
+    """
+    want = expected["rate_mo"] * F.col("months")
+    half = 1.96 * F.sqrt(F.greatest(want, F.lit(1.0)))
+    verdict = lambda early, ok: F.when(early, "early").when(ok, "pass").otherwise("fail")
+    few = F.col("closed") < 10
+    edge = F.abs(F.col("mean") - expected["per_trade"]) <= 1.96 * F.sqrt(F.col("se") * F.col("se") + expected["se"] * expected["se"])
+    checks = [
+        ("rate", F.col("closed").cast("double"), verdict(F.col("months") < 6, F.col("closed").between(want - half, want + half))),
+        ("hold", F.col("mean_hold"), verdict(few, F.col("mean_hold").between(4, 10))),
+        ("occupancy", F.col("occ"), verdict(few, F.abs(F.col("occ") - expected["occ"]) <= 1)),
+        ("edge", F.col("mean"), verdict(F.col("closed") < 195, edge)),
+    ]
+    cells = F.array(*[F.struct(F.lit(n).alias("check_name"), v.alias("value"), s.alias("state")) for n, v, s in checks])
+    return row.select(F.explode(cells).alias("_c")).select("_c.*")

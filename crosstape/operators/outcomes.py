@@ -155,7 +155,7 @@ def ladder_legs(labelled: DataFrame, rungs: list[tuple[float, float]], qty: str
     legs = []
     for i, (pct, frac) in enumerate(rungs):
         lvl = F.col("entry_px") * (1 + pct / 100)
-        hit = F.get(F.filter("path", lambda b, lvl=lvl: (b["ix"] <= F.col("_last")) & (b["high"] >= lvl)), F.lit(0))
+        hit = F.get(F.filter("path", _reaches(lvl)), F.lit(0))
         legs.append(F.struct(F.lit(i).alias("leg"), lvl.alias("lvl"), F.lit(float(frac)).alias("frac"), hit.alias("hit")))
     rows = rows.withColumn("_rungs", F.filter(F.array(*legs), lambda r: r["hit"].isNotNull()))
     # Cap each rung by what earlier rungs left.
@@ -185,6 +185,11 @@ def ladder_legs(labelled: DataFrame, rungs: list[tuple[float, float]], qty: str
     return out.select(*labelled.columns, "_l.*")
 
 
+def _reaches(level: Column):
+    """Bars no later than the last tradeable one whose high meets the level."""
+    return lambda b: (b["ix"] <= F.col("_last")) & (b["high"] >= level)
+
+
 def with_structure(bars: DataFrame, ema: str = "ema20", look: int = 5) -> DataFrame:
     """Per bar: above its mean and no lower high over the last ``look`` bars against the ``look`` before."""
     now = F.max("high").over(series().rowsBetween(-(look - 1), 0))

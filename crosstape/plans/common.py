@@ -31,17 +31,23 @@ def denylist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return universe.traded_not_listed(traded, derived.company_master(spark, sf_dir))
 
 
+def fresh_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fixed-frame column, computed from the bars in the query itself."""
+    rows = ind.with_features(bars(spark, sf_dir)).withColumn("locked", F.col("high") == F.col("low"))
+    return rows.withColumn("trig", TRIGGERS["breakout"]())
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ind.with_features(bars(spark, sf_dir)).withColumn("locked", F.col("high") == F.col("low"))
+    """The same columns as a table bucketed by symbol, written once: ranks, signals and labels start here."""
+    return ledger.bucketed(spark, sf_dir, "features", fresh_features)
 
 
-def corpus(spark: SparkSession, sf_dir: str, trigger: str = "breakout") -> DataFrame:
-    rows = features(spark, sf_dir).withColumn("trig", TRIGGERS[trigger]())
-    return universe.corpus(rows, denylist(spark, sf_dir))
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return universe.corpus(features(spark, sf_dir), denylist(spark, sf_dir))
 
 
-def bands(spark: SparkSession, sf_dir: str, trigger: str = "breakout") -> DataFrame:
-    return ranking.size_bands(corpus(spark, sf_dir, trigger), per_day(spark, sf_dir))
+def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.size_bands(corpus(spark, sf_dir), per_day(spark, sf_dir))
 
 
 def scored(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:

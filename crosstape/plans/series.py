@@ -9,7 +9,7 @@ from ..functions.frames import trailing
 from ..functions.triggers import TRIGGERS
 from ..operators import ranking
 from . import oracle as o
-from .common import bars, features, per_day
+from .common import bars, fresh_features, per_day
 from .spec import query
 
 S = o.S
@@ -82,22 +82,22 @@ def momentum_skip_month(spark, sf):
 
 @query("delivery_mean", "C11", "symbol:s day:d deliv:f", o.sql("feat", "select symbol, day, coalesce(deliv_mean, 0e0) as deliv from feat"))
 def delivery_mean(spark, sf):
-    return features(spark, sf).select("symbol", "day", F.coalesce("deliv_mean", F.lit(0.0)).alias("deliv"))
+    return fresh_features(spark, sf).select("symbol", "day", F.coalesce("deliv_mean", F.lit(0.0)).alias("deliv"))
 
 
 @query("median_turnover", "C12", "symbol:s day:d liq:f", o.sql("feat", "select symbol, day, coalesce(liq, 0e0) as liq from feat"))
 def median_turnover(spark, sf):
-    return features(spark, sf).select("symbol", "day", F.coalesce("liq", F.lit(0.0)).alias("liq"))
+    return fresh_features(spark, sf).select("symbol", "day", F.coalesce("liq", F.lit(0.0)).alias("liq"))
 
 
 @query("high_distance", "C13", "symbol:s day:d near_high:f off_high:f", o.sql("feat", "select symbol, day, near_high, off_high from feat"))
 def high_distance(spark, sf):
-    return features(spark, sf)
+    return fresh_features(spark, sf)
 
 
 @query("daily_volatility", "C14", "symbol:s day:d vol_pct:f", o.sql("feat", "select symbol, day, vol_pct from feat"))
 def daily_volatility(spark, sf):
-    return features(spark, sf)
+    return fresh_features(spark, sf)
 
 
 @query(
@@ -110,7 +110,7 @@ def daily_volatility(spark, sf):
     ),
 )
 def entry_snapshot(spark, sf):
-    return ind.with_entry_snapshot(features(spark, sf))
+    return ind.with_entry_snapshot(fresh_features(spark, sf))
 
 
 @query(

@@ -111,16 +111,3 @@ def stale_files(spark, sf):
         .agg(F.to_date(F.max("l_shipdate")).alias("inside"), F.count(F.lit(1)).alias("rows"))
     )
     return universe.stale_files(files)
-
-
-@query(
-    "delisted_retained", "M6", "symbol:s last_day:d",
-    o.sql("corpus sess", "select symbol, max(day) as last_day from corpus group by symbol having max(day) < (select day from sess order by day desc limit 1 offset 39)"),
-)
-def delisted_retained(spark, sf):
-    from pyspark.sql import Window
-
-    s = sessions(spark, sf)
-    cut = s.withColumn("_k", F.row_number().over(Window.orderBy(F.col("day").desc()))).filter("_k = 40").select(F.max("day")).scalar()
-    last = universe.corpus(bars(spark, sf), denylist(spark, sf)).groupBy("symbol").agg(F.max("day").alias("last_day"))
-    return last.filter(F.col("last_day") < cut)

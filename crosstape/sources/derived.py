@@ -7,13 +7,12 @@ break ``round`` ties differently.
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from . import ledger
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -99,37 +98,7 @@ def bars_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, sql, ("lineitem",))
 
 
-_STORES: dict[tuple[str, str], tuple[str, Extent]] = {}
-
-
-def _source_bytes(spark: SparkSession, sf_dir: str) -> int:
-    plan = table(spark, sf_dir, "lineitem")._jdf.queryExecution().optimizedPlan()
-    return int(str(plan.stats().sizeInBytes()))
-
-
-def _store(spark: SparkSession, sf_dir: str) -> tuple[str, Extent]:
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STORES:
-        tag = hashlib.sha256("|".join(key).encode()).hexdigest()[:12]
-        name, path = f"crosstape_bars_{tag}", f"{shared_dir(spark)}/crosstape/bars-{tag}"
-        floor_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        buckets = max(min(floor_parts, 8), -(-_source_bytes(spark, sf_dir) // (256 << 20)))
-        bars = bars_query(spark, sf_dir)
-        (
-            bars.repartition(buckets, "symbol")
-            .write.mode("overwrite")
-            .format("parquet")
-            .option("path", path)
-            .bucketBy(buckets, "symbol")
-            .sortBy("symbol", "day")
-            .saveAsTable(name)
-        )
-        t = spark.table(name)
-        day = t.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
-        d = day.agg(F.sum("n").alias("rows"), F.max("n").alias("per_day")).first()
-        s = t.filter("ix = 0").count()
-        _STORES[key] = (name, Extent(int(d["rows"] or 0), int(d["per_day"] or 0), s))
-    return _STORES[key]
+_EXTENTS: dict[tuple[str, str], Extent] = {}
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,11 +107,17 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     Ingest happens once per application into the shared folder; after that the
     per-symbol windows read it without a shuffle.
     """
-    return spark.table(_store(spark, sf_dir)[0])
+    return ledger.bucketed(spark, sf_dir, "bars", bars_query)
 
 
 def extent(spark: SparkSession, sf_dir: str) -> Extent:
-    return _store(spark, sf_dir)[1]
+    """Rows, symbols and the widest day of the bars table, measured once from the table itself."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _EXTENTS:
+        t = bars(spark, sf_dir)
+        d = t.groupBy("day").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.max("n").alias("per_day")).first()
+        _EXTENTS[key] = Extent(int(d["rows"] or 0), int(d["per_day"] or 0), t.filter("ix = 0").count())
+    return _EXTENTS[key]
 
 
 def sessions(bars_: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from ..session import shared_dir
 
+_BUCKETED: dict[tuple[str, str, str], str] = {}
 _WRITTEN: dict[tuple[str, str, str], tuple[str, int, StructType]] = {}
 
 
@@ -25,6 +26,33 @@ def _write_once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[Sp
     return _WRITTEN[key]
 
 
+def _source_bytes(spark: SparkSession, sf_dir: str) -> int:
+    """Bytes of the largest input table, from the file listing alone."""
+    plan = spark.read.parquet(f"{sf_dir}/lineitem.parquet")._jdf.queryExecution().optimizedPlan()
+    return int(str(plan.stats().sizeInBytes()))
+
+
+def bucketed(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """A per-symbol table bucketed and sorted by symbol, written once per application.
+
+    Bucket count follows the input bytes (256 MB each), so partitions keep their
+    size as data grows; windows and joins on symbol then need no shuffle.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _BUCKETED:
+        tag = hashlib.sha256("|".join(key).encode()).hexdigest()[:12]
+        floor_parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
+        n = max(floor_parts, -(-_source_bytes(spark, sf_dir) // (256 << 20)))
+        rows = build(spark, sf_dir)
+        (
+            rows.repartition(n, "symbol").write.mode("overwrite").format("parquet")
+            .option("path", f"{shared_dir(spark)}/crosstape/{name}-{tag}")
+            .bucketBy(n, "symbol").sortBy("symbol", "day").saveAsTable(f"crosstape_{name}_{tag}")
+        )
+        _BUCKETED[key] = f"crosstape_{name}_{tag}"
+    return spark.table(_BUCKETED[key])
+
+
 def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
     """Read a derived table, writing it to the shared folder the first time."""
     path, _, schema = _write_once(spark, sf_dir, name, build)
