@@ -53,7 +53,7 @@ def as_of(points: DataFrame, facts: DataFrame, by: list[str], at: str, known: st
     sides hold at most one row per key and date, so a key's partition is bounded
     by the calendar.
     """
-    fact = facts.select(*by, F.col(known).alias("_at"), F.lit(0).alias("_side"), F.struct(*tie, known, *cols).alias("_fact"))
+    fact = facts.select(*by, F.col(known).alias("_at"), F.lit(0).alias("_side"), F.struct(*dict.fromkeys([*tie, known, *cols])).alias("_fact"))
     pt_cols = [c for c in points.columns if c not in by]
     pt = points.select(*by, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.struct(*pt_cols).alias("_pt"))
     both = fact.unionByName(pt, allowMissingColumns=True)

@@ -60,7 +60,8 @@ def filing_score(category_tone: Column, text_score: Column) -> Column:
 
 def half_up(x: Column, digits: int = 2) -> Column:
     k = float(10**digits)
-    return F.floor(x * k + 0.5) / k
+    # The inner rounding absorbs differences in summation order before the tie rule.
+    return F.floor(F.round(x, 9) * k + 0.5) / k
 
 
 def channel_score(score: str) -> Column:
@@ -181,3 +182,30 @@ def fresh(items: DataFrame, now: Column, item_days: int = 30, feed_days: int = 7
     feed = aged.filter(F.col("symbol").isNull())
     dead = feed.groupBy("source").agg(F.min("age").alias("_y")).filter(F.col("_y") > feed_days).select("source")
     return own.unionByName(feed.join(dead, "source", "left_anti"))
+
+
+def registered_name(asked: DataFrame, master: DataFrame) -> DataFrame:
+    """Registered name per asked symbol from the newest master; empty text when it has none."""
+    names = master.select(F.upper("symbol").alias("symbol"), "company")
+    return asked.select(F.upper("symbol").alias("symbol")).join(names, "symbol", "left").withColumn("company", F.coalesce("company", F.lit("")))
+
+
+def news_evidence(items: DataFrame, master: DataFrame, day: Column, window: int = 7) -> DataFrame:
+    """Items captured in the ``window`` days up to ``day``: an exact tag settles it, else the name rule.
+
+    Items carry doc_id, title, captured_day and tag (the symbol whose own query found them).
+    """
+    recent = items.filter(F.col("captured_day").between(F.date_sub(day, window), day))
+    listed = master.select(F.upper("symbol").alias("_u"), "symbol")
+    tagged = recent.filter(F.col("tag").isNotNull()).withColumn("_u", F.upper("tag")).join(listed, "_u").select("symbol", "doc_id", "captured_day")
+    general = recent.filter(F.col("tag").isNull())
+    named = mentions(general, master, "doc_id", "title").join(general.select("doc_id", "captured_day"), "doc_id")
+    return tagged.unionByName(named.select("symbol", "doc_id", "captured_day"))
+
+
+def evidence_bundle(master: DataFrame, news: DataFrame, announcements: DataFrame, day: Column, archive: DataFrame, ann_window: int = 30) -> DataFrame:
+    """Counts of what was visible per company, and when the news archive starts."""
+    n = news.groupBy("symbol").agg(F.count(F.lit(1)).alias("news_count"))
+    a = announcements.filter(F.col("visible_from").between(F.date_sub(day, ann_window), day)).groupBy("symbol").agg(F.count(F.lit(1)).alias("announcement_count"))
+    out = master.select("symbol").join(n, "symbol", "left").join(a, "symbol", "left").fillna(0, ["news_count", "announcement_count"])
+    return out.withColumn("archive_starts", archive.agg(F.min("captured_day")).scalar())

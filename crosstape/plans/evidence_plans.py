@@ -262,7 +262,7 @@ def announced_trades(spark, sf):
 
 from .selection_plans import ANN_FEATURES_CTE  # noqa: E402
 
-ANN_TRADES = (*SAMPLED, ANN_FEATURES_CTE, "at as materialized (select r.*, a.ann_burst, a.ann_tone, a.ann_flag from rt r join annx a using (symbol, day) where a.ann_burst is not null)")
+ANN_TRADES = (*SAMPLED, ANN_FEATURES_CTE, "annt as materialized (select r.*, a.ann_burst, a.ann_tone, a.ann_flag from rt r join annx a using (symbol, day) where a.ann_burst is not null)")
 
 
 @query(
@@ -275,7 +275,7 @@ ANN_TRADES = (*SAMPLED, ANN_FEATURES_CTE, "at as materialized (select r.*, a.ann
              + var_samp(ret) filter (where lo) / count(ret) filter (where lo)) end as se from (
              select feature, ret, case when feature in ('ann_tone', 'ann_flag') then x > 0 else x > med end as hi, case feature when 'ann_tone' then x < 0 when 'ann_flag' then x = 0 else x <= med end as lo from (
                select *, median(x) over (partition by feature) as med from (
-                 select ret, 'ann_burst' as feature, ann_burst as x from at union all select ret, 'ann_tone', ann_tone from at union all select ret, 'ann_flag', ann_flag from at))) group by feature)""",
+                 select ret, 'ann_burst' as feature, ann_burst as x from annt union all select ret, 'ann_tone', ann_tone from annt union all select ret, 'ann_flag', ann_flag from annt))) group by feature)""",
         *ANN_TRADES,
     ),
 )
@@ -292,8 +292,8 @@ def signed_split(spark, sf):
            avg(v) filter (where g) - avg(v) filter (where not g) as spread, sqrt(var_samp(v) filter (where g) / count(v) filter (where g) + var_samp(v) filter (where not g) / count(v) filter (where not g)) as se,
            count(*) filter (where g) as n_a, count(*) filter (where not g) as n_b, (avg(s) filter (where g) - avg(s) filter (where not g)) * 100 as diff_pp,
            sqrt((avg(s) filter (where g)) * (1 - avg(s) filter (where g)) / count(*) filter (where g) + (avg(s) filter (where not g)) * (1 - avg(s) filter (where not g)) / count(*) filter (where not g)) * 100 as se_pp
-           from (select a.ann_burst > 0 as g, cast(a.why = 'stop' as int) as s, h.v from at a left join (
-             select a2.symbol, a2.ix, case when count(*) >= 3 then stddev_pop(b.close / p.close - 1e0) * 100 end as v from at a2 join bars b on b.symbol = a2.symbol and b.ix between a2.ix + 2 and a2.exit_ix
+           from (select a.ann_burst > 0 as g, cast(a.why = 'stop' as int) as s, h.v from annt a left join (
+             select a2.symbol, a2.ix, case when count(*) >= 3 then stddev_pop(b.close / p.close - 1e0) * 100 end as v from annt a2 join bars b on b.symbol = a2.symbol and b.ix between a2.ix + 2 and a2.exit_ix
                join bars p on p.symbol = b.symbol and p.ix = b.ix - 1 group by 1, 2) h using (symbol, ix)))""",
         *ANN_TRADES,
     ),
@@ -472,26 +472,26 @@ def walk_forward(spark, sf):
 def result_ledger(spark, sf):
     """A stand-in result ledger: one row per (band, half-year block) run, with several runs per variant."""
     rows = trades(spark, sf).groupBy(F.col("band").alias("variant"), stats.half_year(F.col("exit_day")).alias("batch")).agg(
-        F.max("exit_day").alias("at"), F.avg("ret").alias("mean"), F.count(F.lit(1)).alias("n")
+        F.max("exit_day").alias("run_at"), F.avg("ret").alias("mean"), F.count(F.lit(1)).alias("n")
     )
     return rows.withColumn("track", F.when(F.col("batch").endswith("H1"), "cluster")).withColumn("void", F.col("n") < 20)
 
 
 RESULTS = f"""rl as materialized (select *, case when batch like '%H1' then 'cluster' end as track, n < 20 as void from (
-  select band as variant, {HALF.format(d='exit_day')} as batch, max(exit_day) as at, avg(ret) as mean, count(*) as n from trades group by 1, 2))"""
+  select band as variant, {HALF.format(d='exit_day')} as batch, max(exit_day) as run_at, avg(ret) as mean, count(*) as n from trades group by 1, 2))"""
 
 
-@query("newest_result", "I29", "variant:s batch:s at:d mean:f n:i best:b",
-       o.sql("trades", "select * exclude (k), mean = max(mean) over () as best from (select *, row_number() over (partition by variant order by at desc) as k from rl) where k = 1", RESULTS))
+@query("newest_result", "I29", "variant:s batch:s run_at:d mean:f n:i best:b",
+       o.sql("trades", "select * exclude (k), mean = max(mean) over () as best from (select *, row_number() over (partition by variant order by run_at desc) as k from rl) where k = 1", RESULTS))
 def newest_result(spark, sf):
-    rows = evidence.newest(result_ledger(spark, sf), "variant")
+    rows = evidence.newest(result_ledger(spark, sf), "variant", "run_at")
     return rows.withColumn("best", F.col("mean") == F.max("mean").over(Window.partitionBy(F.lit(0))))
 
 
-@query("ledger_read", "A17", "variant:s batch:s at:d mean:f n:i",
-       o.sql("trades", "select * from rl where coalesce(track, 'cluster') = 'cluster' and not void order by at desc, variant limit 5", RESULTS))
+@query("ledger_read", "A17", "variant:s batch:s run_at:d mean:f n:i",
+       o.sql("trades", "select * from rl where coalesce(track, 'cluster') = 'cluster' and not void order by run_at desc, variant limit 5", RESULTS))
 def ledger_read(spark, sf):
-    return ledger.filtered(result_ledger(spark, sf), track="cluster", limit=5)
+    return ledger.filtered(result_ledger(spark, sf).withColumnRenamed("run_at", "at"), track="cluster", limit=5).withColumnRenamed("at", "run_at")
 
 
 @query(
