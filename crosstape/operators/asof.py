@@ -33,7 +33,9 @@ def with_visibility(rows: DataFrame, sessions: DataFrame, ts: str = "an_dt") ->
     join on the date, so nothing is compared pairwise.
     """
     cal = session_calendar(sessions)
-    first = sessions.agg(F.min("day")).scalar()
+    lo = sessions.agg(F.min("day"))
+    # A stream cannot hold a subquery; its calendar start is one value read up front.
+    first = F.lit(lo.first()[0]) if rows.isStreaming else lo.scalar()
     minute = F.hour(ts) * 60 + F.minute(ts)
     d = rows.withColumn("_d", F.to_date(ts)).withColumn("_early", minute < CLOSE_MINUTES)
     out = d.join(cal, F.col("_d") == F.col("date"), "left").withColumn("_first", first)
