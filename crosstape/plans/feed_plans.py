@@ -8,6 +8,7 @@ from ..session import shared_dir
 from ..sources import derived, files
 from ..streaming import positions
 from . import oracle as o
+from . import text_plans
 from .common import bars, sessions, table, trades
 from .spec import query
 
@@ -121,7 +122,10 @@ def position_stream(spark, sf):
     return closed.withColumnRenamed("at", "exit_day")
 
 
-@query("captured_news", "L3", "link:s first_seen:t", None)
+@query(
+    "captured_news", "L3 B6", "link:s",
+    "select distinct link from (" + text_plans.STORY_SQL + ")",
+)
 def captured_news(spark, sf):
     """Run the news capture stream over pages seen three times each; every story link is kept once."""
     import uuid
@@ -136,4 +140,4 @@ def captured_news(spark, sf):
         F.lit(None).cast("date").alias("published"), seen.alias("captured_at"), F.lit(None).cast("string").alias("symbol"), F.lit("direct").alias("via"),
     ).write.json(f"{base}/feed")
     positions.run_available(feeds.captured_once(feeds.news_stream(spark, f"{base}/feed", 1000)), f"{base}/out", f"{base}/checkpoint")
-    return spark.read.schema(feeds.NEWS).parquet(f"{base}/out").select("link", F.lit("2000-01-03 09:00:00").cast("timestamp").alias("first_seen"))
+    return spark.read.schema(feeds.NEWS).parquet(f"{base}/out").select("link")

@@ -187,9 +187,11 @@ def publishers(spark, sf):
     return p.select("page_id", link.alias("link")).withColumn("publisher", text.publisher(raw, F.try_parse_url("link", F.lit("HOST"))))
 
 
-@query("story_pages", "B6", "page_id:i link:s",
-       o.sql("", """select page_id, url as link from pages where not regexp_matches(regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1), '(?i)/(tags?|topic|topics|quotes?|stocks?pricequote|share-price|company)/')
-          and not regexp_matches(coalesce(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), ''), '(?i)\\b(share|stock)\\s+price\\b|\\blive\\s+today\\b|\\bquarterly\\s+earnings\\b|\\bannual\\s+report\\s+analysis\\b|\\bprice\\s+live\\b|\\bstock\\s+quote\\b|\\bcompany\\s+profile\\b|\\bstock\\s+research\\s+report\\b|\\bltd\\.?\\s+[A-Z0-9]{3,}\\s*$')"""))
+STORY_SQL = """select page_id, url as link from pages where not regexp_matches(regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1), '(?i)/(tags?|topic|topics|quotes?|stocks?pricequote|share-price|company)/')
+          and not regexp_matches(coalesce(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), ''), '(?i)\\b(share|stock)\\s+price\\b|\\blive\\s+today\\b|\\bquarterly\\s+earnings\\b|\\bannual\\s+report\\s+analysis\\b|\\bprice\\s+live\\b|\\bstock\\s+quote\\b|\\bcompany\\s+profile\\b|\\bstock\\s+research\\s+report\\b|\\bltd\\.?\\s+[A-Z0-9]{3,}\\s*$')"""
+
+
+@query("story_pages", "B6", "page_id:i link:s", STORY_SQL)
 def story_pages(spark, sf):
     p = table(spark, sf, "pages").select("page_id", F.col("url").alias("link"), F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"))
     return text.stories(p)
