@@ -33,7 +33,8 @@ def let(values: dict[str, Column], body) -> Column:
     """Evaluate each named value once and hand them to ``body``.
 
     A window expression mentioned twice in a formula would be computed twice;
-    bound here it is computed once.
+    bound here it is computed once. Pass plain columns in as well: a name inside
+    a lambda would resolve to an alias of the same select before the input column.
     """
     cell = F.struct(*[v.alias(k) for k, v in values.items()])
     return F.get(F.transform(F.array(cell), lambda x: body(*[x[k] for k in values])), F.lit(0))

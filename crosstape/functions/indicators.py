@@ -26,9 +26,9 @@ def rolling_min(name: str, n: int) -> Column:
 
 
 def true_range() -> Column:
-    span = F.col("high") - F.col("low")
     # greatest() skips NULL, which leaves the plain range on the first bar.
-    return let({"prev": lag("close", 1)}, lambda prev: F.greatest(span, F.abs(F.col("high") - prev), F.abs(F.col("low") - prev)))
+    bar = {"h": F.col("high"), "lo": F.col("low"), "prev": lag("close", 1)}
+    return let(bar, lambda h, lo, prev: F.greatest(h - lo, F.abs(h - prev), F.abs(lo - prev)))
 
 
 def zscore(name: str, n: int) -> Column:
@@ -88,7 +88,8 @@ def positive_list(name: str, n: int) -> Column:
 
 def high_gap_pct(n: int = 126) -> Column:
     """Percent below the highest high of the last n bars (0 = at the high)."""
-    return let({"top": F.max("high").over(trailing(-(n - 1)))}, lambda top: (top - F.col("close")) / top * 100)
+    frame = {"top": F.max("high").over(trailing(-(n - 1))), "c": F.col("close")}
+    return let(frame, lambda top, c: (top - c) / top * 100)
 
 
 def daily_vol_pct(ret: str = "ret1") -> Column:

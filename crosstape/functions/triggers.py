@@ -35,7 +35,7 @@ def none() -> Column:
 
 
 def volume() -> Column:
-    return _sure(let({"mean": sma("volume", 20)}, lambda mean: (mean > 0) & (F.col("volume") > 1.5 * mean)))
+    return _sure(let({"mean": sma("volume", 20), "v": F.col("volume")}, lambda mean, v: (mean > 0) & (v > 1.5 * mean)))
 
 
 def breakout() -> Column:

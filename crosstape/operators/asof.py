@@ -38,7 +38,8 @@ def with_visibility(rows: DataFrame, sessions: DataFrame, ts: str = "an_dt") ->
     first = F.lit(lo.first()[0]) if rows.isStreaming else lo.scalar()
     minute = F.hour(ts) * 60 + F.minute(ts)
     d = rows.withColumn("_d", F.to_date(ts)).withColumn("_early", minute < CLOSE_MINUTES)
-    out = d.join(cal, F.col("_d") == F.col("date"), "left").withColumn("_first", first)
+    # One calendar row per date: some thousands, whatever the feed; a busy date is not shuffled.
+    out = d.join(F.broadcast(cal), F.col("_d") == F.col("date"), "left").withColumn("_first", first)
     vis = F.when(F.col("_d") < F.col("_first"), F.col("_first")).when(
         F.col("is_session") & F.col("_early"), F.col("_d")
     ).otherwise(F.col("after"))

@@ -205,18 +205,20 @@ def signed_split(long: DataFrame, n_rows: int, limit: int = GROUP_LIMIT) -> Data
 # --- equity curves and blocks ---------------------------------------------
 
 
-def daily_curve(trades: DataFrame, sessions: DataFrame, capital: float, stake: float, arm: str = "arm") -> DataFrame:
+def _grid(sessions: DataFrame, arms: list[str], arm: str) -> DataFrame:
+    """Every session once per named arm, from a literal list."""
+    return sessions.select("day", F.explode(F.array(*[F.lit(a) for a in arms])).alias(arm))
+
+
+def daily_curve(trades: DataFrame, sessions: DataFrame, arms: list[str], capital: float, stake: float, arm: str = "arm") -> DataFrame:
     """Equity per arm and session: capital plus equal-stake results booked on the exit day.
 
     Sums to one row per (arm, exit day) before any ordering; the running sum then
     sees at most one row per session.
     """
     booked = trades.groupBy(arm, F.col("exit_day").alias("day")).agg(F.sum(F.col("ret") * stake / 100).alias("_p"))
-    arms = trades.select(arm).distinct()
-    # Arms are a literal handful and sessions a calendar: both small by nature.
-    grid = sessions.select("day").withColumn("_j", F.lit(1)).join(F.broadcast(arms.withColumn("_j", F.lit(1))), "_j").drop("_j")
     w = Window.partitionBy(arm).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    return grid.join(booked, [arm, "day"], "left").withColumn("equity", capital + F.sum(F.coalesce("_p", F.lit(0.0))).over(w)).drop("_p")
+    return _grid(sessions, arms, arm).join(booked, [arm, "day"], "left").withColumn("equity", capital + F.sum(F.coalesce("_p", F.lit(0.0))).over(w)).drop("_p")
 
 
 def path_summary(curve: DataFrame, capital: float, arm: str = "arm") -> DataFrame:
@@ -274,7 +276,7 @@ def paired_blocks(blocks: DataFrame, control: str, arm: str = "arm", value: str
     )
 
 
-def occupancy(trades: DataFrame, sessions: DataFrame, arm: str = "arm") -> DataFrame:
+def occupancy(trades: DataFrame, sessions: DataFrame, arms: list[str], arm: str = "arm") -> DataFrame:
     """Open positions per arm and session, by running entries minus exits.
 
     Entry and exit counts per day are summed first; no trade is spread over the
@@ -283,10 +285,8 @@ def occupancy(trades: DataFrame, sessions: DataFrame, arm: str = "arm") -> DataF
     moves = trades.select(arm, F.col("entry_day").alias("day"), F.lit(1).alias("_m")).unionByName(
         trades.select(arm, F.col("exit_day").alias("day"), F.lit(-1).alias("_m"))
     ).groupBy(arm, "day").agg(F.sum("_m").alias("_m"))
-    arms = trades.select(arm).distinct().withColumn("_j", F.lit(1))
-    grid = sessions.select("day").withColumn("_j", F.lit(1)).join(F.broadcast(arms), "_j").drop("_j")
     w = Window.partitionBy(arm).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    return grid.join(moves, [arm, "day"], "left").withColumn("held", F.sum(F.coalesce("_m", F.lit(0))).over(w)).drop("_m")
+    return _grid(sessions, arms, arm).join(moves, [arm, "day"], "left").withColumn("held", F.sum(F.coalesce("_m", F.lit(0))).over(w)).drop("_m")
 
 
 def occupancy_report(occ: DataFrame, seats: int, arm: str = "arm") -> DataFrame:

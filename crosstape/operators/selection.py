@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import costs
-from ..functions.frames import series
+from ..functions.frames import let, series
 from .ranking import GROUP_LIMIT, neutral_percentile_rank, percentile_rank, ranked
 
 SCORED = ("rs", "deliv", "liq", "near_high")
@@ -32,8 +32,11 @@ def scoreable(banded: DataFrame, momentum: str = "rs_raw") -> DataFrame:
     )
 
 
-def lottery_screen(rows: DataFrame, by: list[str], share: float, per_day: int, limit: int = GROUP_LIMIT) -> DataFrame:
-    """Drop the int(n*share) names with the largest one-day gain of the last 21 bars."""
+def lottery_screen(rows: DataFrame, by: list[str], share: float | Column, per_day: int, limit: int = GROUP_LIMIT) -> DataFrame:
+    """Drop the int(n*share) names with the largest one-day gain of the last 21 bars.
+
+    ``share`` may be a column, so that groups can be screened differently (0 keeps all).
+    """
     order = [F.coalesce(F.col("max_ret21"), F.lit(0.0)).desc(), F.col("size_rank")]
     out = ranked(rows, by, order, "_k", per_day, "_m", limit)
     return out.filter(F.col("_k") > F.floor(F.col("_m") * share)).drop("_k", "_m")
@@ -199,23 +202,33 @@ def tail_returns(bars: DataFrame, n: int = 60) -> Column:
     return F.collect_list("ret1").over(series().rowsBetween(-(n - 1), 0))
 
 
-def _centered(a: Column) -> Column:
-    mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
-    return F.transform(a, lambda x: x - mean)
-
-
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def array_corr(a: Column, b: Column, least: int = 20) -> Column:
-    """Pearson correlation of two arrays aligned at their tails; 0 when short or flat."""
-    n = F.least(F.size(a), F.size(b))
-    ca, cb = _centered(F.slice(a, F.size(a) - n + 1, n)), _centered(F.slice(b, F.size(b) - n + 1, n))
-    va, vb = _dot(ca, ca), _dot(cb, cb)
+def unit_vector(a: Column) -> Column:
+    """The array centred and scaled to length 1; NULL when flat.
+
+    Each step is bound once, so the work is linear in the array.
+    """
+    mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(a), F.lit(0))
+    centred = let({"a": a, "m": mean}, lambda v, m: F.transform(v, lambda x: x - m))
     # Variance of a flat tail may come out as rounding dust rather than zero.
-    ok = (n >= least) & (va > 1e-18) & (vb > 1e-18)
-    return F.when(ok, _dot(ca, cb) / (F.sqrt(va) * F.sqrt(vb))).otherwise(F.lit(0.0))
+    norm = lambda c: F.when(_dot(c, c) > 1e-18, F.sqrt(_dot(c, c)))
+    return let({"c": centred}, lambda c: let({"c": c, "n": norm(c)}, lambda v, n: F.when(n.isNotNull(), F.transform(v, lambda x: x / n))))
+
+
+def tail_corr(a: Column, ua: Column, b: Column, ub: Column, least: int = 20) -> Column:
+    """Pearson correlation of two return tails; 0 when short or flat.
+
+    Tails of equal length meet as ready unit vectors; unequal ones are cut to the
+    shorter and scaled again.
+    """
+    n = F.least(F.size(a), F.size(b))
+    tail = lambda v: unit_vector(F.slice(v, F.size(v) - n + 1, n))
+    same = F.size(a) == F.size(b)
+    r = F.when(same, _dot(ua, ub)).otherwise(_dot(tail(a), tail(b)))
+    return F.when(n >= least, F.coalesce(r, F.lit(0.0))).otherwise(F.lit(0.0))
 
 
 def pair_correlations(cands: DataFrame, returns: str = "tail60") -> DataFrame:
@@ -224,10 +237,10 @@ def pair_correlations(cands: DataFrame, returns: str = "tail60") -> DataFrame:
     A day's list is bounded by the pick (PER_BAND names per band), so the pairs
     per day are bounded too, at any universe size.
     """
-    a = cands.select("day", F.col("slot").alias("slot_a"), F.col("symbol").alias("sym_a"), F.col(returns).alias("_a"))
-    b = cands.select("day", F.col("slot").alias("slot_b"), F.col("symbol").alias("sym_b"), F.col(returns).alias("_b"))
-    pairs = a.join(b, (a.day == b.day) & (F.col("slot_a") < F.col("slot_b"))).drop(b.day)
-    return pairs.withColumn("corr", array_corr(F.col("_a"), F.col("_b"))).drop("_a", "_b")
+    rows = cands.withColumn("_u", unit_vector(F.col(returns)))
+    side = lambda k: rows.select("day", F.col("slot").alias(f"slot_{k}"), F.col("symbol").alias(f"sym_{k}"), F.col(returns).alias(f"_{k}"), F.col("_u").alias(f"_u{k}"))
+    pairs = side("a").join(side("b"), "day").filter(F.col("slot_a") < F.col("slot_b"))
+    return pairs.withColumn("corr", tail_corr(F.col("_a"), F.col("_ua"), F.col("_b"), F.col("_ub"))).drop("_a", "_b", "_ua", "_ub")
 
 
 def decorrelated(cands: DataFrame, max_corr: float, returns: str = "tail60") -> DataFrame:
@@ -235,11 +248,10 @@ def decorrelated(cands: DataFrame, max_corr: float, returns: str = "tail60") ->
 
     The decision is sequential, so each day's bounded list is folded in slot order.
     """
-    rows = cands.groupBy("day").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("slot").cast("int").alias("slot"), "symbol", F.col(returns).alias("r")))).alias("_l")
-    )
+    cell = F.struct(F.col("slot").cast("int").alias("slot"), "symbol", F.col(returns).alias("r"), unit_vector(F.col(returns)).alias("u"))
+    rows = cands.groupBy("day").agg(F.sort_array(F.collect_list(cell)).alias("_l"))
     empty = F.slice("_l", 1, 0)
-    clash = lambda kept, x: F.exists(kept, lambda k: F.abs(array_corr(k["r"], x["r"])) > max_corr)
+    clash = lambda kept, x: F.exists(kept, lambda k: F.abs(tail_corr(k["r"], k["u"], x["r"], x["u"])) > max_corr)
     fold = F.aggregate("_l", empty, lambda kept, x: F.when(clash(kept, x), kept).otherwise(F.concat(kept, F.array(x))))
     return rows.select("day", F.explode(fold).alias("_k")).select("day", F.col("_k.slot").alias("slot"), F.col("_k.symbol").alias("symbol"))
 

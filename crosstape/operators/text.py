@@ -115,27 +115,28 @@ def mentions(items: DataFrame, master: DataFrame, key: str, text: str) -> DataFr
 
     An inverted index with an exact prefix rule: a company with two or more words
     must match at least one besides its commonest, so the commonest (shared by
-    many companies) is never joined on; the full rule is then verified per pair.
+    many companies) is never joined on. Where only one such word matched, the
+    commonest is looked up for that item alone.
     """
     terms = name_terms(master)
-    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != ""))
-    docs = items.select(key, words.alias("_words"))
-    each = docs.select(key, F.explode("_words").alias("word"))
-    by_ticker = each.join(terms.filter(F.col("ticker").isNotNull()).select(F.col("ticker").alias("word"), "symbol"), "word").select(key, "symbol")
+    words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}_]+")
+    each = items.select(key, F.explode(words).alias("word"))
     flat = terms.select("symbol", F.size("terms").alias("n_terms"), F.explode("terms").alias("word"))
     freq = flat.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    commonest = Window.partitionBy("symbol").orderBy(F.col("df").desc(), "word")
-    probe = (
-        flat.join(freq, "word").withColumn("_k", F.row_number().over(commonest))
-        .filter((F.col("n_terms") == 1) | (F.col("_k") > 1)).select("word", "symbol", "n_terms")
+    order = Window.partitionBy("symbol").orderBy(F.col("df").desc(), "word")
+    ranked = flat.join(freq, "word").withColumn("_k", F.row_number().over(order)).withColumn("common", F.first("word").over(order))
+    several = F.col("n_terms") > 1
+    names = ranked.filter(~several | (F.col("_k") > 1)).select(
+        "word", "symbol", F.when(several, 2).otherwise(1).alias("need"), F.when(several, F.col("common")).alias("common")
     )
-    pairs = each.join(probe, "word").select(key, "symbol", "n_terms").distinct()
-    single = pairs.filter(F.col("n_terms") == 1).select(key, "symbol")
-    several = (
-        pairs.filter(F.col("n_terms") > 1).join(docs, key).join(terms.select("symbol", "terms"), "symbol")
-        .filter(F.size(F.array_intersect("_words", "terms")) >= 2).select(key, "symbol")
+    tickers = terms.filter(F.col("ticker").isNotNull()).select(F.col("ticker").alias("word"), "symbol", F.lit(1).alias("need"), F.lit(None).cast("string").alias("common"))
+    hits = (
+        each.join(names.unionByName(tickers), "word").groupBy(key, "symbol", "need", "common").agg(F.countDistinct("word").alias("n"))
     )
-    return by_ticker.unionByName(single).unionByName(several).distinct()
+    sure = hits.filter(F.col("n") >= F.col("need")).select(key, "symbol")
+    asked = hits.filter(F.col("n") < F.col("need")).select(key, "symbol", F.col("common").alias("word"))
+    found = asked.join(each, [key, "word"], "left_semi").select(key, "symbol")
+    return sure.unionByName(found).distinct()
 
 
 def unwrapped(link: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import asof, book, selection, universe
+from ..session import durable
 from . import oracle as o
 from .common import bars, candidates, corpus, denylist, sessions, trades
 from .spec import query
@@ -204,10 +205,13 @@ def gate_table(spark, sf):
     ),
 )
 def quality_assertions(spark, sf):
-    b, c = bars(spark, sf), candidates(spark, sf)
     from .common import bands, picks
 
-    banded, taken = bands(spark, sf), selection.allocate(c)
+    b, banded = bars(spark, sf), bands(spark, sf).select("symbol", "day", "band", "size_med")
+    # Five rules read the picks (at most forty a day): computed once, kept reliably.
+    top_picks = durable(picks(spark, sf))
+    c = selection.candidates(top_picks)
+    taken = selection.allocate(c)
     eligible = corpus(spark, sf).filter((F.col("ix") >= 200) & (F.col("size_n") > 100))
     top = eligible.groupBy("day").agg(F.max("size_med").alias("m"))
     quota = F.when(F.col("band") == "micro", 3).otherwise(2)
@@ -215,7 +219,7 @@ def quality_assertions(spark, sf):
     return book.assertions({
         "bands are disjoint": banded.groupBy("symbol", "day").agg(F.countDistinct("band").alias("n")).filter("n > 1"),
         "most liquid names are excluded": banded.join(top, "day").filter(F.col("size_med") > F.col("m")),
-        "no pick below its 200-bar mean": picks(spark, sf).filter(~(F.col("close") > F.col("sma200"))),
+        "no pick below its 200-bar mean": top_picks.filter(~(F.col("close") > F.col("sma200"))),
         "no restricted candidate": c.filter("asm is not null and surveillance_known"),
         "quota respected": taken.groupBy("day", "band").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > quota),
         "every taken name has triggered": taken.filter(~F.col("triggered")),

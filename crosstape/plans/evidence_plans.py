@@ -11,7 +11,7 @@ from ..operators import evidence, outcomes, ranking, selection
 from ..sources import ledger
 from . import oracle as o
 from .common import TRADE_COLUMNS, bands, build_trades, candidates, corpus, features, per_day, pooled_candidates, sessions, signals, trades, with_paths
-from .outcome_plans import ARM_CTES, arm_trades
+from .outcome_plans import ARM_CTES, ARM_NAMES, arm_trades
 from .selection_plans import announcement_points
 from .spec import query
 
@@ -127,7 +127,8 @@ def random_trades(spark, sf, banded: bool = True):
     """Labelled trades on a hash-ordered draw of symbols per sampled session, whatever their rank."""
     rows = with_paths(spark, sf, 10) if banded else outcomes.with_path(corpus(spark, sf), 10)
     days = evidence.sample_sessions(sessions(spark, sf), 300, 10, 90).select("day")
-    drawn = evidence.random_sample(rows.join(days, "day", "left_semi"), 45)
+    # At most a hundred sampled dates, whatever the data: safe to broadcast.
+    drawn = evidence.random_sample(rows.join(F.broadcast(days), "day", "left_semi"), 45)
     return outcomes.barrier(drawn)
 
 
@@ -334,7 +335,7 @@ BLOCKS = f"""blk as materialized (select arm, block, count(*) as points, max((pe
 
 
 def curves(spark, sf):
-    return evidence.daily_curve(arm_trades(spark, sf), sessions(spark, sf), 300_000.0, 450.0)
+    return evidence.daily_curve(arm_trades(spark, sf), sessions(spark, sf), ARM_NAMES, 300_000.0, 450.0)
 
 
 @query("block_drawdowns", "I19", "arm:s block:s points:i dd:f ret_pct:f", o.sql("signals bars sess", "select * from blk", *ARM_CTES, CURVE, BLOCKS))
@@ -370,13 +371,13 @@ occr as materialized (select arm, avg(held) as mean_held, sum(cast(held >= 5 as
 
 @query("occupancy_report", "I22", "arm:s mean_held:f full_pct:f empty_pct:f most:i", o.sql("signals bars sess", "select * from occr", *ARM_CTES, OCC))
 def occupancy_report(spark, sf):
-    return evidence.occupancy_report(evidence.occupancy(arm_trades(spark, sf), sessions(spark, sf)), 5)
+    return evidence.occupancy_report(evidence.occupancy(arm_trades(spark, sf), sessions(spark, sf), ARM_NAMES), 5)
 
 
 @query("occupancy_histogram", "I22", "arm:s held:i sessions:i pct:f",
        o.sql("signals bars sess", "select arm, held, count(*) as sessions, count(*) * 100e0 / sum(count(*)) over (partition by arm) as pct from occ group by 1, 2", *ARM_CTES, OCC))
 def occupancy_histogram(spark, sf):
-    h = evidence.occupancy(arm_trades(spark, sf), sessions(spark, sf)).groupBy("arm", "held").agg(F.count(F.lit(1)).alias("sessions"))
+    h = evidence.occupancy(arm_trades(spark, sf), sessions(spark, sf), ARM_NAMES).groupBy("arm", "held").agg(F.count(F.lit(1)).alias("sessions"))
     return h.withColumn("pct", F.col("sessions") * 100.0 / F.sum("sessions").over(Window.partitionBy("arm")))
 
 
@@ -421,7 +422,7 @@ DECIDE = f"""dec as materialized (select p.arm, p.mean_diff, p.se, case when p.s
 )
 def adoption_table(spark, sf):
     t = arm_trades(spark, sf)
-    pairs = evidence.paired_blocks(evidence.block_drawdowns(evidence.daily_curve(t, sessions(spark, sf), 300_000.0, 450.0)), "s10_t20_h10")
+    pairs = evidence.paired_blocks(evidence.block_drawdowns(evidence.daily_curve(t, sessions(spark, sf), ARM_NAMES, 300_000.0, 450.0)), "s10_t20_h10")
     gaps = evidence.welch_vs_control(t.groupBy("arm").agg(*stats.sample_bars()), "s10_t20_h10").select("arm", "gap", "gap_t")
     return evidence.adoption(pairs.join(gaps, "arm"), [
         ("resolved", (F.abs("t") > 2) & (F.col("mean_diff") < 0)),
@@ -444,7 +445,7 @@ def adoption_table(spark, sf):
 )
 def keep_bar(spark, sf):
     t = arm_trades(spark, sf)
-    path = evidence.path_summary(evidence.daily_curve(t, sessions(spark, sf), 300_000.0, 450.0), 300_000.0)
+    path = evidence.path_summary(evidence.daily_curve(t, sessions(spark, sf), ARM_NAMES, 300_000.0, 450.0), 300_000.0)
     wins = t.groupBy("arm").agg(F.count(F.lit(1)).alias("n"), (F.avg((F.col("ret") > 0).cast("int")) * 100).alias("win"))
     return evidence.keep_bar(path.join(wins, "arm"))
 
@@ -500,8 +501,8 @@ def ledger_read(spark, sf):
 )
 def exposure_control(spark, sf):
     t, s = arm_trades(spark, sf), sessions(spark, sf)
-    held = evidence.occupancy_report(evidence.occupancy(t, s), 5)
-    dd = evidence.block_drawdowns(evidence.daily_curve(t, s, 300_000.0, 450.0)).groupBy("arm").agg(F.avg("dd").alias("dd"))
+    held = evidence.occupancy_report(evidence.occupancy(t, s, ARM_NAMES), 5)
+    dd = evidence.block_drawdowns(evidence.daily_curve(t, s, ARM_NAMES, 300_000.0, 450.0)).groupBy("arm").agg(F.avg("dd").alias("dd"))
     return held.join(dd, "arm").agg(F.count(F.lit(1)).alias("arms"), stats.correlation("mean_held", "dd").alias("r"))
 
 
@@ -536,20 +537,18 @@ def _lit_sql() -> tuple[str, ...]:
 
 @query("literature_variants", "I32 C10 B4", "arm:s n:i mean:f se:f", o.sql("bands", "select arm, count(ret) as n, avg(ret) as mean, stddev_samp(ret) / sqrt(count(ret)) as se from lt group by arm", *_lit_sql()))
 def literature_variants(spark, sf):
+    """All four variants ride in one pass as an arm column; ranks are taken per arm."""
     p = per_day(spark, sf)
-    rows = bands(spark, sf)
     mom = features(spark, sf).select("symbol", "day", bar_return(125, 21).alias("mom"))
-    rows = rows.join(mom, ["symbol", "day"])
-    out = None
-    for name in LIT:
-        r = selection.scoreable(rows, "mom" if name in ("skip_month", "both") else "rs_raw")
-        if name in ("max_screen", "both"):
-            r = selection.lottery_screen(r, ["day", "band"], 0.1, p)
-        top = selection.pick(selection.score(r, ["day", "band"], p), ["day", "band"], 3)
-        quota = F.when(F.col("band") == "micro", 3).otherwise(2)
-        arm = top.filter((F.col("rank") <= quota) & F.col("trig") & ~F.col("locked")).select("symbol", "day", "ix", F.lit(name).alias("arm"))
-        out = arm if out is None else out.unionByName(arm)
-    return _label_picks(spark, sf, out).groupBy("arm").agg(*stats.sample_bars())
+    rows = bands(spark, sf).join(mom, ["symbol", "day"])
+    rows = outcomes.arm_grid(rows, [{"arm": a, "skip": a in ("skip_month", "both"), "share": 0.1 if a in ("max_screen", "both") else 0.0} for a in LIT])
+    rows = selection.scoreable(rows.withColumn("momentum", F.when(F.col("skip"), F.col("mom")).otherwise(F.col("rs_raw"))), "momentum")
+    by = ["arm", "day", "band"]
+    rows = selection.lottery_screen(rows, by, F.col("share"), p)
+    top = selection.pick(selection.score(rows, by, p), by, 3)
+    quota = F.when(F.col("band") == "micro", 3).otherwise(2)
+    arms = top.filter((F.col("rank") <= quota) & F.col("trig") & ~F.col("locked")).select("symbol", "day", "ix", "arm")
+    return _label_picks(spark, sf, arms).groupBy("arm").agg(*stats.sample_bars())
 
 
 WEIGHTS = {"neutral": (1.0, 1.0, 1.0, 1.0), "deliv_15": (1.0, 1.5, 1.0, 1.0), "deliv_20": (1.0, 2.0, 1.0, 1.0), "rs_15": (1.5, 1.0, 1.0, 1.0), "near_high_15": (1.0, 1.0, 1.0, 1.5)}
@@ -666,5 +665,5 @@ def forward_checks(spark, sf):
         F.count(F.lit(1)).alias("closed"), F.avg(F.col("exit_ix") - F.col("ix") - 1).alias("mean_hold"), F.avg("ret").alias("mean"),
         (F.datediff(F.max("day"), F.min("day")) / 30.4375).alias("months"), (F.stddev_samp("ret") / F.sqrt(F.count(F.lit(1)))).alias("se"),
     )
-    occ = evidence.occupancy(t.withColumn("arm", F.lit("main")), sessions(spark, sf)).agg(F.avg("held")).scalar()
+    occ = evidence.occupancy(t.withColumn("arm", F.lit("main")), sessions(spark, sf), ["main"]).agg(F.avg("held")).scalar()
     return evidence.forward_checks(f.withColumn("occ", occ))

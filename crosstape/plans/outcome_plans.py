@@ -193,6 +193,7 @@ ARMS = [
     {"arm": "s10_t20_h10", "a_stop": 10.0, "a_target": 20.0, "a_hold": 10}, {"arm": "s5_t20_h10", "a_stop": 5.0, "a_target": 20.0, "a_hold": 10},
     {"arm": "s10_t10_h10", "a_stop": 10.0, "a_target": 10.0, "a_hold": 10}, {"arm": "s10_t20_h20", "a_stop": 10.0, "a_target": 20.0, "a_hold": 20},
 ]
+ARM_NAMES = [a["arm"] for a in ARMS]
 ARM_VALUES = ", ".join(f"('{a['arm']}', {a['a_stop']}e0, {a['a_target']}e0, {a['a_hold']})" for a in ARMS)
 ARM_CTES = (
     f"arms as materialized (select s.*, a.* from signals s, (values {ARM_VALUES}) a(arm, a_stop, a_target, a_hold))",

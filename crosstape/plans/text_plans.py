@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lex
-from ..operators import text
+from ..operators import ranking, text
+from ..sources.derived import spread
 from . import oracle as o
 from .common import table
 from .spec import query
@@ -21,7 +22,7 @@ def data_lexicon(spark, sf):
 
     A top-k report: LEX_SIZE words per side whatever the size of the corpus.
     """
-    docs = table(spark, sf, "documents").select((F.col("doc_id") % 2 == 0).alias("even"), F.explode(text.tokens("text")).alias("word"))
+    docs = spread(table(spark, sf, "documents")).select((F.col("doc_id") % 2 == 0).alias("even"), F.explode(text.tokens("text")).alias("word"))
     counts = docs.filter(F.length("word") >= 4).groupBy("even", "word").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("even").orderBy(F.col("n").desc(), "word")
     top = counts.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= LEX_SIZE)
@@ -47,7 +48,8 @@ tone as materialized (select d.{key}, coalesce(h.pos, 0) as pos, coalesce(h.neg,
 
 
 def document_tone(spark, sf):
-    return text.text_tone(table(spark, sf, "documents"), "doc_id", "text", data_lexicon(spark, sf), NEGATORS)
+    # The lexicon holds at most LEX_SIZE words per side, so it is safe to broadcast.
+    return text.text_tone(spread(table(spark, sf, "documents")), "doc_id", "text", F.broadcast(data_lexicon(spark, sf)), NEGATORS)
 
 
 DOC_TONE = (LEXICON, tone_sql("doc_id", "documents", "text"))
@@ -100,7 +102,7 @@ stc as materialized (select *, case when announcement_score is not null and news
 )
 def stock_sentiment(spark, sf):
     rows = text.stock_sentiment(scored_items(spark, sf))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.col("composite").desc_nulls_last(), "symbol")))
+    return ranking.ranked(rows, [], [F.col("composite").desc_nulls_last(), F.col("symbol")], "place", 50)  # fifty companies
 
 
 @query(
@@ -124,7 +126,7 @@ def name_master(spark, sf):
 
 
 def named_documents(spark, sf):
-    return text.mentions(table(spark, sf, "documents"), name_master(spark, sf), "doc_id", "text")
+    return text.mentions(spread(table(spark, sf, "documents")), name_master(spark, sf), "doc_id", "text")
 
 
 @query(
@@ -144,7 +146,7 @@ def registered_names(spark, sf):
 
 # News items: every document is captured at its place in the event calendar.
 def news_items(spark, sf):
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"))
     return d.select(
         "doc_id", "source", F.col("text").alias("title"), F.date_add(F.lit("2000-01-01").cast("date"), (F.col("doc_id") % 40).cast("int")).alias("captured_day"),
         F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("BNCH"), (F.col("doc_id") % 40).cast("string"))).alias("tag"),

@@ -87,6 +87,16 @@ def _run(spark: SparkSession, sf_dir: str, sql: str, names: tuple[str, ...]) ->
     return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan with fewer splits than cores one split per core.
+
+    Only a few blocks of data come in so few splits, so the exchange is small by
+    construction; a large table is left as it was read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def bars_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars straight from lineitem, lazily.
 
