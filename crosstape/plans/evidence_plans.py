@@ -44,7 +44,7 @@ def per_symbol(spark, sf):
     return ranking.ranked(rows, [], [F.col("total").desc(), F.col("symbol")], "place", n_trades(spark, sf))
 
 
-@query("top_and_bottom", "K5", "side:s symbol:s total:f",
+@query("top_and_bottom", "K5 K6", "side:s symbol:s total:f",
        o.sql("trades", """select 'top' as side, * from (select * from t order by total desc, symbol limit 5) union all select 'bottom', * from (select * from t order by total, symbol desc limit 5)""",
              "t as (select symbol, sum(ret) as total from trades group by symbol)"))
 def top_and_bottom(spark, sf):

@@ -98,7 +98,7 @@ def test_cup_and_triangle(spark):
 
 
 def test_an_alias_named_like_an_input_changes_nothing(spark):
-    b = bars(spark, series("A", [100 + (i * 7) % 13 for i in range(60)], volumes=[1000 + 900 * (i % 3) for i in range(60)]))
+    b = bars(spark, series("A", [100 + (i * 7) % 13 for i in range(60)], volumes=[1000 + 3000 * (i % 3) for i in range(60)]))
     alone = [r["x"] for r in b.select("ix", TRIGGERS["volume"]().alias("x")).orderBy("ix").collect()]
     beside = b.select("ix", F.lit(0).alias("volume"), F.lit(0).alias("close"), F.lit(0).alias("high"), TRIGGERS["volume"]().alias("x"), ind.true_range().alias("tr"), ind.high_gap_pct(5).alias("gap"))
     rows = beside.orderBy("ix").collect()
