@@ -200,8 +200,8 @@ COHORT = (
     """cs as materialized (select * from (select *, floor((band_rank - 1) / case band when 'micro' then 3 else 2 end) as cohort from cands) where cohort < 6 and triggered)""",
     o.label_cte("ct", "cs"),
 )
-SLOPE_SQL = """select n, b as slope, sqrt(greatest(syy - b * sxy, 0e0) / (n - 2) / sxx) as se, b / nullif(sqrt(greatest(syy - b * sxy, 0e0) / (n - 2) / sxx), 0) as t from (
-  select regr_count(ret, {x}) as n, regr_slope(ret, {x}) as b, regr_syy(ret, {x}) as syy, regr_sxy(ret, {x}) as sxy, regr_sxx(ret, {x}) as sxx from {src})"""
+SLOPE_SQL = """select n, b as slope, se, b / nullif(se, 0) as t from (select *, case when b is not null and n > 2 then sqrt(greatest(syy - b * sxy, 0e0) / (n - 2) / sxx) end as se from (
+  select regr_count(ret, {x}) as n, case when regr_sxx(ret, {x}) > 0 then regr_slope(ret, {x}) end as b, regr_syy(ret, {x}) as syy, regr_sxy(ret, {x}) as sxy, regr_sxx(ret, {x}) as sxx from {src}))"""
 
 
 @query("depth_slope", "I11", "n:i slope:f se:f t:f", o.sql("cands bars", SLOPE_SQL.format(x="cohort", src="ct"), *COHORT))
@@ -289,7 +289,9 @@ def signed_split(spark, sf):
     "risk_by_tone", "I15 G2", "n_hi:i n_lo:i spread:f se:f t:f n_a:i n_b:i diff_pp:f se_pp:f t_stop:f",
     o.sql(
         "bands sess annv",
-        """select *, spread / nullif(se, 0) as t, diff_pp / nullif(se_pp, 0) as t_stop from (select count(v) filter (where g) as n_hi, count(v) filter (where not g) as n_lo,
+        """select n_hi, n_lo, n_a, n_b, case when least(n_hi, n_lo) >= 2 then spread end as spread, case when least(n_hi, n_lo) >= 2 then se end as se,
+           case when least(n_hi, n_lo) >= 2 then spread / nullif(se, 0) end as t, case when least(n_a, n_b) >= 5 then diff_pp end as diff_pp, case when least(n_a, n_b) >= 5 then se_pp end as se_pp,
+           case when least(n_a, n_b) >= 5 then diff_pp / nullif(se_pp, 0) end as t_stop from (select count(v) filter (where g) as n_hi, count(v) filter (where not g) as n_lo,
            avg(v) filter (where g) - avg(v) filter (where not g) as spread, sqrt(var_samp(v) filter (where g) / count(v) filter (where g) + var_samp(v) filter (where not g) / count(v) filter (where not g)) as se,
            count(*) filter (where g) as n_a, count(*) filter (where not g) as n_b, (avg(s) filter (where g) - avg(s) filter (where not g)) * 100 as diff_pp,
            sqrt((avg(s) filter (where g)) * (1 - avg(s) filter (where g)) / count(*) filter (where g) + (avg(s) filter (where not g)) * (1 - avg(s) filter (where not g)) / count(*) filter (where not g)) * 100 as se_pp
@@ -607,7 +609,7 @@ def impact_sensitivity(spark, sf):
     "pooled_vs_band", "I36", "measure:s band_value:f pooled_value:f winner:s",
     o.sql(
         "cands pooled_cands bars",
-        """select measure, b as band_value, p as pooled_value, case when b is null or p is null or b = p then 'tie' when (b > p) = up then 'band' else 'pooled' end as winner from (
+        """select measure, b as band_value, p as pooled_value, case when b is null or p is null or round(b, 9) = round(p, 9) then 'tie' when (b > p) = up then 'band' else 'pooled' end as winner from (
            select m.measure, m.up, max(case when arm = 'band' then v end) as b, max(case when arm = 'pooled' then v end) as p from (
              select arm, unnest(['n', 'mean', 'sd', 'se', 'win', 'worst', 'best', 'stops', 'targets']) as measure, unnest([n, mean, sd, se, win, worst, best, stops, targets]) as v from (
                select arm, cast(count(*) as double) as n, avg(ret) as mean, stddev_samp(ret) as sd, stddev_samp(ret) / sqrt(count(*)) as se, avg(cast(ret > 0 as int)) * 100 as win, min(ret) as worst, max(ret) as best,
@@ -633,7 +635,7 @@ def pooled_vs_band(spark, sf):
     )
     up = ~F.col("measure").isin("sd", "se", "stops")
     x, y = F.col("band_value"), F.col("pooled_value")
-    return wide.withColumn("winner", F.when(x.isNull() | y.isNull() | (x == y), "tie").when((x > y) == up, "band").otherwise("pooled"))
+    return wide.withColumn("winner", F.when(x.isNull() | y.isNull() | (F.round(x, 9) == F.round(y, 9)), "tie").when((x > y) == up, "band").otherwise("pooled"))
 
 
 @query(
