@@ -61,3 +61,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 def text_key(text: Column) -> Column:
     """Tells rows of one doc_id apart by their text."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Write a result to the shared folder and read it back: later steps start from files that
+    survive a lost executor."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

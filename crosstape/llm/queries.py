@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_pieces, packing, token_counts
+from . import audio, bitsliced, byte_pieces, langid, line_templates, ngram_orders, packing, suffix_dedup, token_counts, url_filter
 from .columns import read, scratch
 
 
@@ -16,6 +16,30 @@ def op1_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.line_report(read(spark, sf_dir, "documents"))
+
+
+def op3_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages"))
+
+
+def op4_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitsliced.top_k(read(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
+
+
+def op5_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
+def op6_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.audio_columns(read(spark, sf_dir, "documents"), with_media=False)
+
+
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), length=100, with_kept=False)
+
+
 def op8_byte_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pieces.encode_decode(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
@@ -24,5 +48,23 @@ def op9_digest_cache_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), scratch(spark, "token-counts"), limit=512)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_power_of_two_packing, op8_byte_pieces, op9_digest_cache_counts)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_ngram_orders_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_orders.similarity_components(read(spark, sf_dir, "documents"), k=5, threshold=75).select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_power_of_two_packing,
+        op2_line_templates,
+        op3_url_vocabulary,
+        op4_bit_sliced_top_k,
+        op5_byte_gru_language,
+        op6_audio_features,
+        op7_suffix_array_dedup,
+        op8_byte_pieces,
+        op9_digest_cache_counts,
+        op10_ngram_orders_join,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op2_line_templates": line_templates.ORACLE, "op3_url_vocabulary": url_filter.oracle(), "op4_bit_sliced_top_k": bitsliced.ORACLE}
