@@ -22,7 +22,7 @@ class Pieces(dict):
 
     def __init__(self, encode: Callable[[list[str]], list], most: int = 600_000):
         super().__init__()
-        self.encode, self.most = encode, most
+        self.encode, self.most, self.before = encode, most, {}
 
     @staticmethod
     def chunks(text: str) -> list:
@@ -39,12 +39,16 @@ class Pieces(dict):
         return parts if parts[0][0] else parts[1:]
 
     def fill(self, texts: Iterable[list]) -> None:
-        """Encode the chunks that are not known yet; the cache is emptied when it is full."""
+        """Encode the chunks that are not known yet. A full cache becomes the one before, of which
+        only what is asked for again moves on."""
         new = set().union(*texts) - self.keys()
         if len(self) + len(new) > self.most:
+            self.before = dict(self)
             self.clear()
             new = set().union(*texts)
-        keys = list(new)
+        known = new & self.before.keys()
+        self.update((k, self.before[k]) for k in known)
+        keys = list(new - known)
         for lo in range(0, len(keys), 20_000):
             part = keys[lo : lo + 20_000]
             self.update(zip(part, self.encode([k[0] if isinstance(k, tuple) else " " + k for k in part]), strict=True))
