@@ -330,9 +330,10 @@ def merge(found: DataFrame, count_of: int) -> DataFrame:
     return found.groupBy("shard").applyInPandas(settle, "shard int, entries binary")
 
 
-def removal(docs: DataFrame, gone: DataFrame, length: int, with_kept: bool) -> DataFrame:
+def removal(docs: DataFrame, gone: DataFrame, length: int, with_kept: bool | str) -> DataFrame:
     extra = [f for f in docs.schema.fields if f.name not in ("doc_id", "key", "text", "shard", "id_null")]
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<struct<start:long,length:long>>" * with_kept
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    schema += {False: "", True: ", kept binary, spans array<struct<start:long,length:long>>", "text": ", kept_text string"}[with_kept]
     schema = ", ".join([schema, *(f"`{f.name}` {f.dataType.simpleString()}" for f in extra)])
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -357,7 +358,9 @@ def removal(docs: DataFrame, gone: DataFrame, length: int, with_kept: bool) -> D
             else:
                 raw, edge = view[a:b].tobytes(), np.zeros(0, np.int64)
             stats.append((b - a, b - a - len(raw), len(edge) // 2, hashlib.sha256(raw).hexdigest()))
-            if with_kept:
+            if with_kept == "text":
+                kept.append(raw.decode("utf-8", "ignore"))
+            elif with_kept:
                 kept.append(raw)
                 spans.append([{"start": int(x), "length": int(y - x)} for x, y in zip(edge[::2], edge[1::2], strict=True)])
         rows = left.combine_chunks().take(pa.array(shard.rows))
@@ -366,7 +369,9 @@ def removal(docs: DataFrame, gone: DataFrame, length: int, with_kept: bool) -> D
         for i, name in enumerate(("n_bytes", "n_removed", "n_spans")):
             out[name] = pa.array([int(s[i]) for s in stats], pa.int64())
         out["kept_sha256"] = pa.array([s[3] for s in stats], pa.string())
-        if with_kept:
+        if with_kept == "text":
+            out["kept_text"] = pa.array(kept, pa.string())
+        elif with_kept:
             out["kept"] = pa.array(kept, pa.binary())
             out["spans"] = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))
         return pa.table(out | {f.name: rows.column(f.name) for f in extra})
@@ -374,9 +379,10 @@ def removal(docs: DataFrame, gone: DataFrame, length: int, with_kept: bool) -> D
     return docs.groupBy("shard").cogroup(gone.groupBy("shard")).applyInArrow(cut, schema)
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, with_kept: bool = True, id_col: str = "doc_id", text_col: str = "text", **carried) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, with_kept: bool | str = True, id_col: str = "doc_id", text_col: str = "text", **carried) -> DataFrame:
     """One row per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with_kept, the kept bytes and the
-    removed spans. carried: further columns, by name, to hand through."""
+    removed spans, or with_kept="text" the kept bytes as kept_text (a character that lost some of its
+    bytes goes). carried: further columns, by name, to hand through."""
     if length < GRAM + 8:
         raise ValueError(f"length must be at least {GRAM + 8}")
     spark = docs.sparkSession
