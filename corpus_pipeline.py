@@ -31,8 +31,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go from all documents but the first; a document of which nothing is left goes."""
-    cut = line_templates.drop_recurring(docs)
-    return _recounted(cut.filter((F.col("_dropped") == 0) | (F.trim("text") != "")).select(*docs.columns))
+    cut = line_templates.drop_recurring(docs, dropped_col="_lines_dropped_here")
+    return _recounted(cut.filter((F.col("_lines_dropped_here") == 0) | (F.trim("text") != "")).select(*docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +42,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     empty = found.filter("n_shingles = 0").select(*ident, F.lit(True).alias("_all"))
     first = found.filter("n_shingles > 0 and doc_id <=> component_id").select(*ident).groupBy("_id").agg(F.min("_key").alias("_key")).withColumn("_all", F.lit(False))
     stays = empty.union(first).distinct()
-    keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), text_key(F.col("text").cast("string")).alias("_key"))
+    keyed = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), text_key(F.col("text").cast("string")).alias("_key"))
     joined = keyed.join(stays, ["_id", "_key"])
     once = joined.filter(~F.col("_all")).dropDuplicates(["_id", "_key"])
-    return once.unionByName(joined.filter("_all")).select(*docs.columns)
+    return once.unionByName(joined.filter("_all")).select("_row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .pieces import _LOADED
 
@@ -183,7 +184,7 @@ def train(docs: DataFrame) -> BiGru | None:
 
 def predict(docs: DataFrame, model: BiGru | None) -> DataFrame:
     """docs with lang_pred and score. docs: text and whatever is to be kept beside it."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", lang_pred string, score double"
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(stream):
         known: dict = {}

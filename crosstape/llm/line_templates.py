@@ -90,15 +90,16 @@ def _without(text: Column, gone: Column) -> Column:
     return F.array_join(kept, "\n")
 
 
-def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """docs, all columns, with the recurring lines gone from the text; and _dropped (how many)."""
+def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dropped_col: str = "_dropped", **params) -> DataFrame:
+    """docs, all columns, with the recurring lines gone from the text; and dropped_col (how many)."""
     lost, _ = recurring(_named(docs, id_col, text_col), **params)
     numbers = lost.groupBy("_id", "_key").agg(F.array_sort(F.collect_set("no")).alias("_gone"))
     text = docs[text_col].cast("string")
-    keyed = docs.select("*", F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("_id"), text_key(text).alias("_key"))
+    keyed = docs.select(F.struct("*").alias("_row"), F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("_id"), text_key(text).alias("_key"))
     joined = keyed.join(numbers, ["_id", "_key"], "left")
-    out = [F.when(F.col("_gone").isNull(), F.col(c)).otherwise(_without(F.col(c), F.col("_gone"))).alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return joined.select(*out, F.coalesce(F.size("_gone"), F.lit(0)).alias("_dropped"))
+    own = F.col("_row")[text_col]
+    left = F.when(F.col("_gone").isNull(), own).otherwise(_without(own, F.col("_gone")))
+    return joined.select(*((left if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns), F.coalesce(F.size("_gone"), F.lit(0)).alias(dropped_col))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:

@@ -38,6 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .columns import U64, documents, flat, mix, slices
 from .suffix_arrays import common_prefixes, merge_runs, suffix_array, window_digests, words_at
@@ -332,9 +333,8 @@ def merge(found: DataFrame, count_of: int) -> DataFrame:
 
 def removal(docs: DataFrame, gone: DataFrame, length: int, with_kept: bool | str) -> DataFrame:
     extra = [f for f in docs.schema.fields if f.name not in ("doc_id", "key", "text", "shard", "id_null")]
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    schema += {False: "", True: ", kept binary, spans array<struct<start:long,length:long>>", "text": ", kept_text string"}[with_kept]
-    schema = ", ".join([schema, *(f"`{f.name}` {f.dataType.simpleString()}" for f in extra)])
+    schema = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + {False: "", True: ", kept binary, spans array<struct<start:long,length:long>>", "text": ", kept_text string"}[with_kept])
+    schema = T.StructType([*schema.fields, *extra])
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         shard = Shard(left)
