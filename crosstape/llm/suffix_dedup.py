@@ -8,7 +8,8 @@ cross documents.
    have equal least hashes, so a window whose hash stands in one place only is unique. Runs of
    windows with one hash travel as (hash, digest of the run's bytes, place), packed by hash range.
 2. runs: of runs with equal bytes all but the first repeat it as a whole. First ones whose hash
-   other runs share, or in which the hash stands twice, are open.
+   other runs share, or in which the hash stands twice, are open; of these only the windows
+   whose bytes on one side of the hashed gram (half of the rest) another run holds there too.
 3. shards: documents are dealt to shards by id. A shard sorts the suffixes of its open
    stretches (Larsson and Sadakane), takes common prefixes (Kasai) and so finds windows that
    repeat inside it. The first of each class leaves for the merge as a sorted run of digests, cut
@@ -45,9 +46,11 @@ from .suffix_arrays import common_prefixes, merge_runs, suffix_array, window_dig
 
 GRAM = 32
 #: Text handled at once, and runs held before they are sent.
-CHUNK, FLUSH = 2_000_000, 1_500_000
+CHUNK, FLUSH = 500_000, 500_000
 #: Windows in one run at most (longer runs are cut; their parts share the hash).
 RUN = 30_000
+#: No place of the gram is known.
+TWICE = 255
 NO_ID = -(2**63)
 
 
@@ -61,12 +64,12 @@ def _sliding(f, x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs_of(data: np.ndarray, at: np.ndarray, length: int):
-    """For each run of windows with one least hash: hash, place in data, windows, inner (the hash may
-    stand in it twice)."""
+    """For each run of windows with one least hash: hash, place in data, windows, and how far into
+    the run its gram starts (TWICE if it may stand there more than once)."""
     n, wide = len(data), length - GRAM + 1
     none = np.zeros(0, np.int64)
     if n < length:
-        return none.astype(U64), none, none, none.astype(bool)
+        return none.astype(U64), none, none, none
     w = words_at(data)
     h = w[: n - GRAM + 1] * U64(0x9E3779B97F4A7C15)
     for k, c in ((8, 0xC2B2AE3D27D4EB4F), (16, 0x165667B19E3779F9), (24, 0xD6E8FEB86659FD93)):
@@ -81,7 +84,7 @@ def runs_of(data: np.ndarray, at: np.ndarray, length: int):
     np.add.at(step, ends, -1)
     start = np.flatnonzero(np.cumsum(step[: n - length + 1]) == 0)  # windows inside one document
     if not len(start):
-        return none.astype(U64), none, none, none.astype(bool)
+        return none.astype(U64), none, none, none
     m = least[start]
     new = np.flatnonzero(np.concatenate(([True], (m[1:] != m[:-1]) | (start[1:] != start[:-1] + 1))))
     count = np.diff(np.append(new, len(start)))
@@ -90,18 +93,25 @@ def runs_of(data: np.ndarray, at: np.ndarray, length: int):
         nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         new = np.repeat(new, parts) + nth * RUN
         count = np.diff(np.append(new, len(start)))
-    place = start[new]
-    # Places where some window has its least hash; neighbours with one hash make a run suspect.
+    place, m = start[new], m[new]
+    last = place + count - 1
+    # Places where some window has its least hash. Every run holds its gram behind the start of its last window.
     most = _sliding(np.maximum, np.concatenate((np.zeros(wide - 1, U64), least, np.zeros(wide - 1, U64))), wide)
     minima = np.flatnonzero(h == most)
+    k = np.searchsorted(minima, last)
+    seek = np.arange(len(k))
+    while len(seek := seek[h[minima[k[seek]]] != m[seek]]):
+        k[seek] += 1
+    into = minima[k] - place
+    # Neighbouring minima with one hash make a run suspect.
     twice = np.flatnonzero(h[minima[1:]] == h[minima[:-1]])
-    inner = np.zeros(len(place), bool)
     if len(twice):
         one, two = minima[twice], minima[twice + 1]
         k = np.searchsorted(one, place)
-        ok = k < len(one)
-        inner[ok] = two[k[ok]] <= (place + count - 1)[ok] + wide - 1
-    return m[new], place, count, inner
+        ok = np.flatnonzero(k < len(one))
+        into[ok[two[k[ok]] <= last[ok] + wide - 1]] = TWICE
+    into[into > TWICE] = TWICE
+    return m, place, count, into
 
 
 class Places:
@@ -111,17 +121,20 @@ class Places:
     def pack(doc: np.ndarray, start: np.ndarray, count: np.ndarray, ids: np.ndarray, keys: np.ndarray, *more: np.ndarray) -> bytes:
         used, local = np.unique(doc, return_inverse=True)
         head = struct.pack("<II", len(doc), len(used))
-        return b"".join([head, local.astype("<u4").tobytes(), start.astype("<u4").tobytes(), count.astype("<u2").tobytes(), ids[used].astype("<i8").tobytes(), keys[used].astype("<i4").tobytes(), *(x.tobytes() for x in more)])
+        # Halves apart: the upper ones are mostly zero and compress away.
+        halves = [(x >> k & 0xFFFF).astype("<u2").tobytes() for x in (local, start) for k in (0, 16)]
+        return b"".join([head, *halves, count.astype("<u2").tobytes(), ids[used].astype("<i8").tobytes(), keys[used].astype("<i4").tobytes(), *(x.tobytes() for x in more)])
 
     @staticmethod
     def unpack(raw: bytes, *kinds: str):
         m, d = struct.unpack_from("<II", raw)
         at, out = 8, []
-        for kind, size in (("<u4", m), ("<u4", m), ("<u2", m), ("<i8", d), ("<i4", d), *((k, m) for k in kinds)):
+        for kind, size in (*[("<u2", m)] * 5, ("<i8", d), ("<i4", d), *((k, m) for k in kinds)):
             out.append(np.frombuffer(raw, kind, size, at))
             at += out[-1].nbytes
-        local, start, count, ids, keys, *more = out
-        return (ids[local], keys[local].astype(np.int64), start.astype(np.int64), count.astype(np.int64), *more)
+        l0, l1, s0, s1, count, ids, keys, *more = out
+        local, start = l0 | l1.astype(np.int64) << 16, s0 | s1.astype(np.int64) << 16
+        return (ids[local], keys[local].astype(np.int64), start, count.astype(np.int64), *more)
 
     @staticmethod
     def gather(blobs, *kinds: str):
@@ -163,16 +176,45 @@ def _joined(rank: np.ndarray, start: np.ndarray):
     return rank[new], start[new], np.diff(np.append(new, len(rank)))
 
 
+def _side(length: int) -> int:
+    """Every window holds so many bytes on one side of its gram at least."""
+    return (length - GRAM) // 2
+
+
+def _sides(data: np.ndarray, place: np.ndarray, into: np.ndarray, side: int) -> np.ndarray:
+    """16-bit digests of the bytes left and right of each gram (those outside the data count as zero)."""
+    padded = np.concatenate((np.zeros(side, np.uint8), data, np.zeros(side + TWICE, np.uint8)))
+    word = words_at(padded)
+    gram = place + into + side
+    out = []
+    for lo in (gram - side, gram + GRAM):
+        h = np.zeros(len(lo), U64)
+        for k in [*range(0, side - 8, 8), side - 8]:
+            h = (h ^ word[lo + k]) * U64(0x9FB21C651E98DF25)
+            h ^= h >> U64(29)
+        out.append((mix(h) >> U64(48)).astype("<u2"))
+    return np.stack(out)
+
+
+def _shared(group: np.ndarray, side: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Of the chosen entries: those whose side another chosen entry of the group has too."""
+    out = np.zeros(len(group), bool)
+    key = group[chosen] << np.int64(16) | side[chosen]
+    _, back, times = np.unique(key, return_inverse=True, return_counts=True)
+    out[chosen] = times[back] > 1
+    return out
+
+
 def anchors(docs: DataFrame, length: int, ranges: int) -> DataFrame:
     """part, entries: packed runs by hash range."""
 
     def run(stream):
-        held: list[list] = [[] for _ in range(6)]
+        held: list[list] = [[] for _ in range(7)]
         held_ids, held_keys = [], []
         size = docs_held = 0
 
         def out():
-            h, place, count, inner, digest, doc = (np.concatenate(c) for c in held)
+            h, place, count, into, digest, sides, doc = (np.concatenate(c, axis=-1) for c in held)
             ids, keys = np.concatenate(held_ids), np.concatenate(held_keys)
             by = np.argsort(h)
             part = ((h[by] >> U64(32)) * U64(ranges) >> U64(32)).astype(np.int64)
@@ -181,18 +223,18 @@ def anchors(docs: DataFrame, length: int, ranges: int) -> DataFrame:
             rows = []
             for r in np.flatnonzero(np.diff(cuts)):
                 w = by[cuts[r] : cuts[r + 1]]
-                rows.append((int(r), Places.pack(doc[w], place[w], count[w], ids, keys, low[w], digest[w], inner[w].astype("u1"))))
+                rows.append((int(r), Places.pack(doc[w], place[w], count[w], ids, keys, low[w], digest[w].astype("<u4"), (digest[w] >> U64(32)).astype("<u2"), into[w].astype("u1"), sides[0][w], sides[1][w])))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "entries"])
 
         for batch in stream:
             for lo, hi in slices(batch.column("text"), CHUNK):
                 data, at = flat(batch.column("text")[lo:hi])
-                h, place, count, inner = runs_of(data, at, length)
+                h, place, count, into = runs_of(data, at, length)
                 if len(h):
                     view = memoryview(data)
                     digest = np.array([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(place.tolist(), (place + count + length - 1).tolist(), strict=True)], U64)
                     doc = np.searchsorted(at, place, "right") - 1
-                    for c, x in zip(held, (h, place - at[doc], count, inner, digest, doc + docs_held), strict=True):
+                    for c, x in zip(held, (h, place - at[doc], count, into, digest, _sides(data, place, into, _side(length)), doc + docs_held), strict=True):
                         c.append(x)
                     held_ids.append(batch.column("doc_id")[lo:hi].to_numpy())
                     held_keys.append(batch.column("key")[lo:hi].to_numpy())
@@ -209,29 +251,39 @@ def anchors(docs: DataFrame, length: int, ranges: int) -> DataFrame:
     return docs.select("doc_id", "key", "text").mapInArrow(run, "part int, entries binary")
 
 
-def runs(packed: DataFrame, shards: int) -> DataFrame:
+def runs(packed: DataFrame, length: int, shards: int) -> DataFrame:
     """shard, kind, entries: kind 0 are runs that repeat an earlier one, kind 1 open ones."""
 
+    half = _side(length)
+
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, keys, start, count, h, digest, inner = Places.gather(pdf["entries"], "<u4", "<u8", "u1")
+        ids, keys, start, count, h, d0, d1, into, left, right = Places.gather(pdf["entries"], "<u4", "<u4", "<u2", "u1", "<u2", "<u2")
         # Of a hash that stands once, nothing is left to decide.
         _, back, times = np.unique(h, return_inverse=True, return_counts=True)
-        more = (times[back] > 1) | (inner > 0)
-        ids, keys, start, count, h, digest, inner = (x[more] for x in (ids, keys, start, count, h, digest, inner))
+        more = (times[back] > 1) | (into == TWICE)
+        digest = d0[more] | d1[more].astype(np.int64) << 32
+        ids, keys, start, count, h, into, left, right = (x[more] for x in (ids, keys, start, count, h, into, left, right))
         rank, doc_ids, doc_keys = _document_ranks(ids, keys)
         by = np.lexsort((start, rank, digest, h))
-        rank, start, count, h, digest, inner = (x[by] for x in (rank, start, count, h, digest, inner))
+        rank, start, count, h, digest, into, left, right = (x[by] for x in (rank, start, count, h, digest, into.astype(np.int64), left, right))
         if not len(h):
             return pd.DataFrame({"shard": [], "kind": [], "entries": []})
         new_h = np.concatenate(([True], h[1:] != h[:-1]))
         lead = new_h | np.concatenate(([True], digest[1:] != digest[:-1]))
         group = np.cumsum(new_h) - 1
-        kinds = np.bincount(group, lead)
         again = np.concatenate(([False], (rank[1:] == rank[:-1]) & (start[1:] == start[:-1])))  # a repeated row
-        is_open = lead & ((kinds[group] > 1) | (inner > 0))
-        rows = []
-        for kind, chosen in ((0, ~lead & ~again), (1, is_open)):
-            rows += _by_shard(kind, rank[chosen], start[chosen], count[chosen], doc_ids, doc_keys, shards)
+        # A window holds half bytes or more on one side of its gram: those up to `turn` on the left.
+        turn = np.clip(into - half + 1, 0, count)
+        vague = np.zeros(len(h), bool)
+        vague[np.isin(group, group[lead & (into == TWICE)])] = True
+        kinds = np.bincount(group, lead)
+        vague &= lead & ((kinds[group] > 1) | (into == TWICE))
+        lower = (lead & (turn > 0) & _shared(group, left, lead & (turn > 0))) | vague
+        upper = (lead & (turn < count) & _shared(group, right, lead & (turn < count))) | vague
+        lo, hi = np.where(lower, 0, turn), np.where(upper, count, turn)
+        is_open = (lower | upper) & (hi > lo)
+        rows = list(_by_shard(0, rank[~lead & ~again], start[~lead & ~again], count[~lead & ~again], doc_ids, doc_keys, shards))
+        rows += _by_shard(1, rank[is_open], (start + lo)[is_open], (hi - lo)[is_open], doc_ids, doc_keys, shards)
         return pd.DataFrame(rows, columns=["shard", "kind", "entries"])
 
     return packed.groupBy("part").applyInPandas(settle, "shard int, kind int, entries binary")
@@ -256,7 +308,15 @@ class Shard:
 
 
 def _cover(lo: np.ndarray, hi: np.ndarray, n: int) -> np.ndarray:
-    return np.cumsum(np.bincount(lo, minlength=n + 1) - np.bincount(hi, minlength=n + 1))[:n] > 0
+    """Which of n places lie in [lo, hi) of some entry. One byte a place: overlaps are joined first."""
+    step = np.zeros(n + 1, np.int8)
+    if len(lo):
+        by = np.argsort(lo, kind="stable")
+        lo, hi = lo[by], np.maximum.accumulate(hi[by])
+        new = np.concatenate(([True], lo[1:] > hi[:-1]))
+        step[lo[new]] = 1
+        step[hi[np.concatenate((new[1:], [True]))]] = -1
+    return np.cumsum(step[:n], dtype=np.int8).view(bool)
 
 
 def shards(docs: DataFrame, settled: DataFrame, length: int, count_of: int) -> DataFrame:
@@ -296,7 +356,7 @@ def shards(docs: DataFrame, settled: DataFrame, length: int, count_of: int) -> D
             cuts = np.concatenate(([0], np.searchsorted(one, bounds), [len(one)]))
             for r in np.flatnonzero(np.diff(cuts)):
                 w = slice(cuts[r], cuts[r + 1])
-                rows.append((count_of + int(r), 2, Places.pack(doc[own[w]], offset[own[w]], np.ones(cuts[r + 1] - cuts[r]), shard.ids, shard.keys, one[w], two[w].astype("<u4"))))
+                rows.append((count_of + int(r), 2, Places.pack(doc[own[w]], offset[own[w]], np.ones(cuts[r + 1] - cuts[r]), shard.ids, shard.keys, one[w], two[w].astype("<u2"))))
         return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array([r[1] for r in rows], pa.int32()), "entries": pa.array([r[2] for r in rows], pa.binary())})
 
     return docs.groupBy("shard").cogroup(settled.groupBy("shard")).applyInArrow(sort, "shard int, kind int, entries binary")
@@ -308,7 +368,7 @@ def merge(found: DataFrame, count_of: int) -> DataFrame:
     def settle(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if key[0] < count_of:
             return pdf[["shard", "entries"]]
-        parts = [Places.unpack(e, "<u8", "<u4") for e in pdf["entries"]]
+        parts = [Places.unpack(e, "<u8", "<u2") for e in pdf["entries"]]
         ids, keys = (np.concatenate([p[c] for p in parts]) for c in (0, 1))
         rank, doc_ids, doc_keys = _document_ranks(ids, keys)
         sorted_runs, lo = [], 0
@@ -383,14 +443,14 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_kept: bool | str = T
     """One row per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with_kept, the kept bytes and the
     removed spans, or with_kept="text" the kept bytes as kept_text (a character that lost some of its
     bytes goes). carried: further columns, by name, to hand through."""
-    if length < GRAM + 8:
-        raise ValueError(f"length must be at least {GRAM + 8}")
+    if length < GRAM + 16:
+        raise ValueError(f"length must be at least {GRAM + 16}")
     spark = docs.sparkSession
     count_of = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = documents(docs, id_col, text_col, **carried).withColumn("text", F.coalesce("text", F.lit("")))
     d = d.withColumn("id_null", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("key", F.hash("text"))
     n = F.lit(count_of)
     d = d.withColumn("shard", F.pmod(F.pmod("doc_id", n) + F.pmod("key", n), n).cast("int"))
-    settled = runs(anchors(d, length, count_of), count_of)
+    settled = runs(anchors(d, length, count_of), length, count_of)
     found = shards(d, settled, length, count_of)  # both groupings of d share one exchange
     return removal(d, merge(found, count_of), length, with_kept)
