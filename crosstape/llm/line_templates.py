@@ -24,32 +24,35 @@ from .columns import keep, text_key
 
 DEPTH, MIN_TOKENS, MIN_DOCS, SIMILARITY = 3, 4, 10, 0.7
 NO_ID = -(2**63)
+#: Leaves (8 bytes each) up to which the recurring ones are broadcast; beyond it they are joined by a shuffle.
+SMALL = 500_000
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def masked(line: Column) -> Column:
-    """Blanks run together, digits as <*>."""
-    return F.regexp_replace(F.trim(F.regexp_replace(line, r"[ \t\r]+", " ")), "[0-9]+", "<*>")
+def masked(text: Column) -> Column:
+    """All lines at once: blanks run together and cut off at both ends of a line, digits as <*>. Done
+    before the lines are taken apart, so that no filter on a line evaluates it again."""
+    one = F.regexp_replace(F.regexp_replace(text, r"[ \t\r]{2,}|[\t\r]", " "), "[0-9]+", "<*>")
+    return F.trim(F.replace(F.replace(one, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n")))
 
 
 def tree_lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """id, key, no (line number from 0), line (masked), leaf of all lines that are long enough."""
-    d = docs.select("_id", "_key", F.posexplode(_lines(F.col("_text"))).alias("no", "line"))
-    d = d.withColumn("line", masked(F.col("line")))
-    blanks = F.length("line") - F.length(F.replace("line", F.lit(" ")))
+    """_id, _key, no (line number from 0), line (masked), leaf of all lines that are long enough."""
+    d = docs.select("_id", "_key", F.posexplode(_lines(masked(F.col("_text")))).alias("no", "line"))
+    blanks = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" ")))
     head = F.substring_index("line", " ", depth)
-    return d.filter((F.length("line") > 0) & (blanks + 1 >= min_tokens)).withColumn("leaf", F.xxhash64(blanks, head))
+    return d.filter((F.octet_length("line") > 0) & (blanks + 1 >= min_tokens)).withColumn("leaf", F.xxhash64(blanks, head))
 
 
 def recurring(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Lines of recurring templates (_id, _key, no, line, template) that are not their first document's, and the
     seeds (leaf, seed). docs: _id, _key, _text."""
     lines = tree_lines(docs, depth, min_tokens)
-    full = lines.select("leaf").groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("leaf")
-    near = keep(lines.join(full, "leaf"), "tree-lines")
+    full = keep(lines.select("leaf").groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("leaf"), "leaves")
+    near = keep(lines.join(F.broadcast(full) if full.count() <= SMALL else full, "leaf"), "tree-lines")
     distinct = near.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"))
     seeds = distinct.groupBy("leaf").agg(F.min(F.struct((-F.col("n")).alias("m"), "line")).alias("s")).select("leaf", F.col("s.line").alias("seed"))
     own, first = F.split("line", " "), F.split("seed", " ")

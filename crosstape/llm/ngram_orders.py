@@ -37,10 +37,12 @@ from .columns import U64, documents, flat, keep, mix, slices, text_key
 from .components import components
 from .shingles import set_digest, shingle_sets
 
-#: Most tokens that can be called frequent: a proven bound on what is sent to the tasks (8 bytes each).
-HEAVY = 100_000
+#: Most tokens that can be called frequent: a proven bound on what is sent to the tasks (12 bytes each).
+HEAVY = 1_000_000
+#: Tokens that are counted together, and in how many of their documents one must stand to be called frequent.
+COUNTED, OFTEN = 1_300_000, 3
 #: Text handled at once, and list entries held before they are sent.
-CHUNK, FLUSH = 2_000_000, 1_500_000
+CHUNK, FLUSH = 500_000, 500_000
 #: Rows (24 bytes each) up to which the chosen documents are broadcast; beyond it they are joined by a shuffle.
 SMALL = 200_000
 #: Entries of one token in one flush beyond which they skip the reducer (they are shared already).
@@ -60,7 +62,9 @@ def in_order(tokens: np.ndarray, heavy: np.ndarray, rank: np.ndarray, seed: int,
         at = np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)
         frequent = heavy[at] == tokens
         if frequent.any():
-            own = rank[at[frequent]] if not seed else mix(rank[at[frequent]] ^ U64(seed)) >> U64(1)
+            own = rank[at[frequent]].astype(U64)
+            if seed:
+                own = mix(own ^ U64(seed)) >> U64(1)
             key[frequent] = own | U64(1 << 63)
     if count < len(key):
         part = np.argpartition(key, count - 1)[:count]
@@ -69,41 +73,45 @@ def in_order(tokens: np.ndarray, heavy: np.ndarray, rank: np.ndarray, seed: int,
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """kind 0: doc_id, key (of the text), n (set size), dg (set digest). kind 1: tokens that are frequent
-    in a chunk (dg) and in how many of its documents (n). A token with a share of 1 / HEAVY
-    of all tokens has that share in some chunk, so none of them is missed."""
+    """kind 0: doc_id, key (of the text), n (set size), dg (set digest). kind 1: tokens (dg) that stand in
+    OFTEN documents or more of some COUNTED tokens, and in how many (n). A token with a share of
+    OFTEN / COUNTED of all tokens has it in some such part, so none of these is missed."""
     schema = "kind int, doc_id long, key long, n long, dg long"
 
+    def frequent(held):
+        every = np.sort(np.concatenate(held))
+        starts = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+        count = np.diff(np.append(starts, len(every)))
+        often = count >= OFTEN
+        none = pa.nulls(int(often.sum()), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(none), np.int32)), none, none, pa.array(count[often].astype(np.int64)), pa.array(every[starts[often]].view(np.int64))], names=["kind", "doc_id", "key", "n", "dg"])
+
     def run(stream):
+        held, size = [], 0
         for batch in stream:
             for lo, hi in slices(batch.column("text"), CHUNK):
                 sets = shingle_sets(*flat(batch.column("text")[lo:hi]), k)
-                every = np.sort(np.concatenate(sets))
-                starts = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
-                count = np.diff(np.append(starts, len(every)))
-                often = count >= max(3, len(every) / HEAVY)
-                m, size = int(often.sum()), hi - lo
-                none = pa.nulls(m, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(np.array([0, 1], np.int32), [size, m])),
-                        pa.concat_arrays([batch.column("doc_id")[lo:hi], none]),
-                        pa.concat_arrays([batch.column("key")[lo:hi], none]),
-                        pa.array(np.concatenate(([len(s) for s in sets], count[often])).astype(np.int64)),
-                        pa.array(np.concatenate((np.array([set_digest(s) for s in sets], np.int64), every[starts[often]].view(np.int64)))),
-                    ],
-                    names=["kind", "doc_id", "key", "n", "dg"],
-                )
+                out = [pa.array(np.zeros(hi - lo, np.int32)), batch.column("doc_id")[lo:hi], batch.column("key")[lo:hi], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.int64())]
+                yield pa.RecordBatch.from_arrays(out, names=["kind", "doc_id", "key", "n", "dg"])
+                for s in sets:
+                    if len(s):
+                        held.append(s)
+                        size += len(s)
+                if size >= COUNTED:
+                    yield frequent(held)
+                    held, size = [], 0
+        if size:
+            yield frequent(held)
 
     return docs.mapInArrow(run, schema)
 
 
 def frequent_tokens(signed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """At most HEAVY tokens, sorted, and their ranks (rarest first)."""
-    top = signed.filter("kind = 1").groupBy("dg").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "dg").limit(HEAVY).collect()
-    tokens = np.array([r.dg for r in reversed(top)], np.int64).view(U64)
+    top = signed.filter("kind = 1").groupBy("dg").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "dg").limit(HEAVY).select("dg").toArrow()
+    tokens = top.column("dg").to_numpy()[::-1].copy().view(U64)
     by = np.argsort(tokens)
-    return tokens[by], by.astype(U64)
+    return tokens[by], by.astype(np.uint32)
 
 
 def _blob(tok, doc, pos, names, sizes) -> bytes:
