@@ -40,7 +40,7 @@ from .shingles import set_digest, shingle_sets
 #: Most tokens that can be called frequent: a proven bound on what is sent to the tasks (12 bytes each).
 HEAVY = 1_000_000
 #: Tokens that are counted together, and in how many of their documents one must stand to be called frequent.
-COUNTED, OFTEN = 1_300_000, 3
+COUNTED, OFTEN = 3_000_000, 3
 #: Text handled at once, and list entries held before they are sent.
 CHUNK, FLUSH = 500_000, 500_000
 #: Rows (24 bytes each) up to which the chosen documents are broadcast; beyond it they are joined by a shuffle.
