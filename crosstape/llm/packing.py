@@ -11,7 +11,6 @@ stand there. Extra columns are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
-import array
 import zlib
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import documents
-from .pieces import Pieces, batches, tokenizer, worker_cache
+from .pieces import Pieces, batches, encode_chunks, tokenizer, worker_cache
 
 
 def piece_lengths(n: int, max_len: int) -> list[int]:
@@ -39,7 +38,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_len: int = 2048, end_id: int
 
     def run(stream):
         tok = tokenizer(tokenizer_path)
-        cache = worker_cache(("ids", tokenizer_path), lambda: Pieces(lambda texts: [array.array("I", e.ids).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]))
+        cache = worker_cache(("ids", tokenizer_path), lambda: Pieces(lambda texts: encode_chunks(tok, texts)))
         end = np.array([end_id], "<u4").tobytes()
         for batch in stream:
             keys = batch.column("doc_id").to_pylist()

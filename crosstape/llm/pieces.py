@@ -12,6 +12,8 @@ import os
 import re
 from collections.abc import Callable, Iterable
 
+import numpy as np
+
 #: A chunk must not end in white space (a run of white space is one match of the pattern).
 _RUN = re.compile(r"\s ")
 
@@ -71,6 +73,34 @@ def tokenizer(path: str):
     return _LOADED[path]
 
 
+def encode_chunks(tok, texts: list[str], together: int = 64) -> list[bytes]:
+    """Ids (unsigned 32-bit) of each chunk text. Chunks that start with a space and don't end in white
+    space are encoded together, as one text; the bytes that each token stands for tell where a chunk ends."""
+    if ("length", id(tok)) not in _LOADED:
+        length = np.zeros(tok.get_vocab_size(), np.int64)
+        for piece, i in tok.get_vocab().items():
+            length[i] = len(piece)  # a character stands for a byte
+        _LOADED["length", id(tok)] = length
+    length = _LOADED["length", id(tok)]
+    out: list = [None] * len(texts)
+    joint = [i for i, t in enumerate(texts) if t[:1] == " " and not t[-1].isspace()]
+    groups = [joint[lo : lo + together] for lo in range(0, len(joint), together)]
+    for group, e in zip(groups, tok.encode_batch_fast(["".join([texts[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+        ids = np.array(e.ids, "<u4")
+        at = np.cumsum(length[ids])
+        ends = np.cumsum([len(texts[i].encode()) for i in group])
+        cut = np.minimum(np.searchsorted(at, ends), len(ids) - 1)
+        if (at[cut] == ends).all():
+            raw, lo = ids.tobytes(), 0
+            for i, hi in zip(group, (4 * cut + 4).tolist(), strict=True):
+                out[i] = raw[lo:hi]
+                lo = hi
+    alone = [i for i, x in enumerate(out) if x is None]
+    for i, e in zip(alone, tok.encode_batch_fast([texts[i] for i in alone], add_special_tokens=False), strict=True):
+        out[i] = np.array(e.ids, "<u4").tobytes()
+    return out
+
+
 def worker_cache(key: tuple, make: Callable[[], Pieces]) -> Pieces:
     """The cache outlives a task: Spark reuses its Python workers."""
     if key not in _LOADED:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import documents
-from .pieces import Pieces, batches, tokenizer, worker_cache
+from .pieces import Pieces, batches, encode_chunks, tokenizer, worker_cache
 
 CACHE_SCHEMA = "content_digest binary, version_digest string, n_tokens long"
 
@@ -50,7 +50,7 @@ def encode_counts(distinct: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(stream):
         tok = tokenizer(tokenizer_path)
-        cache = worker_cache(("counts", tokenizer_path), lambda: Pieces(lambda texts: [len(e) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]))
+        cache = worker_cache(("counts", tokenizer_path), lambda: Pieces(lambda texts: [len(x) // 4 for x in encode_chunks(tok, texts)]))
         for batch in stream:
             counts: list[int] = []
             for _, texts in batches([t or "" for t in batch.column("text").to_pylist()]):
