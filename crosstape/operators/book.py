@@ -32,10 +32,18 @@ def replay_difference(live: DataFrame, events: DataFrame, cols: list[str]) -> Da
     return here.exceptAll(back).withColumn("only_in", F.lit("live")).unionByName(back.exceptAll(here).withColumn("only_in", F.lit("log")))
 
 
-def queue(ranked: DataFrame, state: DataFrame, room: int, order: list[Column], keys: tuple[str, ...] = ("day", "bucket")) -> DataFrame:
-    """Names to queue: skip those live in the same bucket, then take ``room`` of what is left."""
-    live = state.filter(F.col("status").isin(*LIVE)).select("bucket", "symbol").distinct()
-    free = ranked.join(live, ["bucket", "symbol"], "left_anti")
+def live_spans(events: DataFrame) -> DataFrame:
+    """One row per position: bucket, symbol, queued_on and ``until``, the day it was closed or withdrawn (NULL: never)."""
+    ended = F.when(~F.col("status").isin(*LIVE), F.col("at"))
+    return events.groupBy("id", "bucket", "symbol").agg(F.min("queued_on").alias("since"), F.min(ended).alias("until")).drop("id")
+
+
+def queue(ranked: DataFrame, spans: DataFrame, room: int, order: list[Column], keys: tuple[str, ...] = ("day", "bucket")) -> DataFrame:
+    """Names to queue: skip those that an earlier order holds live in the same bucket on that day, then
+    take ``room`` of what is left. What happens to a position later is not known yet."""
+    s = spans.select(F.col("bucket").alias("_b"), F.col("symbol").alias("_s"), "since", "until")
+    held = (F.col("bucket") == F.col("_b")) & (F.col("symbol") == F.col("_s")) & (F.col("since") < F.col("day")) & (F.col("until").isNull() | (F.col("day") < F.col("until")))
+    free = ranked.join(s, held, "left_anti")
     w = Window.partitionBy(*keys).orderBy(*order)
     return free.withColumn("queue_no", F.row_number().over(w)).filter(F.col("queue_no") <= room)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from .ranking import GROUP_LIMIT, ranked
+from .ranking import wide_ranked
 
 LEDGER_FEATURES = ("rs", "deliv", "liq", "off_high", "near_high", "rsi")
 
@@ -19,9 +19,9 @@ def attribution(trades: DataFrame, key: str, ret: str = "ret") -> DataFrame:
     )
 
 
-def concentration(per_symbol: DataFrame, symbols: int, limit: int = GROUP_LIMIT) -> DataFrame:
+def concentration(per_symbol: DataFrame) -> DataFrame:
     """Share of all winning totals that the best 1, 3 and tenth of names supply."""
-    rows = ranked(per_symbol, [], [F.col("total").desc(), F.col("symbol")], "_k", symbols, None, limit)
+    rows = wide_ranked(per_symbol, [], [F.col("total").desc(), F.col("symbol")], "_k")
     n = per_symbol.agg(F.count(F.lit(1))).scalar()
     won = F.when(F.col("total") > 0, F.col("total")).otherwise(0.0)
     tenth = F.greatest(F.lit(1), F.floor(F.col("_n") / 10))
@@ -40,14 +40,14 @@ def unpivot_features(ledger: DataFrame, features: tuple[str, ...] = LEDGER_FEATU
     return ledger.unpivot(keep, list(features), "feature", "x").filter(F.col("x").isNotNull() & F.col("ret").isNotNull())
 
 
-def feature_information(long: DataFrame, rows: int, by: tuple[str, ...] = (), least: int = 30, limit: int = GROUP_LIMIT) -> DataFrame:
+def feature_information(long: DataFrame, by: tuple[str, ...] = (), least: int = 30, slabs: int | None = None) -> DataFrame:
     """Mean return of the top third minus the bottom third by each feature.
 
     Under ``least`` rows a feature is skipped; one without variance reports 0.
     Ties are ordered by (date, symbol), so a result is reproducible.
     """
     keys = [*by, "feature"]
-    r = ranked(long, keys, [F.col("x"), F.col("day"), F.col("symbol")], "_k", rows, "_m", limit)
+    r = wide_ranked(long, keys, [F.col("x"), F.col("day"), F.col("symbol")], "_k", "_m", slabs)
     r = r.filter(F.col("_m") >= least).withColumn("_t", F.floor(F.col("_m") / 3))
     lo, hi = F.avg(F.when(F.col("_k") <= F.col("_t"), F.col("ret"))), F.avg(F.when(F.col("_k") > F.col("_m") - F.col("_t"), F.col("ret")))
     # Fewer than three distinct values: read off the extremes and the rows between.
@@ -66,15 +66,15 @@ def feature_information(long: DataFrame, rows: int, by: tuple[str, ...] = (), le
     )
 
 
-def split_check(long: DataFrame, rows: int, least: int = 100, split: float = 0.5, limit: int = GROUP_LIMIT) -> DataFrame:
+def split_check(long: DataFrame, least: int = 100, split: float = 0.5) -> DataFrame:
     """Does a feature's spread keep its sign from the early to the late part of the trades?
 
     verdict: consistent, flips, none (no information in one half), thin (too few rows).
     """
-    r = ranked(long, ["feature"], [F.col("day"), F.col("symbol")], "_o", rows, "_all", limit)
+    r = wide_ranked(long, ["feature"], [F.col("day"), F.col("symbol")], "_o", "_all")
     halves = r.withColumn("half", F.when(F.col("_o") <= F.floor(F.col("_all") * split), "early").otherwise("late"))
     total = halves.groupBy("feature").agg(F.max("_all").alias("n"))
-    info = feature_information(halves.drop("_o", "_all"), rows, ("half",), limit=limit)
+    info = feature_information(halves.drop("_o", "_all"), ("half",))
     wide = info.groupBy("feature").agg(
         F.max(F.when(F.col("half") == "early", F.col("spread"))).alias("early"),
         F.max(F.when(F.col("half") == "late", F.col("spread"))).alias("late"),
@@ -153,13 +153,13 @@ def welch_vs_control(per_arm: DataFrame, control: str, arm: str = "arm") -> Data
     )
 
 
-def tercile_spread(rows: DataFrame, key: str, n_rows: int, by: tuple[str, ...] = (), least: int = 30, limit: int = GROUP_LIMIT) -> DataFrame:
+def tercile_spread(rows: DataFrame, key: str, by: tuple[str, ...] = (), least: int = 30) -> DataFrame:
     """Mean return above the upper cut minus below the lower cut, strict cuts by position."""
     keys = list(by) or ["_g"]
     rows = rows.filter(F.col(key).isNotNull())
     if not by:
         rows = rows.withColumn("_g", F.lit(1))
-    r = ranked(rows, keys, [F.col(key), F.col("day"), F.col("symbol")], "_k", n_rows, "_m", limit).withColumn("_k", F.col("_k") - 1)
+    r = wide_ranked(rows, keys, [F.col(key), F.col("day"), F.col("symbol")], "_k", "_m").withColumn("_k", F.col("_k") - 1)
     cuts = r.groupBy(*keys).agg(
         F.max(F.when(F.col("_k") == F.floor(F.col("_m") / 3), F.col(key))).alias("_lo"),
         F.max(F.when(F.col("_k") == F.floor(2 * F.col("_m") / 3), F.col(key))).alias("_hi"),
@@ -174,17 +174,17 @@ def tercile_spread(rows: DataFrame, key: str, n_rows: int, by: tuple[str, ...] =
     return out if by else out.drop("_g")
 
 
-def exact_median(rows: DataFrame, key: str, by: list[str], n_rows: int, into: str = "median", limit: int = GROUP_LIMIT) -> DataFrame:
+def exact_median(rows: DataFrame, key: str, by: list[str], into: str = "median", slabs: int | None = None) -> DataFrame:
     """Exact median per group from ranked positions; holds at any group size."""
-    r = ranked(rows.filter(F.col(key).isNotNull()), by, [F.col(key)], "_k", n_rows, "_m", limit)
+    r = wide_ranked(rows.filter(F.col(key).isNotNull()), by, [F.col(key)], "_k", "_m", slabs)
     mid = (F.col("_k") == F.floor((F.col("_m") + 1) / 2)) | (F.col("_k") == F.floor(F.col("_m") / 2) + 1)
     # Two middle rows (the same one twice when odd) averaged; equal values share any order.
     return r.filter(mid).groupBy(*by).agg(F.avg(key).alias(into), F.max("_m").alias("n"))
 
 
-def median_spread(long: DataFrame, n_rows: int, least: int = 100, side: int = 50, limit: int = GROUP_LIMIT) -> DataFrame:
+def median_spread(long: DataFrame, least: int = 100, side: int = 50) -> DataFrame:
     """Mean return above a feature's median minus at or below it, with size guards."""
-    med = exact_median(long, "x", ["feature"], n_rows, "med", limit)
+    med = exact_median(long, "x", ["feature"], "med")
     hi, lo = F.when(F.col("x") > F.col("med"), F.col("ret")), F.when(F.col("x") <= F.col("med"), F.col("ret"))
     out = long.join(F.broadcast(med), "feature").groupBy("feature", "med", "n").agg(
         F.avg(hi).alias("_h"), F.avg(lo).alias("_l"), F.count(hi).alias("n_hi"), F.count(lo).alias("n_lo")
@@ -193,9 +193,9 @@ def median_spread(long: DataFrame, n_rows: int, least: int = 100, side: int = 50
     return out.withColumn("spread", F.when(ok, F.col("_h") - F.col("_l"))).drop("_h", "_l")
 
 
-def signed_split(long: DataFrame, n_rows: int, limit: int = GROUP_LIMIT) -> DataFrame:
+def signed_split(long: DataFrame) -> DataFrame:
     """High/low groups per feature where it varies: sign for tone, set/unset for flag, median otherwise."""
-    med = exact_median(long, "x", ["feature"], n_rows, "med", limit)
+    med = exact_median(long, "x", ["feature"], "med")
     f, x = F.col("feature"), F.col("x")
     hi = F.when(f.isin("ann_tone", "ann_flag"), x > 0).otherwise(x > F.col("med"))
     lo = F.when(f == "ann_tone", x < 0).when(f == "ann_flag", x == 0).otherwise(x <= F.col("med"))

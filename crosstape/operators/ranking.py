@@ -1,4 +1,4 @@
-"""Row numbers inside groups, exact at any group size."""
+"""Row numbers inside groups: one window per session, range slabs where a group grows with the history."""
 
 from __future__ import annotations
 
@@ -7,40 +7,35 @@ from pyspark.sql import functions as F
 
 from ..session import durable
 
-# Above this many rows in one group a single sort task becomes the bottleneck.
-GROUP_LIMIT = 2_000_000
 # Share of the universe, from the least liquid end, that bands are cut from.
 TRADEABLE = 2 / 3
 
 
-def ranked(
-    df: DataFrame,
-    by: list[str],
-    order: list[Column],
-    into: str,
-    group_rows: int,
-    count_into: str | None = None,
-    limit: int = GROUP_LIMIT,
-) -> DataFrame:
-    """Add the 1-based position of each row in its group (and the group size).
+def ranked(df: DataFrame, by: list[str], order: list[Column], into: str, count_into: str | None = None) -> DataFrame:
+    """Add the 1-based position of each row in its group (and the group size), one window per group.
 
-    ``order`` must be total. ``group_rows`` is an upper bound on one group's rows
-    measured by the caller. Small groups use one window; larger ones are range
-    partitioned over (group, order), numbered inside each slab and shifted by
-    the rows of earlier slabs, so no task ever holds a whole group.
+    For groups of one session: they hold a row per listed symbol. ``order`` must be total.
+    Groups that grow with the history go through ``wide_ranked``.
     """
-    if group_rows <= limit:
-        keys = by or [F.lit(0)]
-        out = df.withColumn(into, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
-        if count_into:
-            out = out.withColumn(count_into, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-        return out
-    return _slab_ranked(df, by, order, into, count_into)
+    out = df.withColumn(into, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
+    if count_into:
+        out = out.withColumn(count_into, F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    return out
 
 
-def _slab_ranked(df: DataFrame, by: list[str], order: list[Column], into: str, count_into: str | None) -> DataFrame:
+def wide_ranked(
+    df: DataFrame, by: list[str], order: list[Column], into: str, count_into: str | None = None, slabs: int | None = None
+) -> DataFrame:
+    """As ``ranked``, for groups of any size, or one group of all rows.
+
+    Rows are range partitioned over (group, order), numbered inside each slab and
+    shifted by the rows of earlier slabs, so no task ever holds a whole group. A
+    hash of the row ends the order: rows that are equal under it spread over
+    slabs too, and their places are repeatable.
+    """
     spark = df.sparkSession
-    slabs = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slabs = slabs or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [*order, F.xxhash64(*df.columns)]
     # Slab ids must not move between the two reads below, hence the checkpoint.
     laid = durable(df.repartitionByRange(slabs, *by, *order).withColumn("_slab", F.spark_partition_id()))
     # At most one row per slab plus one per group boundary.
@@ -59,37 +54,38 @@ def _slab_ranked(df: DataFrame, by: list[str], order: list[Column], into: str, c
     )
 
 
-def percentile_rank(
-    df: DataFrame, by: list[str], value: str, ties: list[str], into: str, group_rows: int, limit: int = GROUP_LIMIT
-) -> DataFrame:
+def percentile_rank(df: DataFrame, by: list[str], value: str, ties: list[str], into: str) -> DataFrame:
     """Position / group size * 100; equal values take consecutive places in ``ties`` order."""
     order = [F.col(value), *[F.col(t) for t in ties]]
-    out = ranked(df, by, order, "_k", group_rows, "_m", limit)
+    out = ranked(df, by, order, "_k", "_m")
     return out.withColumn(into, F.col("_k") / F.col("_m") * 100).drop("_k", "_m")
 
 
-def neutral_percentile_rank(
-    df: DataFrame, by: list[str], value: str, ties: list[str], into: str, group_rows: int, limit: int = GROUP_LIMIT
-) -> DataFrame:
-    """As percentile_rank over the known values; an unknown value sits at 50."""
-    flag = f"_has_{into}"
-    out = percentile_rank(df.withColumn(flag, F.col(value).isNotNull()), [*by, flag], value, ties, into, group_rows, limit)
-    return out.withColumn(into, F.when(F.col(flag), F.col(into)).otherwise(F.lit(50.0))).drop(flag)
+def neutral_percentile_rank(df: DataFrame, by: list[str], value: str, ties: list[str], into: str) -> DataFrame:
+    """As percentile_rank over the known values; an unknown value sits at 50.
 
+    Unknown values stand last in the group's own order, so no exchange is added.
+    """
+    known = F.col(value).isNotNull()
+    group = Window.partitionBy(*by)
+    place = F.row_number().over(group.orderBy((~known).cast("int"), value, *ties))
+    of = F.count(F.when(known, 1)).over(group)
+    return df.withColumn(into, F.when(known, place / of * 100).otherwise(F.lit(50.0)))
 
-def relative_strength(bars: DataFrame, lookbacks, per_day: int, limit: int = GROUP_LIMIT) -> DataFrame:
-    """Per-day percentile of each k-bar return among the symbols that have one."""
+
+def relative_strength(bars: DataFrame, lookbacks) -> DataFrame:
+    """Per-day percentile of each k-bar return among the symbols that have one; all from one exchange on the day."""
     from ..functions.indicators import bar_return
 
     out = bars
     for k in lookbacks:
         out = out.withColumn(f"_r{k}", bar_return(k))
+    day = Window.partitionBy("day")
     for k in lookbacks:
-        flag = f"_h{k}"
-        out = percentile_rank(
-            out.withColumn(flag, F.col(f"_r{k}").isNotNull()), ["day", flag], f"_r{k}", ["symbol"], f"rs_{k}", per_day, limit
-        ).withColumn(f"rs_{k}", F.when(F.col(flag), F.col(f"rs_{k}")))
-    return out.drop(*[f"_r{k}" for k in lookbacks], *[f"_h{k}" for k in lookbacks])
+        known = F.col(f"_r{k}").isNotNull()
+        place = F.row_number().over(day.orderBy((~known).cast("int"), f"_r{k}", "symbol"))
+        out = out.withColumn(f"rs_{k}", F.when(known, place / F.count(F.when(known, 1)).over(day) * 100))
+    return out.drop(*[f"_r{k}" for k in lookbacks])
 
 
 def breadth(bars_with_ema: DataFrame, ema: str = "ema50") -> DataFrame:
@@ -101,16 +97,14 @@ def breadth(bars_with_ema: DataFrame, ema: str = "ema50") -> DataFrame:
     )
 
 
-def size_bands(
-    features: DataFrame, per_day: int, names: tuple[str, ...] = ("micro", "small"), limit: int = GROUP_LIMIT
-) -> DataFrame:
+def size_bands(features: DataFrame, names: tuple[str, ...] = ("micro", "small")) -> DataFrame:
     """Turnover bands per day: the most liquid third is cut, the rest split in equal bands.
 
     Integer arithmetic on the ascending rank; an ntile would place remainders differently.
     Adds band, band_ix and size_rank (0-based over the day).
     """
     eligible = features.filter((F.col("ix") >= 200) & (F.col("size_n") > 100))
-    out = ranked(eligible, ["day"], [F.col("size_med"), F.col("symbol")], "_k", per_day, "_m", limit)
+    out = ranked(eligible, ["day"], [F.col("size_med"), F.col("symbol")], "_k", "_m")
     k = len(names)
     out = out.withColumn("_cut", F.floor(F.col("_m") * TRADEABLE)).withColumn("size_rank", F.col("_k") - 1)
     ix = None

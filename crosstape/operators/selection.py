@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import costs
 from ..functions.frames import let, series
-from .ranking import GROUP_LIMIT, neutral_percentile_rank, percentile_rank, ranked
+from .ranking import neutral_percentile_rank, percentile_rank, ranked
 
 SCORED = ("rs", "deliv", "liq", "near_high")
 DEFAULT_WEIGHTS = {"rs": 1.0, "deliv": 1.5, "liq": 1.0, "near_high": 1.0}
@@ -32,24 +32,22 @@ def scoreable(banded: DataFrame, momentum: str = "rs_raw") -> DataFrame:
     )
 
 
-def lottery_screen(rows: DataFrame, by: list[str], share: float | Column, per_day: int, limit: int = GROUP_LIMIT) -> DataFrame:
+def lottery_screen(rows: DataFrame, by: list[str], share: float | Column) -> DataFrame:
     """Drop the int(n*share) names with the largest one-day gain of the last 21 bars.
 
     ``share`` may be a column, so that groups can be screened differently (0 keeps all).
     """
     order = [F.coalesce(F.col("max_ret21"), F.lit(0.0)).desc(), F.col("size_rank")]
-    out = ranked(rows, by, order, "_k", per_day, "_m", limit)
+    out = ranked(rows, by, order, "_k", "_m")
     return out.filter(F.col("_k") > F.floor(F.col("_m") * share)).drop("_k", "_m")
 
 
 def score(
     rows: DataFrame,
     by: list[str],
-    per_day: int,
     weights: dict[str, float] | None = None,
     inverted: tuple[str, ...] = (),
     extra: tuple[str, ...] = (),
-    limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Weighted mean of percentile ranks inside each group; the trend gate applies after ranking.
 
@@ -58,9 +56,9 @@ def score(
     weights = weights or DEFAULT_WEIGHTS
     out = rows
     for f in SCORED:
-        out = percentile_rank(out, by, f"x_{f}", ["size_rank"], f"r_{f}", per_day, limit)
+        out = percentile_rank(out, by, f"x_{f}", ["size_rank"], f"r_{f}")
     for f in extra:
-        out = neutral_percentile_rank(out, by, f, ["size_rank"], f"r_{f}", per_day, limit)
+        out = neutral_percentile_rank(out, by, f, ["size_rank"], f"r_{f}")
     total, wsum = F.lit(0.0), 0.0
     for f in (*SCORED, *extra):
         w = float(weights.get(f, 1.0))
@@ -70,9 +68,9 @@ def score(
     return out.withColumn("score", total / (wsum or 1.0)).filter(F.col("close") > F.col("sma200"))
 
 
-def score_by_weights(rows: DataFrame, by: list[str], per_day: int, arms: dict[str, dict[str, float]]) -> DataFrame:
+def score_by_weights(rows: DataFrame, by: list[str], arms: dict[str, dict[str, float]]) -> DataFrame:
     """One scored copy per named weight set; the ranks are computed once and reused."""
-    base = score(rows, by, per_day)
+    base = score(rows, by)
     structs = []
     for name, w in arms.items():
         total, wsum = F.lit(0.0), 0.0

@@ -51,6 +51,18 @@ def text_tone(docs: DataFrame, key: str, text: str, lexicon: DataFrame, negators
     return out.withColumn("tone", F.when(n > 0, (F.col("pos") - F.col("neg")) / F.nullif(n, F.lit(0))).otherwise(F.lit(0.0)))
 
 
+def lexicon_tone(docs: DataFrame, key: str, text: str, positive=lex.POSITIVE, negative=lex.NEGATIVE, negators=lex.NEGATORS) -> DataFrame:
+    """As text_tone for word lists that are fixed: one projection over each document's own tokens, no shuffle."""
+    flipped = lambda i: F.exists(
+        F.slice(F.col("_w"), F.greatest(i - NEGATION_WINDOW + 1, F.lit(1)), F.least(i, F.lit(NEGATION_WINDOW))), lambda p: p.isin(*negators)
+    )
+    signed = F.transform("_w", lambda w, i: F.when(w.isin(*positive), F.when(flipped(i), -1).otherwise(1)).when(w.isin(*negative), F.when(flipped(i), 1).otherwise(-1)))
+    count = lambda s: F.size(F.filter("_p", lambda p: p == s)).cast("long")
+    out = docs.select(key, tokens(text).alias("_w")).select(key, signed.alias("_p")).select(key, count(1).alias("pos"), count(-1).alias("neg"))
+    n = F.col("pos") + F.col("neg")
+    return out.withColumn("tone", F.when(n > 0, (F.col("pos") - F.col("neg")) / F.nullif(n, F.lit(0))).otherwise(F.lit(0.0)))
+
+
 def filing_score(category_tone: Column, text_score: Column) -> Column:
     """Category leads and text adjusts; alone, whichever speaks."""
     cat, txt = F.coalesce(category_tone, F.lit(0.0)), F.coalesce(text_score, F.lit(0.0))

@@ -11,8 +11,6 @@ from . import oracle as o
 from .common import bars, candidates, corpus, denylist, sessions, trades
 from .spec import query
 
-CUT = "1999-06-30"
-
 
 def as_date(text: str):
     return F.lit(text).cast("date")
@@ -27,8 +25,8 @@ evs as materialized (
   union all select id, 2, entry_day, symbol, band, bucket, case when void then 'void' else 'open' end, day, case when not void then entry_day end, case when not void then entry_px end, bqty,
     case when void then close * (1 - 10e0 / 100) else stop_px end, case when void then close * (1 + 20e0 / 100) else target_px end, null, null, case when void then 'withdrawn' end, null from ps
   union all select id, 3, exit_day, symbol, band, bucket, 'closed', day, entry_day, entry_px, bqty, stop_px, target_px, exit_day, exit_px, why, net from ps where not void),
-stt as materialized (select * exclude (k) from (select *, row_number() over (partition by id order by seq desc) as k from evs where at_day <= date '1999-06-30') where k = 1),
-lpx as materialized (select symbol, arg_max(close, day) as px from bars where day <= date '1999-06-30' group by 1)"""
+stt as materialized (select * exclude (k) from (select *, row_number() over (partition by id order by seq desc) as k from evs where at_day <= (select max(queued_on) from evs)) where k = 1),
+lpx as materialized (select symbol, arg_max(close, day) as px from bars where day <= (select max(queued_on) from evs) group by 1)"""
 
 EVENT_COLS = "id seq at symbol band bucket status queued_on entry_day entry_px qty stop target exit_day exit_px exit_reason net".split()
 
@@ -64,8 +62,13 @@ def events(spark, sf):
     return flat.select("id", "symbol", "band", "bucket", "queued_on", "qty", "_e.*").select(*EVENT_COLS)
 
 
-def state(spark, sf):
-    return book.current_state(events(spark, sf), as_date(CUT))
+def book_day(spark, sf):
+    """The book is read on the last day an order was queued, unless a day is given."""
+    return trades(spark, sf).agg(F.max("day")).scalar()
+
+
+def state(spark, sf, day=None):
+    return book.current_state(events(spark, sf), book_day(spark, sf) if day is None else day)
 
 
 STATE_COLS = "id:s symbol:s bucket:s status:s queued_on:d entry_day:d entry_px:f qty:i stop:f target:f exit_day:d exit_px:f exit_reason:s net:f"
@@ -114,13 +117,13 @@ def book_summary(spark, sf):
     o.sql(
         "cands trades",
         """select * from (select c.day, 'main' as bucket, c.symbol, row_number() over (partition by c.day order by floor(c.score * 10 + 0.5e0) / 10 desc, c.band_ix, c.rank) as queue_no from cands c
-           where c.symbol not in (select symbol from stt where bucket = 'main' and status in ('pending', 'open'))) where queue_no <= 5""",
-        EVENTS,
+           where not exists (select 1 from spans s where s.bucket = 'main' and s.symbol = c.symbol and s.since < c.day and (s.until is null or c.day < s.until))) where queue_no <= 5""",
+        EVENTS, "spans as materialized (select bucket, symbol, min(queued_on) as since, min(case when status in ('closed', 'void') then at_day end) as until from evs group by id, bucket, symbol)",
     ),
 )
 def queue_orders(spark, sf):
     rows = candidates(spark, sf).withColumn("bucket", F.lit("main"))
-    return book.queue(rows, state(spark, sf), 5, [selection.tenths("score").desc(), F.col("band_ix"), F.col("rank")])
+    return book.queue(rows, book.live_spans(events(spark, sf)), 5, [selection.tenths("score").desc(), F.col("band_ix"), F.col("rank")])
 
 
 @query("double_live", "M9", "bucket:s symbol:s n:i", o.sql("trades", "select bucket, symbol, count(*) as n from stt where status in ('pending', 'open') group by 1, 2 having count(*) > 1", EVENTS))
@@ -139,7 +142,7 @@ def double_live(spark, sf):
     ),
 )
 def wallet(spark, sf):
-    return book.wallet(state(spark, sf), book.latest_close(bars(spark, sf), as_date(CUT)))
+    return book.wallet(state(spark, sf), book.latest_close(bars(spark, sf), book_day(spark, sf)))
 
 
 SAME = ", ".join(book.SAME_TRADE)
@@ -160,7 +163,7 @@ def listed_twice(spark, sf):
 @query("level_distance", "M4", "id:s px:f to_stop:f to_target:f",
        o.sql("trades", "select id, px, (stop / px - 1) * 100 as to_stop, (target / px - 1) * 100 as to_target from stt join lpx using (symbol) where status = 'open'", EVENTS))
 def level_distance(spark, sf):
-    rows = book.view(state(spark, sf), "open").join(book.latest_close(bars(spark, sf), as_date(CUT)), "symbol")
+    rows = book.view(state(spark, sf), "open").join(book.latest_close(bars(spark, sf), book_day(spark, sf)), "symbol")
     return rows.select("id", "px", book.away_pct(F.col("px"), F.col("stop")).alias("to_stop"), book.away_pct(F.col("px"), F.col("target")).alias("to_target"))
 
 

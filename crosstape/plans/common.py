@@ -14,14 +14,6 @@ bars = derived.bars
 table = derived.table
 
 
-def per_day(spark: SparkSession, sf_dir: str) -> int:
-    return derived.extent(spark, sf_dir).per_day
-
-
-def n_bars(spark: SparkSession, sf_dir: str) -> int:
-    return derived.extent(spark, sf_dir).rows
-
-
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.sessions(bars(spark, sf_dir))
 
@@ -47,12 +39,12 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.size_bands(corpus(spark, sf_dir), per_day(spark, sf_dir))
+    return ranking.size_bands(corpus(spark, sf_dir))
 
 
 def scored(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
     rows = selection.scoreable(bands(spark, sf_dir))
-    return selection.score(rows, ["day", "band"], per_day(spark, sf_dir), **kw)
+    return selection.score(rows, ["day", "band"], **kw)
 
 
 def picks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,19 +57,25 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pooled_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = selection.scoreable(bands(spark, sf_dir))
-    pool = selection.pick(selection.score(rows, ["day"], per_day(spark, sf_dir)), ["day"], 2 * selection.PER_BAND)
+    pool = selection.pick(selection.score(rows, ["day"]), ["day"], 2 * selection.PER_BAND)
     return selection.candidates(pool)
 
 
 def with_paths(spark: SparkSession, sf_dir: str, reach: int) -> DataFrame:
     """The corpus with forward paths, banded: the base every outcome query filters for signals."""
     rows = outcomes.with_path(corpus(spark, sf_dir), reach)
-    return ranking.size_bands(rows, per_day(spark, sf_dir))
+    return ranking.size_bands(rows)
 
 
 def signals(spark: SparkSession, sf_dir: str, reach: int = 11) -> DataFrame:
-    """Unlocked 20-day breakouts of banded names."""
-    return with_paths(spark, sf_dir, reach).filter(F.col("trig") & ~F.col("locked"))
+    """Unlocked 20-day breakouts of banded names.
+
+    Every bar takes part in the day's rank, but only the signals carry their path
+    through its exchange.
+    """
+    hit = F.col("trig") & ~F.col("locked")
+    rows = outcomes.with_path(corpus(spark, sf_dir), reach)
+    return ranking.size_bands(rows.withColumn("path", F.when(hit, F.col("path")))).filter(hit)
 
 
 TRADE_COLUMNS = (

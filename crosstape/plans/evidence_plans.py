@@ -10,7 +10,7 @@ from ..functions.indicators import bar_return
 from ..operators import evidence, outcomes, ranking, selection
 from ..sources import ledger
 from . import oracle as o
-from .common import TRADE_COLUMNS, bands, build_trades, candidates, corpus, features, per_day, pooled_candidates, sessions, signals, trades, with_paths
+from .common import TRADE_COLUMNS, bands, build_trades, candidates, corpus, features, pooled_candidates, sessions, signals, trades, with_paths
 from .outcome_plans import ARM_CTES, ARM_NAMES, arm_trades
 from .selection_plans import announcement_points
 from .spec import query
@@ -18,10 +18,6 @@ from .spec import query
 BARS_SQL = """count(ret) as n, avg(ret) as mean, case when count(ret) >= 2 then stddev_pop(ret) / sqrt(count(ret)) end as se"""
 
 
-def n_trades(spark, sf) -> int:
-    return ledger.stored_rows(spark, sf, "trades", build_trades)
-
-
 def population_sql(src: str, key: str) -> str:
     return f"""select {key}, n, mean, se, mean - 1.96e0 * se as lo, mean + 1.96e0 * se as hi, case when n >= 2 then case when se > 0 then mean / se else 0e0 end end as t,
       coalesce(abs(case when se > 0 then mean / se else 0e0 end) > 1.96e0 and n >= 2, false) as significant from (select {key}, {BARS_SQL} from {src} group by {key})"""
@@ -41,7 +37,7 @@ def breakout_edge_by_band(spark, sf):
        o.sql("trades", "select *, row_number() over (order by total desc, symbol) as place from (select symbol, count(ret) as n, sum(ret) as total, avg(ret) as avg, sum(cast(ret > 0 as int)) as wins from trades group by symbol)"))
 def per_symbol(spark, sf):
     rows = evidence.attribution(trades(spark, sf), "symbol")
-    return ranking.ranked(rows, [], [F.col("total").desc(), F.col("symbol")], "place", n_trades(spark, sf))
+    return ranking.wide_ranked(rows, [], [F.col("total").desc(), F.col("symbol")], "place")
 
 
 @query("top_and_bottom", "K5 K6", "side:s symbol:s total:f",
@@ -67,7 +63,7 @@ def per_band(spark, sf):
       from (select *, row_number() over (order by total desc, symbol) as k, count(*) over () as n from (select symbol, sum(ret) as total from trades group by symbol))"""),
 )
 def gain_concentration(spark, sf):
-    return evidence.concentration(evidence.attribution(trades(spark, sf), "symbol"), n_trades(spark, sf))
+    return evidence.concentration(evidence.attribution(trades(spark, sf), "symbol"))
 
 
 @query("overall_error_bars", "I4 I5", "n:i mean:f se:f lo:f hi:f t:f significant:b needed:i",
@@ -98,7 +94,7 @@ def ledger_long(rows, ret: str = "ret"):
 
 @query("feature_information", "I6", "feature:s n:i top_third:f bottom_third:f spread:f no_variance:b", o.sql("trades", info_sql("lng", "feature"), LEDGER_SQL))
 def feature_information(spark, sf):
-    return evidence.feature_information(ledger_long(trades(spark, sf)), n_trades(spark, sf))
+    return evidence.feature_information(ledger_long(trades(spark, sf)))
 
 
 SPLIT_SQL = f"""hv as materialized (select *, case when o <= floor(al * 0.5e0) then 'early' else 'late' end as half from (
@@ -112,7 +108,7 @@ sc as materialized (select n.feature, n.n, h.early, h.late, case when n.n < 100
 
 @query("split_half_check", "I7", "feature:s n:i early:f late:f verdict:s", o.sql("trades", "select * from sc", LEDGER_SQL, SPLIT_SQL))
 def split_half_check(spark, sf):
-    return evidence.split_check(ledger_long(trades(spark, sf)), n_trades(spark, sf))
+    return evidence.split_check(ledger_long(trades(spark, sf)))
 
 
 # --- unconditioned sample --------------------------------------------------
@@ -147,7 +143,7 @@ UNCOND = (UNCOND[0] + ", usmp as materialized (select * from smp where ix >= 200
 @query("unconditioned_information", "I8 I6", "feature:s n:i top_third:f bottom_third:f spread:f no_variance:b", o.sql("corpus sess", info_sql("ulng", "feature"), *UNCOND))
 def unconditioned_information(spark, sf):
     t = random_trades(spark, sf, banded=False).filter(F.col("ix") >= 200).withColumn("ret", F.col("ret") - 0.4)
-    return evidence.feature_information(ledger_long(t), ranking.GROUP_LIMIT)
+    return evidence.feature_information(ledger_long(t))
 
 
 @query(
@@ -168,9 +164,9 @@ def unconditioned_information(spark, sf):
 )
 def weight_proposal(spark, sf):
     book = ledger.weight_rows(trades(spark, sf).withColumn("portfolio", F.lit("main")))
-    long, n = ledger_long(book), n_trades(spark, sf)
+    long, n = ledger_long(book), trades(spark, sf).agg(F.count(F.lit(1))).scalar()
     return evidence.weight_proposal(
-        evidence.feature_information(long, n), evidence.split_check(long, n), unconditioned_information(spark, sf), selection.DEFAULT_WEIGHTS, F.lit(n)
+        evidence.feature_information(long), evidence.split_check(long), unconditioned_information(spark, sf), selection.DEFAULT_WEIGHTS, n
     )
 
 
@@ -242,7 +238,7 @@ TERCILE = lambda src, key, by="": f"""select {by + ', ' if by else ''}max(m) as
 @query("tercile_spread", "I12", "band:s n:i n_hi:i n_lo:i spread:f se:f t:f",
        o.sql("trades", f"select *, spread / nullif(se, 0) as t from ({TERCILE('trades', 'rs_raw', 'band')})"))
 def tercile_spread(spark, sf):
-    return evidence.tercile_spread(trades(spark, sf), "rs_raw", n_trades(spark, sf), ("band",))
+    return evidence.tercile_spread(trades(spark, sf), "rs_raw", ("band",))
 
 
 @query(
@@ -252,7 +248,7 @@ def tercile_spread(spark, sf):
       from (select *, median(x) over (partition by feature) as med from lng) group by 1, 2)""", LEDGER_SQL),
 )
 def median_split(spark, sf):
-    return evidence.median_spread(ledger_long(trades(spark, sf)), n_trades(spark, sf))
+    return evidence.median_spread(ledger_long(trades(spark, sf)))
 
 
 def announced_trades(spark, sf):
@@ -282,7 +278,7 @@ ANN_TRADES = (*SAMPLED, ANN_FEATURES_CTE, "annt as materialized (select r.*, a.a
 )
 def signed_split(spark, sf):
     t = announced_trades(spark, sf).select("symbol", "day", "ret", "ann_burst", "ann_tone", "ann_flag")
-    return evidence.signed_split(evidence.unpivot_features(t, ("ann_burst", "ann_tone", "ann_flag")), ranking.GROUP_LIMIT)
+    return evidence.signed_split(evidence.unpivot_features(t, ("ann_burst", "ann_tone", "ann_flag")))
 
 
 @query(
@@ -399,7 +395,7 @@ def exit_mix(spark, sf):
 def target_timing(spark, sf):
     hit = trades(spark, sf).filter("why = 'target'").withColumn("held", F.col("exit_ix") - F.col("ix") - 1)
     hit = hit.withColumn("dist", F.floor(F.abs("ret") * 1_000_000 + 0.5) / 1_000_000)
-    r = ranking.ranked(hit, [], [F.col("dist"), F.col("symbol"), F.col("day")], "_k", n_trades(spark, sf), "_m")
+    r = ranking.wide_ranked(hit, [], [F.col("dist"), F.col("symbol"), F.col("day")], "_k", "_m")
     at = lambda num, den: F.max(F.when(F.col("_k") - 1 == F.floor(F.col("_m") * num / den), F.col("dist")))
     return r.agg(
         F.count(F.lit(1)).alias("n"), (F.avg((F.col("held") <= 3).cast("int")) * 100).alias("by3"), (F.avg((F.col("held") <= 5).cast("int")) * 100).alias("by5"),
@@ -540,14 +536,13 @@ def _lit_sql() -> tuple[str, ...]:
 @query("literature_variants", "I32 C10 B4", "arm:s n:i mean:f se:f", o.sql("bands", "select arm, count(ret) as n, avg(ret) as mean, stddev_samp(ret) / sqrt(count(ret)) as se from lt group by arm", *_lit_sql()))
 def literature_variants(spark, sf):
     """All four variants ride in one pass as an arm column; ranks are taken per arm."""
-    p = per_day(spark, sf)
     mom = features(spark, sf).select("symbol", "day", bar_return(125, 21).alias("mom"))
     rows = bands(spark, sf).join(mom, ["symbol", "day"])
     rows = outcomes.arm_grid(rows, [{"arm": a, "skip": a in ("skip_month", "both"), "share": 0.1 if a in ("max_screen", "both") else 0.0} for a in LIT])
     rows = selection.scoreable(rows.withColumn("momentum", F.when(F.col("skip"), F.col("mom")).otherwise(F.col("rs_raw"))), "momentum")
     by = ["arm", "day", "band"]
-    rows = selection.lottery_screen(rows, by, F.col("share"), p)
-    top = selection.pick(selection.score(rows, by, p), by, 3)
+    rows = selection.lottery_screen(rows, by, F.col("share"))
+    top = selection.pick(selection.score(rows, by), by, 3)
     quota = F.when(F.col("band") == "micro", 3).otherwise(2)
     arms = top.filter((F.col("rank") <= quota) & F.col("trig") & ~F.col("locked")).select("symbol", "day", "ix", "arm")
     return _label_picks(spark, sf, arms).groupBy("arm").agg(*stats.sample_bars())
@@ -573,7 +568,7 @@ def _weights_sql() -> tuple[str, ...]:
              "we as materialized (select arm, count(ret) as n, avg(ret) as mean, stddev_samp(ret) as sd, stddev_samp(ret) / sqrt(count(ret)) as se from wt group by arm)"))
 def weight_variants(spark, sf):
     sets = {n: dict(zip(selection.SCORED, w)) for n, w in WEIGHTS.items()}
-    rows = selection.score_by_weights(selection.scoreable(bands(spark, sf)), ["day", "band"], per_day(spark, sf), sets)
+    rows = selection.score_by_weights(selection.scoreable(bands(spark, sf)), ["day", "band"], sets)
     top = selection.pick(rows, ["arm", "day", "band"], 3)
     quota = F.when(F.col("band") == "micro", 3).otherwise(2)
     arms = top.filter((F.col("rank") <= quota) & F.col("trig") & ~F.col("locked")).select("symbol", "day", "ix", "arm")
@@ -597,8 +592,7 @@ def impact_sensitivity(spark, sf):
     base = trades(spark, sf).select(*[c for c in TRADE_COLUMNS if c not in ("qty", "buy", "net", "net_ret", "cost_pct", "imp")])
     arms = outcomes.arm_grid(base, [{"c": c} for c in IMPACTS])
     net = outcomes.net_trade(arms, c=F.col("c"))
-    n = n_trades(spark, sf)
-    med = evidence.exact_median(net, "imp", ["c"], n, "median_impact").drop("n")
+    med = evidence.exact_median(net, "imp", ["c"], "median_impact").drop("n")
     rows = net.groupBy("c").agg(
         F.count(F.lit(1)).alias("n"), F.avg("net_ret").alias("mean_net"), F.max("imp").alias("max_impact"), (F.avg((F.col("net_ret") > 0).cast("int")) * 100).alias("surviving_pct")
     ).join(med, "c")

@@ -9,7 +9,7 @@ from ..functions import indicators as ind
 from ..functions.frames import series
 from ..operators import outcomes, ranking, universe
 from . import oracle as o
-from .common import bars, denylist, features, per_day, signals, trades
+from .common import bars, denylist, features, signals, trades
 from .spec import query
 
 LABEL_COLS = "symbol:s day:d band:s entry_day:d entry_px:f exit_day:d exit_px:f why:s ret:f"
@@ -171,7 +171,7 @@ def structural_exits(spark, sf):
     shaped = outcomes.with_structure(ind.with_atr(ind.with_ema(bars(spark, sf), "close", 20, "ema20"), 14, "atr"))
     paths = outcomes.with_path(shaped, 31, ("shape_ok", "atr")).select("symbol", "day", "path")
     rows = universe.corpus(features(spark, sf), denylist(spark, sf))
-    rows = ranking.size_bands(rows, per_day(spark, sf)).filter(F.col("trig") & ~F.col("locked"))
+    rows = ranking.size_bands(rows).filter(F.col("trig") & ~F.col("locked"))
     return outcomes.structural_exit(rows.join(paths, ["symbol", "day"]))
 
 

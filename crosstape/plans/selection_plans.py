@@ -10,7 +10,7 @@ from ..functions.indicators import bar_return
 from ..operators import asof, ranking, selection
 from ..sources import derived
 from . import oracle as o
-from .common import bands, bars, candidates, corpus, per_day, picks, pooled_candidates, scored, sessions
+from .common import bands, bars, candidates, corpus, picks, pooled_candidates, scored, sessions
 from .spec import query
 
 TONE = {"error": -1, "purchase": 1, "signup": 1, "view": 0}
@@ -33,7 +33,7 @@ def size_bands(spark, sf):
     ),
 )
 def size_bands_four(spark, sf):
-    return ranking.size_bands(corpus(spark, sf), per_day(spark, sf), ("q1", "q2", "q3", "q4"))
+    return ranking.size_bands(corpus(spark, sf), ("q1", "q2", "q3", "q4"))
 
 
 RANK_COLS = "symbol:s day:d band:s r_rs:f r_deliv:f r_liq:f r_near_high:f score:f"
@@ -86,7 +86,7 @@ def announcement_points(spark, sf, points):
 )
 def announcement_score(spark, sf):
     rows = selection.scoreable(announcement_points(spark, sf, bands(spark, sf)))
-    out = selection.score(rows, ["day", "band"], per_day(spark, sf), extra=("ann_burst", "ann_tone"))
+    out = selection.score(rows, ["day", "band"], extra=("ann_burst", "ann_tone"))
     return out.withColumnRenamed("r_ann_burst", "r_burst").withColumnRenamed("r_ann_tone", "r_tone")
 
 
@@ -312,9 +312,8 @@ def band_capped(spark, sf):
     ),
 )
 def lottery_screened(spark, sf):
-    p = per_day(spark, sf)
-    rows = selection.lottery_screen(selection.scoreable(bands(spark, sf)), ["day", "band"], 0.1, p)
-    return selection.pick(selection.score(rows, ["day", "band"], p), ["day", "band"], selection.PER_BAND)
+    rows = selection.lottery_screen(selection.scoreable(bands(spark, sf)), ["day", "band"], 0.1)
+    return selection.pick(selection.score(rows, ["day", "band"]), ["day", "band"], selection.PER_BAND)
 
 
 @query(

@@ -9,7 +9,7 @@ from ..functions.frames import trailing
 from ..functions.triggers import TRIGGERS
 from ..operators import ranking
 from . import oracle as o
-from .common import bars, fresh_features, per_day
+from .common import bars, fresh_features
 from .spec import query
 
 S = o.S
@@ -127,7 +127,7 @@ def entry_snapshot(spark, sf):
     ),
 )
 def relative_strength(spark, sf):
-    return ranking.relative_strength(bars(spark, sf), ind.RS_LOOKBACKS, per_day(spark, sf))
+    return ranking.relative_strength(bars(spark, sf), ind.RS_LOOKBACKS)
 
 
 @query(

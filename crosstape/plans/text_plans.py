@@ -7,36 +7,21 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lex
 from ..operators import ranking, text
-from ..sources.derived import spread
 from . import oracle as o
 from .common import table
 from .spec import query
 
-LEX_SIZE = 60
 # Frequent invented words act as negators so that the flip rule has something to do.
 NEGATORS = (*lex.NEGATORS, "the", "la", "die")
 
 
-def data_lexicon(spark, sf):
-    """Frequent words of even documents count as positive, of odd ones as negative; shared words drop out.
-
-    A top-k report: LEX_SIZE words per side whatever the size of the corpus.
-    """
-    docs = spread(table(spark, sf, "documents")).select((F.col("doc_id") % 2 == 0).alias("even"), F.explode(text.tokens("text")).alias("word"))
-    counts = docs.filter(F.length("word") >= 4).groupBy("even", "word").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("even").orderBy(F.col("n").desc(), "word")
-    top = counts.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= LEX_SIZE)
-    sides = top.groupBy("word").agg(F.count(F.lit(1)).alias("_s"), F.bool_or("even").alias("even"))
-    return sides.filter("_s = 1").select("word", F.when(F.col("even"), 1).otherwise(-1).alias("polarity"))
+def word_list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
 TOK = "list_transform(regexp_extract_all(coalesce({c}, ''), '[A-Za-z][A-Za-z\\-]+'), lambda x: lower(x))"
-LEXICON = f"""tk as materialized (select doc_id, {TOK.format(c='text')} as w from documents),
-wd as materialized (select doc_id % 2 = 0 as even, unnest(w) as word from tk),
-lc as materialized (select even, word, count(*) as n from wd where length(word) >= 4 group by 1, 2),
-lx as materialized (select word, case when bool_or(even) then 1 else -1 end as polarity from (
-  select *, row_number() over (partition by even order by n desc, word) as k from lc) where k <= {LEX_SIZE} group by word having count(*) = 1)"""
-NEG_LIST = "[" + ", ".join(f"'{w}'" for w in NEGATORS) + "]"
+LEXICON = f"""lx as materialized (select unnest({word_list(lex.POSITIVE)}) as word, 1 as polarity union all select unnest({word_list(lex.NEGATIVE)}), -1)"""
+NEG_LIST = word_list(NEGATORS)
 
 
 def tone_sql(key: str, src: str, col: str) -> str:
@@ -48,16 +33,18 @@ tone as materialized (select d.{key}, coalesce(h.pos, 0) as pos, coalesce(h.neg,
 
 
 def document_tone(spark, sf):
-    # The lexicon holds at most LEX_SIZE words per side, so it is safe to broadcast.
-    return text.text_tone(spread(table(spark, sf, "documents")), "doc_id", "text", F.broadcast(data_lexicon(spark, sf)), NEGATORS)
+    return text.lexicon_tone(table(spark, sf, "documents"), "doc_id", "text", negators=NEGATORS)
 
 
 DOC_TONE = (LEXICON, tone_sql("doc_id", "documents", "text"))
 
 
-@query("lexicon_words", "J1", "word:s polarity:i", o.sql("", "with recursive " + LEXICON + " select * from lx"))
+@query("lexicon_words", "J1", "word:s polarity:i n:i", o.sql("", "with recursive " + LEXICON + f", wd as (select unnest({TOK.format(c='text')}) as word from documents) select word, polarity, count(*) as n from wd join lx using (word) group by 1, 2"))
 def lexicon_words(spark, sf):
-    return data_lexicon(spark, sf)
+    """How often each lexicon word stands in the corpus."""
+    words = table(spark, sf, "documents").select(F.explode(text.tokens("text")).alias("word"))
+    counted = words.filter(F.col("word").isin(*lex.POSITIVE, *lex.NEGATIVE)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("word", F.when(F.col("word").isin(*lex.POSITIVE), 1).otherwise(-1).alias("polarity"), "n")
 
 
 @query("document_tone", "J1", "doc_id:i pos:i neg:i tone:f", o.sql("", "with recursive " + ", ".join(DOC_TONE) + " select * from tone"))
@@ -102,7 +89,7 @@ stc as materialized (select *, case when announcement_score is not null and news
 )
 def stock_sentiment(spark, sf):
     rows = text.stock_sentiment(scored_items(spark, sf))
-    return ranking.ranked(rows, [], [F.col("composite").desc_nulls_last(), F.col("symbol")], "place", 50)  # fifty companies
+    return ranking.wide_ranked(rows, [], [F.col("composite").desc_nulls_last(), F.col("symbol")], "place")
 
 
 @query(
@@ -126,7 +113,7 @@ def name_master(spark, sf):
 
 
 def named_documents(spark, sf):
-    return text.mentions(spread(table(spark, sf, "documents")), name_master(spark, sf), "doc_id", "text")
+    return text.mentions(table(spark, sf, "documents"), name_master(spark, sf), "doc_id", "text")
 
 
 @query(
@@ -146,7 +133,7 @@ def registered_names(spark, sf):
 
 # News items: every document is captured at its place in the event calendar.
 def news_items(spark, sf):
-    d = spread(table(spark, sf, "documents"))
+    d = table(spark, sf, "documents")
     return d.select(
         "doc_id", "source", F.col("text").alias("title"), F.date_add(F.lit("2000-01-01").cast("date"), (F.col("doc_id") % 40).cast("int")).alias("captured_day"),
         F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("BNCH"), (F.col("doc_id") % 40).cast("string"))).alias("tag"),

@@ -7,7 +7,6 @@ break ``round`` ties differently.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -69,15 +68,6 @@ from fq
 DENY_EVERY = 17
 
 
-@dataclass(frozen=True)
-class Extent:
-    """Measured size of the bars table, used to choose between plans."""
-
-    rows: int
-    per_day: int
-    symbols: int
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -87,16 +77,6 @@ def _run(spark: SparkSession, sf_dir: str, sql: str, names: tuple[str, ...]) ->
     return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan with fewer splits than cores one split per core.
-
-    Only a few blocks of data come in so few splits, so the exchange is small by
-    construction; a large table is left as it was read.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def bars_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars straight from lineitem, lazily.
 
@@ -108,9 +88,6 @@ def bars_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, sql, ("lineitem",))
 
 
-_EXTENTS: dict[tuple[str, str], Extent] = {}
-
-
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ingested bars table, bucketed and sorted by symbol.
 
@@ -120,16 +97,6 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.bucketed(spark, sf_dir, "bars", bars_query)
 
 
-def extent(spark: SparkSession, sf_dir: str) -> Extent:
-    """Rows, symbols and the widest day of the bars table, measured once from the table itself."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _EXTENTS:
-        t = bars(spark, sf_dir)
-        d = t.groupBy("day").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.max("n").alias("per_day")).first()
-        _EXTENTS[key] = Extent(int(d["rows"] or 0), int(d["per_day"] or 0), t.filter("ix = 0").count())
-    return _EXTENTS[key]
-
-
 def sessions(bars_: DataFrame) -> DataFrame:
     """Trading calendar: distinct days numbered from 0. Its size is the calendar's, not the data's."""
     w = Window.orderBy("day")

@@ -161,9 +161,20 @@ def read_announcements(spark: SparkSession, path: str, sessions: DataFrame) -> D
     return parse_announcements(spark.read.schema(ANNOUNCEMENT_JSON).json(path, multiLine=True), sessions)
 
 
-def store_announcements(rows: DataFrame, path: str) -> None:
-    """Rewrite the months present in ``rows``: running it again never duplicates."""
+def store_announcements(rows: DataFrame, path: str, since: str | None = None, upto: str | None = None) -> None:
+    """Rewrite the months present in ``rows``: running it again never duplicates.
+
+    A rebuild names its range (months ``since`` to ``upto``, such as "2024-03"): its months are
+    dropped first, so one that no longer holds a row doesn't keep its old ones.
+    """
     months = rows.withColumn("month", F.date_format("visible_from", "yyyy-MM"))
+    if since and upto:
+        months = months.filter(F.col("month").between(since, upto))
+        sc = rows.sparkSession.sparkContext
+        first, last = (int(m[:4]) * 12 + int(m[5:]) - 1 for m in (since, upto))
+        for m in range(first, last + 1):
+            folder = sc._jvm.org.apache.hadoop.fs.Path(f"{path}/month={m // 12:04d}-{m % 12 + 1:02d}")
+            folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
     months.repartition("month").sortWithinPartitions("symbol", "visible_from", "an_dt").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("month").parquet(path)

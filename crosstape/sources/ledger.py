@@ -12,7 +12,9 @@ from pyspark.sql.types import StructType
 from ..session import shared_dir
 
 _BUCKETED: dict[tuple[str, str, str], str] = {}
-_WRITTEN: dict[tuple[str, str, str], tuple[str, int, StructType]] = {}
+_WRITTEN: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+# Spark refuses over 100,000 buckets by default; far fewer hold any table here.
+MOST_BUCKETS = 20_000
 
 
 def _write_once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]):
@@ -22,7 +24,7 @@ def _write_once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[Sp
         path = f"{shared_dir(spark)}/crosstape/{name}-{tag}"
         df = build(spark, sf_dir)
         df.write.mode("overwrite").parquet(path)
-        _WRITTEN[key] = (path, spark.read.schema(df.schema).parquet(path).count(), df.schema)
+        _WRITTEN[key] = (path, df.schema)
     return _WRITTEN[key]
 
 
@@ -35,14 +37,15 @@ def _source_bytes(spark: SparkSession, sf_dir: str) -> int:
 def bucketed(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
     """A per-symbol table bucketed and sorted by symbol, written once per application.
 
-    Bucket count follows the input bytes (256 MB each), so partitions keep their
-    size as data grows; windows and joins on symbol then need no shuffle.
+    Bucket count follows the input bytes (256 MB each) up to MOST_BUCKETS: raw rows
+    shrink to one per symbol and session, so buckets stay far below a task's
+    memory. Windows and joins on symbol then need no shuffle.
     """
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _BUCKETED:
         tag = hashlib.sha256("|".join(key).encode()).hexdigest()[:12]
         floor_parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-        n = max(floor_parts, -(-_source_bytes(spark, sf_dir) // (256 << 20)))
+        n = min(MOST_BUCKETS, max(floor_parts, -(-_source_bytes(spark, sf_dir) // (256 << 20))))
         rows = build(spark, sf_dir)
         (
             rows.repartition(n, "symbol").write.mode("overwrite").format("parquet")
@@ -53,17 +56,19 @@ def bucketed(spark: SparkSession, sf_dir: str, name: str, build: Callable[[Spark
     return spark.table(_BUCKETED[key])
 
 
+def forget(spark: SparkSession, sf_dir: str) -> None:
+    """Drop what is remembered of an input that has changed: the next query writes its tables anew."""
+    for known in (_BUCKETED, _WRITTEN):
+        for key in [k for k in known if k[:2] == (spark.sparkContext.applicationId, sf_dir)]:
+            del known[key]
+
+
 def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
     """Read a derived table, writing it to the shared folder the first time."""
-    path, _, schema = _write_once(spark, sf_dir, name, build)
+    path, schema = _write_once(spark, sf_dir, name, build)
     return spark.read.schema(schema).parquet(path)
 
 
-def stored_rows(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> int:
-    """Row count of a stored table, measured when it was written."""
-    return _write_once(spark, sf_dir, name, build)[1]
-
-
 def append(rows: DataFrame, path: str, batch: str) -> None:
     """Append result rows tagged with the time and the batch; earlier rows are never touched."""
     rows.withColumn("at", F.current_timestamp()).withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("batch").parquet(path)

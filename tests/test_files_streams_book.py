@@ -107,10 +107,12 @@ def test_ledger_appends_and_filters(spark, tmp_path):
 
 
 def test_queue_skips_live_names_before_the_limit(spark):
+    spans = spark.createDataFrame([("main", "YUKEN", 0, None), ("main", "OLD", 0, 1), ("main", "NEW", 1, None), ("main", "LATER", 5, 9), ("pooled", "VCL", 0, None)], "bucket string, symbol string, since int, until int")
     state = spark.createDataFrame([("main", "YUKEN", "open"), ("main", "OLD", "closed"), ("pooled", "VCL", "open")], "bucket string, symbol string, status string")
-    ranked = spark.createDataFrame([("main", "YUKEN", 1, 3.0), ("main", "VCL", 1, 2.0), ("main", "OLD", 1, 1.0)], "bucket string, symbol string, day int, score double")
-    got = [r["symbol"] for r in book.queue(ranked, state, 1, [F.col("score").desc()]).collect()]
-    assert got == ["VCL"] and book.double_live(state).count() == 0
+    ranked = spark.createDataFrame([("main", "YUKEN", 1, 3.0), ("main", "VCL", 1, 2.0), ("main", "OLD", 1, 1.0), ("main", "NEW", 1, 0.9), ("main", "LATER", 1, 0.8)], "bucket string, symbol string, day int, score double")
+    got = [r["symbol"] for r in book.queue(ranked, spans, 4, [F.col("score").desc()]).collect()]
+    # A position of the same day, or of a later one, holds nothing back yet.
+    assert got == ["VCL", "OLD", "NEW", "LATER"] and book.double_live(state).count() == 0
 
 
 def test_distance_has_one_sign(spark):

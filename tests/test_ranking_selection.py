@@ -23,24 +23,37 @@ def test_slab_rank_equals_window_rank_with_ties_and_a_hot_group(spark):
         F.when(F.col("id") % 3 == 0, F.col("id") % 7).otherwise(F.lit(1)).alias("g"), F.when(F.col("id") % 2 == 0, 5.0).otherwise((F.col("id") % 50).cast("double")).alias("v"), F.col("id").alias("sym")
     )
     order = [F.col("v"), F.col("sym")]
-    a = ranking.ranked(df, ["g"], order, "k", 3000, "m")
-    b = ranking.ranked(df, ["g"], order, "k", 3000, "m", limit=10)
+    a = ranking.ranked(df, ["g"], order, "k", "m")
+    b = ranking.wide_ranked(df, ["g"], order, "k", "m", slabs=40)
     cols = ["g", "v", "sym", "k", "m"]
     assert a.select(cols).exceptAll(b.select(cols)).count() == 0 and b.count() == 3000
-    g = ranking.ranked(df, [], order, "k", 3000, limit=10)
+    g = ranking.wide_ranked(df, [], order, "k", slabs=40)
     assert sorted(r["k"] for r in g.select("k").collect()) == list(range(1, 3001))
 
 
-def test_slab_path_of_score_equals_window_path(spark, features):
-    b1 = ranking.size_bands(features, 30)
-    b2 = ranking.size_bands(features, 30, limit=5)
-    s1 = selection.score(selection.scoreable(b1), ["day", "band"], 30).select("symbol", "day", "band", "score")
-    s2 = selection.score(selection.scoreable(b2), ["day", "band"], 30, limit=5).select("symbol", "day", "band", "score")
-    assert s1.exceptAll(s2).count() == 0 and s1.count() == s2.count() > 0
+def test_equal_values_spread_over_slabs(spark):
+    df = spark.range(4000).select(F.lit(1.0).alias("x"), F.col("id").alias("sym"))
+    r = ranking.wide_ranked(df, [], [F.col("x")], "k", "m", slabs=8)
+    assert sorted(x["k"] for x in r.collect()) == list(range(1, 4001))
+    laid = df.repartitionByRange(8, F.col("x"), F.xxhash64("x", "sym")).groupBy(F.spark_partition_id()).count().collect()
+    assert len(laid) == 8 and max(x["count"] for x in laid) < 1500
+
+
+def test_relative_strength_takes_one_exchange_on_the_day(spark, features):
+    df = features.select("symbol", "day", "ix", "close")
+    out = ranking.relative_strength(df, (20, 60))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(day") == 1
+    old = df
+    for k in (20, 60):
+        old = old.withColumn(f"_r{k}", ind.bar_return(k))
+    for k in (20, 60):
+        known = ranking.percentile_rank(old.filter(F.col(f"_r{k}").isNotNull()), ["day"], f"_r{k}", ["symbol"], "want").select("symbol", "day", "want")
+        assert out.filter(F.col(f"rs_{k}").isNotNull()).join(known, ["symbol", "day"], "full").filter(~F.col(f"rs_{k}").eqNullSafe(F.col("want"))).count() == 0
 
 
 def test_bands_cut_the_most_liquid_third(features):
-    got = {(r["band"], r["symbol"]) for r in ranking.size_bands(features, 30).filter("ix = 399").collect()}
+    got = {(r["band"], r["symbol"]) for r in ranking.size_bands(features).filter("ix = 399").collect()}
     micro = sorted(s for b, s in got if b == "micro")
     small = sorted(s for b, s in got if b == "small")
     assert micro == [f"S{j:02d}" for j in range(10)] and small == [f"S{j:02d}" for j in range(10, 20)]
@@ -48,19 +61,19 @@ def test_bands_cut_the_most_liquid_third(features):
 
 def test_rank_ties_follow_turnover_then_symbol(spark):
     df = spark.createDataFrame([("a", 1, 5.0, 2), ("b", 1, 5.0, 1), ("c", 1, 1.0, 0)], "symbol string, day int, v double, size_rank int")
-    got = {r["symbol"]: r["p"] for r in ranking.percentile_rank(df, ["day"], "v", ["size_rank"], "p", 3).collect()}
+    got = {r["symbol"]: r["p"] for r in ranking.percentile_rank(df, ["day"], "v", ["size_rank"], "p").collect()}
     assert got == pytest.approx({"c": 100 / 3, "b": 200 / 3, "a": 100.0})
 
 
 def test_neutral_rank(spark):
     df = spark.createDataFrame([("a", 1, None, 0), ("b", 1, 1.0, 1), ("c", 1, 2.0, 2)], "symbol string, day int, v double, size_rank int")
-    got = {r["symbol"]: r["p"] for r in ranking.neutral_percentile_rank(df, ["day"], "v", ["size_rank"], "p", 3).collect()}
+    got = {r["symbol"]: r["p"] for r in ranking.neutral_percentile_rank(df, ["day"], "v", ["size_rank"], "p").collect()}
     assert got == {"a": 50.0, "b": 50.0, "c": 100.0}
 
 
 def test_filters_stay_above_the_rank_windows(features):
     """Trend and trigger may not thin the cross-section before it is ranked."""
-    cand = selection.candidates(selection.pick(selection.score(selection.scoreable(ranking.size_bands(features, 30)), ["day", "band"], 30), ["day", "band"], 20))
+    cand = selection.candidates(selection.pick(selection.score(selection.scoreable(ranking.size_bands(features)), ["day", "band"]), ["day", "band"], 20))
     lines = cand._jdf.queryExecution().optimizedPlan().toString().split("\n")
     gate = next(i for i, ln in enumerate(lines) if "Filter" in ln and "sma200" in ln)
     windows = [i for i, ln in enumerate(lines) if "Window" in ln and "row_number" in ln and "x_near_high" in ln]
@@ -69,7 +82,7 @@ def test_filters_stay_above_the_rank_windows(features):
 
 def test_locked_bar_is_marked_not_removed(spark, features):
     f = features.filter("ix = 399").withColumn("high", F.when(F.col("symbol") == "S09", F.col("low")).otherwise(F.col("high")))
-    rows = selection.candidates(selection.pick(selection.score(selection.scoreable(ranking.size_bands(f, 30)), ["day", "band"], 30), ["day", "band"], 20))
+    rows = selection.candidates(selection.pick(selection.score(selection.scoreable(ranking.size_bands(f)), ["day", "band"]), ["day", "band"], 20))
     got = {r["symbol"]: r["triggered"] for r in rows.collect()}
     assert got["S09"] is False and all(v for k, v in got.items() if k != "S09")
 
@@ -173,23 +186,23 @@ def ledger(spark, n=400, flip=False):
 
 def test_information_ignores_a_constant_feature(spark):
     long = evidence.unpivot_features(ledger(spark), ("rs", "liq"))
-    got = {r["feature"]: r for r in evidence.feature_information(long, 400).collect()}
+    got = {r["feature"]: r for r in evidence.feature_information(long).collect()}
     assert got["rs"]["spread"] > 5 and got["liq"]["spread"] == 0 and got["liq"]["no_variance"]
-    slab = {r["feature"]: r["spread"] for r in evidence.feature_information(long, 400, limit=10).collect()}
+    slab = {r["feature"]: r["spread"] for r in evidence.feature_information(long, slabs=40).collect()}
     assert slab == pytest.approx({k: v["spread"] for k, v in got.items()})
 
 
 def test_split_check_sees_a_sign_flip(spark):
-    ok = evidence.split_check(evidence.unpivot_features(ledger(spark), ("rs", "liq")), 400).collect()
+    ok = evidence.split_check(evidence.unpivot_features(ledger(spark), ("rs", "liq"))).collect()
     assert {r["feature"]: r["verdict"] for r in ok} == {"rs": "consistent", "liq": "none"}
-    bad = evidence.split_check(evidence.unpivot_features(ledger(spark, flip=True), ("rs", "liq")), 400).collect()
+    bad = evidence.split_check(evidence.unpivot_features(ledger(spark, flip=True), ("rs", "liq"))).collect()
     assert {r["feature"]: r["verdict"] for r in bad}["rs"] == "flips"
 
 
-def test_exact_median_on_both_paths(spark):
+def test_exact_median_over_slabs(spark):
     df = spark.createDataFrame([("a", float(x)) for x in [5, 1, 9, 3]] + [("b", float(x)) for x in [2, 2, 8]], "g string, x double")
-    for limit in (2_000_000, 1):
-        assert {r["g"]: r["median"] for r in evidence.exact_median(df, "x", ["g"], 4, limit=limit).collect()} == {"a": 4.0, "b": 2.0}
+    for slabs in (1, 5):
+        assert {r["g"]: r["median"] for r in evidence.exact_median(df, "x", ["g"], slabs=slabs).collect()} == {"a": 4.0, "b": 2.0}
 
 
 def test_blocks_reset_the_peak(spark):
