@@ -12,7 +12,7 @@ are tested on the pair before its sets are intersected.
 
 Sets that are equal share one digest and are one entity from the start, so exact copies cost
 nothing. Large groups of near copies don't become all pairs either: round 1 tests every
-entry of a list against the list's least entity only (a star), then components are taken;
+entry of a list against the list's centre only (a star), then components are taken;
 round 2 tests the pairs of a list that are still in different components, leaving out those
 in which both stand in the list's main component. A pair within one component adds nothing
 to the result, so no link that matters is lost.
@@ -259,13 +259,17 @@ def similarity_components(docs: DataFrame, k: int = 5, threshold: int = 75, id_c
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lists = keep(prefix_lists(d, heavy, rank, k, threshold, ranges), "lists")
 
-    least = lists.groupBy("tok").agg(F.min(F.struct("dg", "n", "pos")).alias("p")).select("tok", F.col("p.dg").alias("dg2"), F.col("p.n").alias("m"), F.col("p.pos").alias("pos2"))
+    # The centre of a list: the entity of which the largest part of the prefix is shared. Among near
+    # copies that is the one with the fewest changes, which most others link with.
+    part = lists.groupBy("dg").agg(F.count(F.lit(1)).alias("shared"))
+    lists = keep(lists.join(part, "dg").withColumn("apart", -F.col("shared") / (F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1)).drop("shared"), "lists")
+    least = lists.groupBy("tok").agg(F.min(F.struct("apart", "dg", "n", "pos")).alias("p")).select("tok", F.col("p.dg").alias("dg2"), F.col("p.n").alias("m"), F.col("p.pos").alias("pos2"))
     tried = keep(_pairs(lists, least, threshold), "pairs")
     links = keep(verified(tried, signed, d, heavy, rank, k, threshold), "linked")
     label = components(links)
 
     own = lists.join(label.withColumnRenamed("node", "dg"), "dg", "left").withColumn("label", F.coalesce("label", "dg"))
-    main = own.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("dg", "label")).alias("p")).filter("lo != hi").select("tok", F.col("p.label").alias("main"))
+    main = own.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("apart", "dg", "label")).alias("p")).filter("lo != hi").select("tok", F.col("p.label").alias("main"))
     open_ = keep(own.join(main, "tok"), "open")
     rest = _pairs(open_.filter("label != main"), _right(open_, F.col("label").alias("label2")), threshold, F.col("label") != F.col("label2"))
     more = keep(verified(keep(rest.join(tried, ["a", "b"], "left_anti"), "pairs"), signed, d, heavy, rank, k, threshold), "linked")
