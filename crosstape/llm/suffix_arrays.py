@@ -22,12 +22,13 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     if not n:
         return np.zeros(0, np.int64)
     first = words_at(data)[:n].byteswap()
-    order = np.argsort(first, kind="stable")
-    key = first[order]
-    new = np.concatenate(([True], key[1:] != key[:-1]))
+    order = np.argsort(first, kind="stable").astype(np.int32)  # a shard holds under 2**31 bytes
+    first = first[order]
+    new = np.concatenate(([True], first[1:] != first[:-1]))
+    del first
     # A group's number is the place of its first suffix in the order.
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), np.int32(0)))
     h = 8
     while h < depth:
         alone = new & np.concatenate((new[1:], [True]))
@@ -35,10 +36,10 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
         if not len(at):
             break
         own = order[at]
-        ahead = np.full(len(own), -1, np.int64)
+        ahead = np.full(len(own), -1, np.int32)
         inside = own + h < n
         ahead[inside] = rank[own[inside] + h]
-        by = np.argsort(rank[own] << np.int64(32) | (ahead + 1), kind="stable")  # a shard holds under 2**31 bytes
+        by = np.argsort(rank[own].astype(np.int64) << 32 | (ahead + 1), kind="stable")
         order[at] = own = own[by]
         ahead = ahead[by]
         group = rank[own]
@@ -56,15 +57,14 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int, lanes: int =
     The order may be one by finite depth over most: the rule holds where the earlier prefix is
     shorter than most, and the count starts anew where it is not."""
     n = len(data)
-    out = np.zeros(n, np.int64)
     if n < 2:
-        return out
+        return np.zeros(n, np.int32)
     word = words_at(data, most + 8)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
     stretch = np.arange(0, n, lanes)
     held = np.zeros(len(stretch), np.int64)
-    plcp = np.zeros(n, np.int64)
+    plcp = np.zeros(n, np.int32)
     for step in range(min(lanes, n)):
         i = stretch + step
         if i[-1] >= n:
@@ -83,8 +83,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int, lanes: int =
         h = np.minimum(h, n - np.maximum(i, j))
         plcp[i] = h
         held = h
-    out[:] = plcp[order]
-    return out
+    return plcp[order]
 
 
 def window_digests(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:

@@ -111,7 +111,7 @@ def runs_of(data: np.ndarray, at: np.ndarray, length: int):
         ok = np.flatnonzero(k < len(one))
         into[ok[two[k[ok]] <= last[ok] + wide - 1]] = TWICE
     into[into > TWICE] = TWICE
-    return m, place, count, into
+    return mix(m), place, count, into  # least hashes crowd near zero; mixed, they fall evenly into ranges
 
 
 class Places:
@@ -293,7 +293,6 @@ class Shard:
     """The texts of a shard in document order, one after the other."""
 
     def __init__(self, table: pa.Table):
-        table = table.combine_chunks()
         ids, keys = table.column("doc_id").to_numpy(), table.column("key").to_numpy().astype(np.int64)
         self.rows = np.lexsort((keys, ids))
         self.ids, self.keys = ids[self.rows], keys[self.rows]
@@ -337,26 +336,30 @@ def shards(docs: DataFrame, settled: DataFrame, length: int, count_of: int) -> D
             data, valid = shard.data[to_flat], mine[to_flat]
             order = suffix_array(data, length)
             same = common_prefixes(data, order, length) >= length
-            cls = np.cumsum(~same) - 1
-            least = np.full(cls[-1] + 1, len(data), np.int64)
-            np.minimum.at(least, cls[valid[order]], order[valid[order]])
+            cls = np.cumsum(~same, dtype=np.int32) - 1
+            least = np.full(cls[-1] + 1, len(data), np.int32)
+            usable = valid[order]
+            np.minimum.at(least, cls[usable], order[usable])
+            del order, same, cls, usable
             first = np.zeros(len(data), bool)
             first[least[least < len(data)]] = True
-            doc = np.searchsorted(shard.at, to_flat, "right") - 1
-            offset = to_flat - shard.at[doc]
-            rep = np.flatnonzero(valid & ~first)
-            rank, s, c = _joined(doc[rep], offset[rep])
+            doc_of = lambda at: np.searchsorted(shard.at, at, "right") - 1
+            again = to_flat[valid & ~first]
+            doc = doc_of(again)
+            rank, s, c = _joined(doc, again - shard.at[doc])
             rows += _by_shard(0, rank, s, c, shard.ids, shard.keys, count_of)
             own = np.flatnonzero(first)
             one, two = window_digests(data, own, length)
             by = np.argsort(one)
-            own, one, two = own[by], one[by], two[by]
+            one, two, own = one[by], two[by], to_flat[own[by]]
+            doc = doc_of(own)
+            offset = own - shard.at[doc]
             # Cut the sorted run at the range bounds by binary search.
             bounds = np.array([(k << 64) // count_of for k in range(1, count_of)], U64)
             cuts = np.concatenate(([0], np.searchsorted(one, bounds), [len(one)]))
             for r in np.flatnonzero(np.diff(cuts)):
                 w = slice(cuts[r], cuts[r + 1])
-                rows.append((count_of + int(r), 2, Places.pack(doc[own[w]], offset[own[w]], np.ones(cuts[r + 1] - cuts[r]), shard.ids, shard.keys, one[w], two[w].astype("<u2"))))
+                rows.append((count_of + int(r), 2, Places.pack(doc[w], offset[w], np.ones(cuts[r + 1] - cuts[r]), shard.ids, shard.keys, one[w], two[w].astype("<u2"))))
         return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array([r[1] for r in rows], pa.int32()), "entries": pa.array([r[2] for r in rows], pa.binary())})
 
     return docs.groupBy("shard").cogroup(settled.groupBy("shard")).applyInArrow(sort, "shard int, kind int, entries binary")
