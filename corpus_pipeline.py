@@ -25,8 +25,8 @@ def _recounted(docs: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go: null texts, texts without a letter, texts no language fits."""
     model = langid.train(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")))
-    row = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    return langid.predict(row, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select("row.*")
+    told = langid.predict(docs, model, lang_out="_lang_told_here", score_out="_score_told_here")
+    return told.filter((F.col("_lang_told_here") != "und") & (F.col("_score_told_here") >= MIN_SCORE)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,11 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import slices
 from .pieces import _LOADED
 
 SAMPLE_DOCS, SAMPLE_WORDS, SAMPLE_LANGS = 3_000, 24_000, 64
 SEGMENT = 24
-WORD_CACHE = 400_000
+WORD_CACHE = 250_000
 
 
 def _sigmoid(x):
@@ -182,42 +183,38 @@ def train(docs: DataFrame) -> BiGru | None:
     return BiGru(langs).fit(data, size, np.array(label), np.array(weight, np.float32))
 
 
-def predict(docs: DataFrame, model: BiGru | None) -> DataFrame:
-    """docs with lang_pred and score. docs: text and whatever is to be kept beside it."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+def predict(docs: DataFrame, model: BiGru | None, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+    """docs, all columns, with the language and its mean probability."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
 
     def run(stream):
         known: dict = {}
         if model is not None:
             # Equal models share a cache in a worker that is used again.
-            known = _LOADED.setdefault(("langid", model.p["out"].tobytes()), {"row": {}, "sums": np.zeros((0, len(model.langs)))})
+            known = _LOADED.setdefault(("langid", model.p["out"].tobytes()), {"row": {}, "sums": np.zeros((0, len(model.langs)), np.float32)})
         for batch in stream:
-            texts = batch.column("text").to_pylist()
-            names, scores = [], []
-            for lo in range(0, len(texts), 1_000):
-                cut = [t.split() if t is not None and any(map(str.isalpha, t)) else [] for t in texts[lo : lo + 1_000]]
-                if model is None:
-                    cut = [[] for _ in cut]
-                else:
-                    new = set().union(*cut) - known["row"].keys()
+            for lo, hi in slices(batch.column(text_col), 3_000_000):
+                part = batch.slice(lo, hi - lo)
+                cut = [t.split() if model is not None and t is not None and any(map(str.isalpha, t)) else [] for t in part.column(text_col).to_pylist()]
+                new = set().union(*cut) - known.get("row", {}).keys()
+                if new:
                     if len(known["row"]) + len(new) > WORD_CACHE:
                         known["row"], known["sums"] = {}, known["sums"][:0]
                         new = set().union(*cut)
-                    if new:
-                        fresh = sorted(new)
-                        known["row"].update(zip(fresh, range(len(known["row"]), len(known["row"]) + len(fresh)), strict=True))
-                        sums = model.word_sums([w.encode() for w in fresh])
-                        known["sums"] = np.concatenate((known["sums"], sums))
+                    fresh = sorted(new)
+                    known["row"].update(zip(fresh, range(len(known["row"]), len(known["row"]) + len(fresh)), strict=True))
+                    known["sums"] = np.concatenate((known["sums"], *(model.word_sums([w.encode() for w in fresh[i : i + 20_000]]).astype(np.float32) for i in range(0, len(fresh), 20_000))))
+                names, scores = [], []
                 for words in cut:
                     if not words:
                         names.append("und")
                         scores.append(0.0)
                         continue
-                    total = known["sums"][np.fromiter(map(known["row"].__getitem__, words), np.int64, len(words))].sum(axis=0)
+                    total = known["sums"][np.fromiter(map(known["row"].__getitem__, words), np.int64, len(words))].sum(axis=0, dtype=np.float64)
                     best = int(np.argmax(total))
                     names.append(model.langs[best])
                     scores.append(float(min(1.0, total[best] / total.sum())))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, lang_out, score_out])
 
     return docs.mapInArrow(run, schema)
 
