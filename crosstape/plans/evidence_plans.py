@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import costs, stats
 from ..functions.indicators import bar_return
 from ..operators import evidence, outcomes, ranking, selection
+from ..session import shared_dir
 from ..sources import ledger
 from . import oracle as o
-from .common import TRADE_COLUMNS, bands, build_trades, candidates, corpus, features, pooled_candidates, sessions, signals, trades, with_paths
+from .common import TRADE_COLUMNS, bands, candidates, corpus, features, pooled_candidates, sessions, signals, trades, with_paths
 from .outcome_plans import ARM_CTES, ARM_NAMES, arm_trades
 from .selection_plans import announcement_points
 from .spec import query
@@ -487,6 +490,17 @@ def newest_result(spark, sf):
     return rows.withColumn("best", F.col("mean") == F.max("mean").over(Window.partitionBy(F.lit(0))))
 
 
+@query("ledger_append", "A16", "batch:s symbol:s day:d net_ret:f",
+       o.sql("trades", "select band as batch, symbol, day, net_ret from trades"))
+def ledger_append(spark, sf):
+    """Two batches appended to a fresh ledger and read back."""
+    path = f"{shared_dir(spark)}/crosstape/appended-{uuid.uuid4().hex}"
+    rows = trades(spark, sf).select("band", "symbol", "day", "net_ret")
+    for band in ("micro", "small"):
+        ledger.append(rows.filter(F.col("band") == band).drop("band"), path, band)
+    return ledger.read_ledger(spark, path).select("batch", "symbol", "day", "net_ret")
+
+
 @query("ledger_read", "A17", "variant:s batch:s run_at:d mean:f n:i",
        o.sql("trades", "select * from rl where coalesce(track, 'cluster') = 'cluster' and not void order by run_at desc, variant limit 5", RESULTS))
 def ledger_read(spark, sf):

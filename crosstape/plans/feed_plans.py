@@ -50,9 +50,12 @@ def parsed_surveillance(spark, sf):
     return out.withColumn("banned", F.coalesce("banned", F.lit(False)))
 
 
-@query("file_manifest", "A11", "file:s bytes:i sha256:s status:s")
+@query("file_manifest", "A11", "path:s bytes:i sha256:s status:s",
+       "select concat('doc/', doc_id, '.txt') as path, strlen(coalesce(text, '')) as bytes, sha256(coalesce(text, '')) as sha256, case when strlen(coalesce(text, '')) > 0 then 'ok' else 'empty' end as status from documents")
 def file_manifest(spark, sf):
-    return files.manifest(spark, f"{sf}/*.parquet").withColumn("file", F.regexp_extract("path", r"([^/]+)$", 1))
+    # Every document stands for a feed file.
+    d = table(spark, sf, "documents")
+    return files.manifest_of(d.select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content")))
 
 
 @query(

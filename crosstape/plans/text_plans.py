@@ -167,7 +167,17 @@ def evidence_bundle(spark, sf):
     return text.evidence_bundle(master, text.news_evidence(news, master, day), ann, day, news)
 
 
-@query("publishers", "J8", "page_id:i link:s publisher:s")
+PUBLISHER_MAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in lex.PUBLISHERS.items()) + "}"
+PUBLISHER_SQL = f"""with a as (select page_id, url as link, case when page_id % 7 = 0 then 'Mint on MSN' when page_id % 7 = 1 then 'www.moneycontrol.com' end as raw, regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) as host from pages),
+  b as (select *, trim(coalesce(url_decode(raw), raw, '')) as name from a),
+  c as (select * replace (regexp_replace(regexp_replace(case when name = '' then host else name end, '^www\\.', ''), '(?i)\\.(com|in|co\\.in|net|org)$', '') as name) from b),
+  d as (select * replace (trim(regexp_replace(name, '(?i)\\s+on\\s+MSN$', '')) as name) from c),
+  e as (select * replace (case when name = '' then host else name end as name) from d),
+  f as (select *, lower(name) as flat, list_filter(list_transform(list_sort(list_transform(string_split(lower(name), '.'), lambda p: {{'n': -length(p), 'p': p}})), lambda s: {PUBLISHER_MAP}[s.p]), lambda x: x is not null) as parts from e)
+  select page_id, link, coalesce({PUBLISHER_MAP}[flat], parts[1], case {" ".join(f"when starts_with(flat, '{k}') then '{v}'" for k, v in lex.FEED_PREFIXES.items())} end, name) as publisher from f"""
+
+
+@query("publishers", "J8", "page_id:i link:s publisher:s", PUBLISHER_SQL)
 def publishers(spark, sf):
     p = table(spark, sf, "pages")
     wrapped = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("http://www.bing.com/news/apiclick.aspx?ref=x&url="), F.url_encode("url"))).otherwise(F.col("url"))

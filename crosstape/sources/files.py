@@ -130,11 +130,17 @@ def bar_file_dates(spark: SparkSession, root: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, pattern: str) -> DataFrame:
-    """path, bytes, sha256 and status of every file; content is hashed where it is read."""
-    f = spark.read.format("binaryFile").load(pattern)
-    return f.select(
-        "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.when(F.col("length") > 0, "ok").otherwise("empty").alias("status")
-    )
+    """path, bytes, sha256 and status of every feed file; content is hashed where it is read.
+
+    A feed file is read as one value, so a file over 2 GB is refused by the reader.
+    """
+    return manifest_of(spark.read.format("binaryFile").load(pattern))
+
+
+def manifest_of(contents: DataFrame) -> DataFrame:
+    """The same of (path, content) rows."""
+    size = F.octet_length("content").cast("long")
+    return contents.select("path", size.alias("bytes"), F.sha2("content", 256).alias("sha256"), F.when(size > 0, "ok").otherwise("empty").alias("status"))
 
 
 def market_time(text: Column) -> Column:
