@@ -21,7 +21,8 @@ class PositionMachine(StatefulProcessor):
 
     An order fills at the open of the first later bar; levels hang off that fill.
     From the bar after the fill: stop, else target, else time. An order for a
-    live name is skipped; after an exit the name may be queued again.
+    live name is skipped; after an exit the name may be queued again. A row older
+    than a bar already applied gives a ``late`` event with its kind as the reason.
     """
 
     def __init__(self, stop_pct: float = costs.STOP_PCT, target_pct: float = costs.TARGET_PCT, hold: int = costs.HOLD_DAYS):
@@ -47,6 +48,9 @@ class PositionMachine(StatefulProcessor):
             ))
 
         for r in todo.itertuples(index=False):
+            if seen is not None and r.day < seen:
+                # Later bars were applied before this row came: it leaves a record, and a bar is not applied.
+                emit("late", r.day, why=r.kind)
             if r.kind == "order":
                 if status is None:
                     status, queued, qty, entry_day, entry_px, held = "pending", r.day, int(r.qty), None, None, 0
