@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CLOSE_MINUTES = 15 * 60 + 30
+# Two centuries.
+MOST_DAYS = 73_000
 
 
 def session_calendar(sessions: DataFrame) -> DataFrame:
@@ -15,7 +17,9 @@ def session_calendar(sessions: DataFrame) -> DataFrame:
     """
     s = sessions.select(F.col("day").alias("session"))
     span = s.agg(F.min("session").alias("lo"), F.max("session").alias("hi"))
-    cal = span.select(F.explode(F.expr("sequence(lo, hi, interval 1 day)")).alias("date"))
+    # One wrong date would make millions of rows, and the calendar is broadcast: refuse such a span.
+    days = F.expr(f"if(datediff(hi, lo) <= {MOST_DAYS}, sequence(lo, hi, interval 1 day), cast(raise_error('sessions span over {MOST_DAYS} days') as array<date>))")
+    cal = span.select(F.explode(days).alias("date"))
     cal = cal.join(s, F.col("date") == F.col("session"), "left")
     ahead = Window.partitionBy(F.lit(0)).orderBy("date")
     return cal.select(

@@ -351,7 +351,7 @@ def newest(rows: DataFrame, key: str, at: str = "at") -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), F.col(at)).alias("_r")).select(key, "_r.*")
 
 
-# Expectations frozen before forward results arrived.
+# Expectations frozen before forward results arrived.
 EXPECTED = dict(rate_mo=2.86, per_trade=2.15, se=1.08, occ=3.10)
 
 
