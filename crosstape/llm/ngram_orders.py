@@ -10,6 +10,9 @@ most frequent ones, rarest first. That keeps a line or passage that very many do
 out of nearly all prefixes. The other orders rank the same two classes by other hashes; they
 are tested on the pair before its sets are intersected.
 
+Before a pair's texts are fetched, counts of its tokens in 256 bins give an upper bound of what
+the sets share.
+
 Sets that are equal share one digest and are one entity from the start, so exact copies cost
 nothing. Large groups of near copies don't become all pairs either: round 1 tests every
 entry of a list against the list's centre only (a star), then components are taken;
@@ -47,6 +50,10 @@ CHUNK, FLUSH = 500_000, 500_000
 SMALL = 200_000
 #: Entries of one token in one flush beyond which they skip the reducer (they are shared already).
 DIRECT = 64
+#: Bins of a set's sketch (a byte each).
+BINS = 256
+NO_ID = -(2**63)
+NAMES = ["kind", "doc_id", "key", "n", "dg", "sketch"]
 SEEDS = (0x0, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
 
 
@@ -72,11 +79,24 @@ def in_order(tokens: np.ndarray, heavy: np.ndarray, rank: np.ndarray, seed: int,
     return np.argsort(key)
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """How many tokens fall into each of BINS bins, 255 for more."""
+    return np.minimum(np.bincount((tokens >> U64(20)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def may_link(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: int) -> np.ndarray:
+    """Two sets share no more tokens of a bin than the smaller count there. False where the sum of these is
+    under what a link needs (rows of sketches; full bins prove nothing)."""
+    most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+    full = ((x == 255) & (y == 255)).any(axis=1)
+    return full | ((100 + threshold) * most >= threshold * (n + m))
+
+
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """kind 0: doc_id, key (of the text), n (set size), dg (set digest). kind 1: tokens (dg) that stand in
+    """kind 0: doc_id, key (of the text), n (set size), dg (set digest), sketch. kind 1: tokens (dg) that stand in
     OFTEN documents or more of some COUNTED tokens, and in how many (n). A token with a share of
     OFTEN / COUNTED of all tokens has it in some such part, so none of these is missed."""
-    schema = "kind int, doc_id long, key long, n long, dg long"
+    schema = "kind int, doc_id long, key long, n long, dg long, sketch binary"
 
     def frequent(held):
         every = np.sort(np.concatenate(held))
@@ -84,15 +104,15 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
         count = np.diff(np.append(starts, len(every)))
         often = count >= OFTEN
         none = pa.nulls(int(often.sum()), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(none), np.int32)), none, none, pa.array(count[often].astype(np.int64)), pa.array(every[starts[often]].view(np.int64))], names=["kind", "doc_id", "key", "n", "dg"])
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(none), np.int32)), none, none, pa.array(count[often].astype(np.int64)), pa.array(every[starts[often]].view(np.int64)), pa.nulls(len(none), pa.binary())], names=NAMES)
 
     def run(stream):
         held, size = [], 0
         for batch in stream:
             for lo, hi in slices(batch.column("text"), CHUNK):
                 sets = shingle_sets(*flat(batch.column("text")[lo:hi]), k)
-                out = [pa.array(np.zeros(hi - lo, np.int32)), batch.column("doc_id")[lo:hi], batch.column("key")[lo:hi], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.int64())]
-                yield pa.RecordBatch.from_arrays(out, names=["kind", "doc_id", "key", "n", "dg"])
+                out = [pa.array(np.zeros(hi - lo, np.int32)), batch.column("doc_id")[lo:hi], batch.column("key")[lo:hi], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(out, names=NAMES)
                 for s in sets:
                     if len(s):
                         held.append(s)
@@ -220,14 +240,36 @@ def _right(lists: DataFrame, *more) -> DataFrame:
     return lists.select("tok", F.col("dg").alias("dg2"), F.col("n").alias("m"), F.col("pos").alias("pos2"), *more)
 
 
+def _endpoints(pairs: DataFrame) -> DataFrame:
+    """Distinct entities of the pairs (dg); broadcast where they are few."""
+    ids = keep(pairs.select(F.col("a").alias("dg")).union(pairs.select("b")).distinct(), "ends")
+    return F.broadcast(ids) if ids.count() <= SMALL else ids
+
+
+def plausible(pairs: DataFrame, signed: DataFrame, threshold: int) -> DataFrame:
+    """The pairs whose sketches leave room for a link."""
+    sketches = keep(signed.filter("kind = 0").join(_endpoints(pairs), "dg").groupBy("dg").agg(F.first("n").alias("n"), F.first("sketch").alias("s")), "sketches")
+    a, b = (sketches.select(F.col("dg").alias(c), F.col("n").alias(f"n{c}"), F.col("s").alias(f"s{c}")) for c in "ab")
+
+    def run(stream):
+        for batch in stream:
+            if batch.num_rows:
+                rows = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS)
+                ok = pa.array(may_link(rows("sa"), rows("sb"), batch.column("na").to_numpy(), batch.column("nb").to_numpy(), threshold))
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b")], names=["a", "b"])
+
+    return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, heavy: np.ndarray, rank: np.ndarray, k: int, threshold: int) -> DataFrame:
-    """The pairs that link. The other orders are tested first, then the sets."""
-    ids = pairs.select("a").union(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "dg")
-    one = signed.filter("kind = 0").join(ids, "dg").groupBy("dg").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "key")).alias("row")).select("dg", F.col("row.doc_id").alias("doc_id"), F.col("row.key").alias("key"))
+    """The pairs that link. Sketches are compared first, then the other orders' prefixes, then the sets."""
+    pairs = keep(plausible(pairs, signed, threshold), "plausible")
+    named = signed.filter("kind = 0").join(_endpoints(pairs), "dg")
+    one = named.groupBy("dg").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "key")).alias("row")).select("dg", F.col("row.doc_id").alias("doc_id"), F.col("row.key").alias("key"))
     one = keep(one, "chosen")
     if one.count() <= SMALL:
         one = F.broadcast(one)
-    keyed = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63))))
+    keyed = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     texts = keep(keyed.join(one, ["doc_id", "key"]).groupBy("dg").agg(F.first("text").alias("text")), "texts")
     first = pairs.join(texts.withColumnRenamed("dg", "a").withColumnRenamed("text", "x"), "a")
     both = first.join(texts.withColumnRenamed("dg", "b").withColumnRenamed("text", "y"), "b")

@@ -234,3 +234,18 @@ def test_lines_on_the_odd_table(table, nothing):
 def test_empty_tables(nothing):
     assert ngram_orders.similarity_components(nothing).count() == 0
     assert suffix_dedup.remove_repeats(nothing).count() == 0
+
+
+def test_sketches_never_lose_a_link():
+    r = np.random.default_rng(4)
+    pool = np.unique(r.integers(0, 2**63, 4000).astype(np.uint64))
+    for n in (1, 30, 400, 3000):
+        x = np.sort(r.choice(pool, n, replace=False))
+        for kept in (0.3, 0.7, 0.8, 0.86, 1.0):
+            y = np.unique(np.concatenate((r.choice(x, max(1, int(n * kept)), replace=False), r.integers(0, 2**63, int(n * (1 - kept))).astype(np.uint64))))
+            both = len(np.intersect1d(x, y))
+            rows = [np.frombuffer(ngram_orders.sketch(s), np.uint8)[None] for s in (x, y)]
+            ok = ngram_orders.may_link(*rows, np.array([len(x)]), np.array([len(y)]), 75)[0]
+            assert ok or 100 * both < 75 * (len(x) + len(y) - both)
+    full = np.full((1, 256), 255, np.uint8)
+    assert ngram_orders.may_link(full, full, np.array([10**6]), np.array([10**6]), 75)[0]
