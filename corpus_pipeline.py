@@ -36,11 +36,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least doc_id stays; texts without a word all stay."""
+    """Of each group of linked documents the one with the least doc_id stays (one without an id only if none has
+    one; ties by the text's key); texts without a word all stay."""
     found = ngram_orders.similarity_components(docs, k=5, threshold=75)
-    ident = [F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("key").alias("_key")]
-    empty = found.filter("n_shingles = 0").select(*ident, F.lit(True).alias("_all"))
-    first = found.filter("n_shingles > 0 and doc_id <=> component_id").select(*ident).groupBy("_id").agg(F.min("_key").alias("_key")).withColumn("_all", F.lit(False))
+    ident = lambda row, every: [F.coalesce(f"{row}doc_id", F.lit(NO_ID)).alias("_id"), F.col(f"{row}key").alias("_key"), F.lit(every).alias("_all")]
+    empty = found.filter("n_shingles = 0").select(*ident("", True))
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
+    first = found.filter("n_shingles > 0").groupBy("component").agg(least.alias("row")).select(*ident("row.", False))
     stays = empty.union(first).distinct()
     keyed = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), text_key(F.col("text").cast("string")).alias("_key"))
     joined = keyed.join(stays, ["_id", "_key"])

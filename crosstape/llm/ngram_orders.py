@@ -293,7 +293,8 @@ def verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, heavy: np.nda
 
 
 def similarity_components(docs: DataFrame, k: int = 5, threshold: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, key (of its text), n_shingles, component_id."""
+    """One row per document: doc_id, key (of its text), n_shingles, component_id, component (a set digest that names
+    the component, as different ones can have the same component_id; null without a word)."""
     spark = docs.sparkSession
     d = documents(docs, id_col, text_col, key=text_key(docs[text_col]))
     signed = keep(signatures(d, k), "signatures")
@@ -320,4 +321,4 @@ def similarity_components(docs: DataFrame, k: int = 5, threshold: int = 75, id_c
     rows = signed.filter("kind = 0").select("doc_id", "key", "n", "dg")
     named = rows.join(label.withColumnRenamed("node", "dg"), "dg", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "dg")))
     least_id = named.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least_id, "label", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return named.join(least_id, "label", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("label").alias("component"))

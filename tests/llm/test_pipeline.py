@@ -69,6 +69,22 @@ def test_stages(spark, docs):
     assert {p.doc_id for p in pieces} == {x.doc_id for x in step.collect()}
 
 
+def test_near_duplicates_one_row_per_class(spark):
+    """Classes that share an id, or have none, each keep one row."""
+    r = random.Random(4)
+    text = lambda: " ".join(f"w{r.randint(0, 10**6)}" for _ in range(200))
+    alone, (a, b), near, mixed, same = [text() for _ in range(6)], (text(), text()), near_copies(r, text(), 4, 1), near_copies(r, text(), 3, 1), near_copies(r, text(), 2, 1)
+    rows = [(None, t) for t in (*alone, *near, alone[0], mixed[0], None, "")] + [(15, a), (15, b), (9, mixed[1]), (7, mixed[2]), (20, same[0]), (20, same[1]), (20, same[1])]
+    got = [(x.doc_id, x.text) for x in STAGE["n-gram Jaccard join"](spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+    for t in alone:
+        assert got.count((None, t)) == 1
+    assert sorted(x for x in got if x[0] == 15) == sorted([(15, a), (15, b)])
+    assert sum((None, t) in got for t in near) == 1
+    assert [x for x in got if x[1] in mixed] == [(7, mixed[2])]
+    assert len([x for x in got if x[0] == 20]) == 1
+    assert len(got) == 6 + 2 + 1 + 1 + 1 + 2  # and the two without a word
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_odd_and_empty_tables(spark, table, nothing, name):
     out = STAGE[name](spark, table, "")
