@@ -208,14 +208,44 @@ def news_evidence(items: DataFrame, master: DataFrame, day: Column, window: int
 
     Items carry doc_id, title, captured_day and tag (the symbol whose own query found them).
     """
-    recent = items.filter(F.col("captured_day").between(F.date_sub(day, window), day))
+    return attributed(items.filter(F.col("captured_day").between(F.date_sub(day, window), day)), master)
+
+
+def attributed(items: DataFrame, master: DataFrame) -> DataFrame:
+    """(symbol, doc_id, captured_day): an exact tag settles whom an item is about, else the name rule."""
     listed = master.select(F.upper("symbol").alias("_u"), "symbol")
-    tagged = recent.filter(F.col("tag").isNotNull()).withColumn("_u", F.upper("tag")).join(listed, "_u").select("symbol", "doc_id", "captured_day")
-    general = recent.filter(F.col("tag").isNull())
+    tagged = items.filter(F.col("tag").isNotNull()).withColumn("_u", F.upper("tag")).join(listed, "_u").select("symbol", "doc_id", "captured_day")
+    general = items.filter(F.col("tag").isNull())
     named = mentions(general, master, "doc_id", "title").join(general.select("doc_id", "captured_day"), "doc_id")
     return tagged.unionByName(named.select("symbol", "doc_id", "captured_day"))
 
 
+def _covered(first: str, window: int) -> Column:
+    """The days whose window of ``window`` days back holds this one."""
+    return F.explode(F.sequence(F.col(first), F.date_add(first, window))).alias("day")
+
+
+def news_evidence_days(items: DataFrame, master: DataFrame, window: int = 7) -> DataFrame:
+    """news_evidence for every (symbol, day) that has any."""
+    return attributed(items, master).select("symbol", _covered("captured_day", window), "doc_id", "captured_day")
+
+
+def evidence_bundle_days(master: DataFrame, items: DataFrame, announcements: DataFrame, window: int = 7, ann_window: int = 30) -> DataFrame:
+    """evidence_bundle for every company and every day from the first item or announcement to the last that a window reaches.
+
+    Items of one symbol and day are counted before they are dealt to the days their window covers.
+    """
+    per_day = lambda rows, first, days, n: rows.groupBy("symbol", first).agg(F.count(F.lit(1)).alias("_n")).select("symbol", _covered(first, days), "_n").groupBy("symbol", "day").agg(F.sum("_n").alias(n))
+    news = per_day(attributed(items, master), "captured_day", window, "news_count")
+    ann = per_day(announcements.filter(F.col("visible_from").isNotNull()), "visible_from", ann_window, "announcement_count")
+    a = items.agg(F.min("captured_day").alias("archive_starts"), F.max("captured_day").alias("_last"))
+    b = announcements.agg(F.min("visible_from").alias("_from"), F.max("visible_from").alias("_to"))
+    last = F.greatest(F.date_add("_last", window), F.date_add("_to", ann_window))
+    days = a.crossJoin(b).select("archive_starts", F.explode(F.sequence(F.least("archive_starts", "_from"), last)).alias("day"))
+    grid = master.select("symbol").crossJoin(F.broadcast(days))
+    return grid.join(news, ["symbol", "day"], "left").join(ann, ["symbol", "day"], "left").fillna(0, ["news_count", "announcement_count"])
+
+
 def evidence_bundle(master: DataFrame, news: DataFrame, announcements: DataFrame, day: Column, archive: DataFrame, ann_window: int = 30) -> DataFrame:
     """Counts of what was visible per company, and when the news archive starts."""
     n = news.groupBy("symbol").agg(F.count(F.lit(1)).alias("news_count"))

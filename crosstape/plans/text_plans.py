@@ -112,6 +112,14 @@ def name_master(spark, sf):
     return table(spark, sf, "benchmark").select(F.concat(F.lit("BNCH"), F.col("item_id").cast("string")).alias("symbol"), F.array_join(words, " ").alias("company"))
 
 
+# The same companies named by every word of the text.
+WHOLE_NAMES = NAMES.replace("array_to_string(string_split_regex(text, '\\s+')[1:5], ' ')", "text")
+
+
+def whole_names(spark, sf):
+    return table(spark, sf, "benchmark").select(F.concat(F.lit("BNCH"), F.col("item_id").cast("string")).alias("symbol"), F.col("text").alias("company"))
+
+
 def named_documents(spark, sf):
     return text.mentions(table(spark, sf, "documents"), name_master(spark, sf), "doc_id", "text")
 
@@ -161,10 +169,36 @@ def news_evidence(spark, sf):
 def evidence_bundle(spark, sf):
     news, master = news_items(spark, sf), name_master(spark, sf)
     day = F.lit("2000-01-31").cast("date")
-    ann = table(spark, sf, "events").select(
+    return text.evidence_bundle(master, text.news_evidence(news, master, day), visible_events(spark, sf), day, news)
+
+
+def visible_events(spark, sf):
+    return table(spark, sf, "events").select(
         F.concat(F.lit("BNCH"), (F.col("user_id") % 40).cast("string")).alias("symbol"), F.to_date(F.col("ts") - F.expr("interval 24 years")).alias("visible_from")
     )
-    return text.evidence_bundle(master, text.news_evidence(news, master, day), ann, day, news)
+
+
+# Whole names and every day: windows end on each day of the calendar in turn.
+VISIBLE = """ann as materialized (select concat('BNCH', cast(user_id % 40 as varchar)) as symbol, cast(ts - interval '24' year as date) as visible_from from events),
+cal as materialized (select cast(unnest(generate_series(cast(lo as timestamp), cast(hi as timestamp), interval 1 day)) as date) as day from (
+  select least((select min(captured_day) from nws), (select min(visible_from) from ann)) as lo, greatest((select max(captured_day) + 7 from nws), (select max(visible_from) + 30 from ann)) as hi))"""
+
+
+@query("news_evidence_days", "H8", "symbol:s day:d doc_id:i captured_day:d",
+       o.sql("", "with recursive " + ", ".join((WHOLE_NAMES, NEWS, VISIBLE)) + " select symbol, day, doc_id, captured_day from evd join cal on captured_day between day - 7 and day"))
+def news_evidence_days(spark, sf):
+    """The evidence of every (symbol, day)."""
+    return text.news_evidence_days(news_items(spark, sf), whole_names(spark, sf))
+
+
+@query(
+    "evidence_bundle_days", "H9", "symbol:s day:d news_count:i announcement_count:i archive_starts:d",
+    o.sql("", "with recursive " + ", ".join((WHOLE_NAMES, NEWS, VISIBLE)) + """ select m.symbol, c.day, coalesce(n.k, 0) as news_count, coalesce(a.k, 0) as announcement_count, (select min(captured_day) from nws) as archive_starts from mst m cross join cal c
+      left join (select symbol, day, count(*) as k from evd join cal on captured_day between day - 7 and day group by all) n on n.symbol = m.symbol and n.day = c.day
+      left join (select symbol, day, count(*) as k from ann join cal on visible_from between day - 30 and day group by all) a on a.symbol = m.symbol and a.day = c.day"""),
+)
+def evidence_bundle_days(spark, sf):
+    return text.evidence_bundle_days(whole_names(spark, sf), news_items(spark, sf), visible_events(spark, sf))
 
 
 PUBLISHER_MAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in lex.PUBLISHERS.items()) + "}"
