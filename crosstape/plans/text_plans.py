@@ -139,6 +139,20 @@ def registered_names(spark, sf):
     return text.registered_name(asked, name_master(spark, sf))
 
 
+@query("whole_name_mentions", "J6", "doc_id:i symbol:s",
+       o.sql("", "with recursive " + WHOLE_NAMES + " select doc_id, symbol from itx, trm where list_contains(words, ticker) or (len(terms) > 0 and len(list_intersect(words, terms)) >= least(2, len(terms)))"))
+def whole_name_mentions(spark, sf):
+    """company_mentions with every word of the names."""
+    return text.mentions(table(spark, sf, "documents"), whole_names(spark, sf), "doc_id", "text")
+
+
+@query("registered_whole_names", "J9", "symbol:s company:s",
+       o.sql("", "with recursive " + WHOLE_NAMES + " select distinct concat('BNCH', cast(doc_id % 60 as varchar)) as symbol, coalesce(company, '') as company from documents left join mst on mst.symbol = concat('BNCH', cast(doc_id % 60 as varchar))"))
+def registered_whole_names(spark, sf):
+    asked = table(spark, sf, "documents").select(F.concat(F.lit("bnch"), (F.col("doc_id") % 60).cast("string")).alias("symbol")).distinct()
+    return text.registered_name(asked, whole_names(spark, sf))
+
+
 # News items: every document is captured at its place in the event calendar.
 def news_items(spark, sf):
     d = table(spark, sf, "documents")

@@ -2,7 +2,11 @@
 
 import datetime as dt
 
+import pyspark.sql.functions as F
+
 from crosstape.operators import text
+from crosstape.plans import text_plans
+from crosstape.plans.common import table
 
 DAY = dt.date(2000, 1, 1)
 
@@ -25,3 +29,14 @@ def test_evidence_of_every_day(spark):
         for n in range(51):
             want[s, day(n)] = (sum(a == s and n - 7 <= m <= n for a, m in about), sum(a == s and day(n - 30) <= m <= day(n) for a, m in ann), DAY)
     assert {(r.symbol, r.day): (r.news_count, r.announcement_count, r.archive_starts) for r in rows} == want and len(rows) == len(want)
+
+
+def test_names_are_whole(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r.symbol: r.company for r in text_plans.whole_names(spark, sf).collect()}
+    assert got == {f"BNCH{r.item_id}": r.text for r in table(spark, sf, "benchmark").collect()}
+    assert max(len(c.split()) for c in got.values()) > 5
+    # A document of a name's sixth and later words is about it.
+    late = [c for c in sorted(got.values()) if len({w for w in c.lower().split()[5:] if w.isalpha() and len(w) > 4} - set(c.lower().split()[:5])) > 4][0]
+    doc = spark.createDataFrame([(1, " ".join(late.split()[5:]))], "doc_id long, text string")
+    assert text.mentions(doc, text_plans.whole_names(spark, sf).filter(F.col("company") == late), "doc_id", "text").count() == 1
