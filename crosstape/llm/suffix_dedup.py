@@ -24,7 +24,7 @@ bytes for each run to its range, and one window to its shard.
 
 Null and empty texts, and texts under `length` bytes, lose nothing. Rows with the same doc_id and
 text are one document (each row gets its result); rows with one doc_id and different texts are
-ordered by a hash of the text; a null doc_id comes before all others. Extra columns are ignored.
+ordered by a 64-bit hash of the text; a null doc_id comes before all others. Extra columns are ignored.
 An empty table gives no rows.
 """
 
@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import U64, documents, flat, mix, slices
+from .columns import U64, documents, flat, mix, slices, text_key
 from .suffix_arrays import common_prefixes, merge_runs, suffix_array, window_digests, words_at
 
 GRAM = 32
@@ -123,18 +123,18 @@ class Places:
         head = struct.pack("<II", len(doc), len(used))
         # Halves apart: the upper ones are mostly zero and compress away.
         halves = [(x >> k & 0xFFFF).astype("<u2").tobytes() for x in (local, start) for k in (0, 16)]
-        return b"".join([head, *halves, count.astype("<u2").tobytes(), ids[used].astype("<i8").tobytes(), keys[used].astype("<i4").tobytes(), *(x.tobytes() for x in more)])
+        return b"".join([head, *halves, count.astype("<u2").tobytes(), ids[used].astype("<i8").tobytes(), keys[used].astype("<i8").tobytes(), *(x.tobytes() for x in more)])
 
     @staticmethod
     def unpack(raw: bytes, *kinds: str):
         m, d = struct.unpack_from("<II", raw)
         at, out = 8, []
-        for kind, size in (*[("<u2", m)] * 5, ("<i8", d), ("<i4", d), *((k, m) for k in kinds)):
+        for kind, size in (*[("<u2", m)] * 5, ("<i8", d), ("<i8", d), *((k, m) for k in kinds)):
             out.append(np.frombuffer(raw, kind, size, at))
             at += out[-1].nbytes
         l0, l1, s0, s1, count, ids, keys, *more = out
         local, start = l0 | l1.astype(np.int64) << 16, s0 | s1.astype(np.int64) << 16
-        return (ids[local], keys[local].astype(np.int64), start, count.astype(np.int64), *more)
+        return (ids[local], keys[local], start, count.astype(np.int64), *more)
 
     @staticmethod
     def gather(blobs, *kinds: str):
@@ -451,7 +451,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_kept: bool | str = T
     spark = docs.sparkSession
     count_of = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = documents(docs, id_col, text_col, **carried).withColumn("text", F.coalesce("text", F.lit("")))
-    d = d.withColumn("id_null", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("key", F.hash("text"))
+    d = d.withColumn("id_null", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("key", text_key(F.col("text")))
     n = F.lit(count_of)
     d = d.withColumn("shard", F.pmod(F.pmod("doc_id", n) + F.pmod("key", n), n).cast("int"))
     settled = runs(anchors(d, length, count_of), length, count_of)

@@ -92,6 +92,23 @@ def test_repeats_at_random(spark, seed):
     assert got == {k: v[:4] for k, v in want.items()}
 
 
+def test_texts_of_one_id_whose_short_hashes_are_equal(spark):
+    """Spark's 32-bit hash is equal for texts 0 and 1 (of different lengths), and for 2 and 3 (of one length)."""
+    from pyspark.sql import functions as F
+
+    from crosstape.llm.columns import text_key
+
+    from .conftest import PASSAGE
+
+    texts = [f"text {n} {PASSAGE}" for n in ("12107", "387589", "70458 and some more words", "82894 and some more words")]
+    df = toy(spark, [(None, t) for t in texts])
+    keyed = {r.text: (r.h, r.k) for r in df.select("text", F.hash("text").alias("h"), text_key(F.col("text")).alias("k")).collect()}
+    assert [keyed[t][0] for t in texts[::2]] == [keyed[t][0] for t in texts[1::2]] and len({k for _, k in keyed.values()}) == 4
+    want = brute_spans([(t, t) for t in sorted(texts, key=lambda t: keyed[t][1])])
+    rows = suffix_dedup.remove_repeats(df, carried=df["text"]).collect()
+    assert {r.carried: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == {t: w[:4] for t, w in want.items()} and len(rows) == 4
+
+
 # --- n-gram join -----------------------------------------------------------------------
 
 
