@@ -30,8 +30,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go from all documents but the first; a document of which nothing is left goes."""
-    cut = line_templates.drop_recurring(docs, dropped_col="_lines_dropped_here")
+    """Lines of recurring templates go from all documents but the first, short ones too (up to three tokens only equal
+    lines share a template); a document of which nothing is left goes."""
+    cut = line_templates.drop_recurring(docs, dropped_col="_lines_dropped_here", min_tokens=1)
     return _recounted(cut.filter((F.col("_lines_dropped_here") == 0) | (F.trim("text") != "")).select(*docs.columns))
 
 

@@ -69,6 +69,14 @@ def test_stages(spark, docs):
     assert {p.doc_id for p in pieces} == {x.doc_id for x in step.collect()}
 
 
+def test_line_dedup_of_short_lines(spark):
+    rows = [(i, f"own{chr(97 + i)} line\nLes.\n" + "And ornd.\n" * (i < 9) + f"page {i}") for i in range(12)]
+    got = texts_of(STAGE["line dedup"](spark, spark.createDataFrame(rows, "doc_id long, text string"), ""))
+    assert got == [rows[0]] + [(i, "\n".join(t for t in x.split("\n") if t != "Les." and not t.startswith("page"))) for i, x in rows[1:]]
+    want = brute_lines(rows, min_tokens=1)
+    assert got == [(i, "\n".join(t for n, t in enumerate(x.split("\n")) if n not in want[i])) for i, x in rows]
+
+
 def test_near_duplicates_one_row_per_class(spark):
     """Classes that share an id, or have none, each keep one row."""
     r = random.Random(4)
