@@ -8,7 +8,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from crosstape.llm import line_templates, ngram_orders, suffix_dedup
+from crosstape.llm import digest_index, line_templates, ngram_orders, suffix_dedup
+from crosstape.llm.columns import scratch
 from crosstape.llm.components import components
 from crosstape.llm.suffix_arrays import common_prefixes, merge_runs, suffix_array
 
@@ -266,3 +267,56 @@ def test_sketches_never_lose_a_link():
             assert ok or 100 * both < 75 * (len(x) + len(y) - both)
     full = np.full((1, 256), 255, np.uint8)
     assert ngram_orders.may_link(full, full, np.array([10**6]), np.array([10**6]), 75)[0]
+
+
+def kept_by_hand(rows):
+    """doc_id, keep_id, group_size, kept of each row, by plain Python: the largest id of equal texts stays."""
+    groups = {}
+    for i, (key, text) in enumerate(rows):
+        groups.setdefault(text or "", []).append((key is not None, key or 0, -i, i))
+    stays = {text: max(g) for text, g in groups.items()}
+    size = {text: len(g) for text, g in groups.items()}
+    keep_id = lambda t: stays[t][1] if stays[t][0] else None
+    return [(key, keep_id(text or ""), size[text or ""], stays[text or ""][3] == i, hashlib.sha256((text or "").encode()).hexdigest()) for i, (key, text) in enumerate(rows)]
+
+
+def _sorted(rows):
+    return sorted(rows, key=str)
+
+
+def test_digest_index_of_odd_rows(spark, table, nothing):
+    got = digest_index.deduplicate(table, scratch(spark, "digests"))
+    assert got.columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    assert _sorted(map(tuple, got.collect())) == _sorted(kept_by_hand(ROWS))
+    assert digest_index.deduplicate(nothing, scratch(spark, "digests")).collect() == []
+
+
+def test_digest_index_lives_on(spark, table):
+    """A second batch meets the first one's texts, a repeated batch changes nothing, and a dropped catalogue entry is found again by its path."""
+    path = scratch(spark, "digests")
+    first = digest_index.DigestIndex(spark, path, expect=20)
+    early, late = table.filter("doc_id <= 8"), table.filter("doc_id > 8 or doc_id is null")
+    assert first.drop_copies(early, "a").count() == 6  # of 1 2 2 3 4 5 6 7 8 one of 1, 2, 2 and one of 3, 4 stays
+    spark.sql(f"DROP TABLE {first.table}")
+    again = digest_index.DigestIndex(spark, path)
+    assert again.buckets == first.buckets and again.stored().count() == 6
+    more = again.drop_copies(late, "b")
+    assert more.columns == table.columns
+    texts = {t or "" for i, t in ROWS if i is None or i > 8} - {t or "" for i, t in ROWS if i is not None and i <= 8}
+    assert sorted(r.text or "" for r in more.collect()) == sorted(texts)
+    before = _sorted(map(tuple, again.report().collect()))
+    again.add(late, "b")
+    assert _sorted(map(tuple, again.report().collect())) == before and again.stored().count() == 6 + len(texts)
+
+
+def test_digest_index_hot_group(spark, monkeypatch):
+    """A group with most of the rows takes the broadcast side, the rest the shuffle."""
+    rows = [(i, "same") for i in range(300)] + [(i, f"text {i % 40}") for i in range(300, 400)]
+    monkeypatch.setattr(digest_index, "HOT", 2)
+    got = digest_index.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), scratch(spark, "digests"))
+    assert _sorted(map(tuple, got.collect())) == _sorted(kept_by_hand(rows))
+
+
+def test_digest_index_is_native(spark, table):
+    plan = digest_index.deduplicate(table, scratch(spark, "digests"))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
