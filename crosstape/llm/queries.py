@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bitsliced, byte_pieces, digest_index, langid, line_templates, ngram_orders, packing, suffix_dedup, token_counts, url_filter
+from . import audio, bitsliced, byte_pieces, collocations, digest_index, langid, line_templates, ngram_orders, packing, suffix_dedup, token_counts, url_filter
 from .columns import read, scratch
 
 
@@ -52,6 +52,10 @@ def op10_ngram_orders_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_orders.similarity_components(read(spark, sf_dir, "documents"), k=5, threshold=75).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_misra_gries_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"), min_count=10, max_words=3, top=2000, inside_percent=50)
+
+
 def op12_digest_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_index.deduplicate(read(spark, sf_dir, "documents"), scratch(spark, "digest-index"))
 
@@ -69,7 +73,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_byte_pieces,
         op9_digest_cache_counts,
         op10_ngram_orders_join,
+        op11_misra_gries_collocations,
         op12_digest_index_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op2_line_templates": line_templates.ORACLE, "op3_url_vocabulary": url_filter.oracle(), "op4_bit_sliced_top_k": bitsliced.ORACLE, "op12_digest_index_dedup": digest_index.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_line_templates": line_templates.ORACLE, "op3_url_vocabulary": url_filter.oracle(), "op4_bit_sliced_top_k": bitsliced.ORACLE, "op11_misra_gries_collocations": collocations.ORACLE, "op12_digest_index_dedup": digest_index.ORACLE}
