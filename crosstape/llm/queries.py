@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bitsliced, byte_pieces, collocations, digest_index, langid, line_templates, ngram_orders, packing, suffix_dedup, token_counts, url_filter
+from . import audio, bitsliced, byte_pieces, collocations, digest_index, dual_tree, langid, line_templates, ngram_orders, packing, suffix_dedup, token_counts, url_filter
 from .columns import read, scratch
 
 
@@ -60,6 +60,10 @@ def op12_digest_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_index.deduplicate(read(spark, sf_dir, "documents"), scratch(spark, "digest-index"))
 
 
+def op13_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_ngram_orders_join,
         op11_misra_gries_collocations,
         op12_digest_index_dedup,
+        op13_dual_tree_search,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op2_line_templates": line_templates.ORACLE, "op3_url_vocabulary": url_filter.oracle(), "op4_bit_sliced_top_k": bitsliced.ORACLE, "op11_misra_gries_collocations": collocations.ORACLE, "op12_digest_index_dedup": digest_index.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_line_templates": line_templates.ORACLE, "op3_url_vocabulary": url_filter.oracle(), "op4_bit_sliced_top_k": bitsliced.ORACLE, "op11_misra_gries_collocations": collocations.ORACLE, "op12_digest_index_dedup": digest_index.ORACLE, "op13_dual_tree_search": dual_tree.ORACLE}
