@@ -34,12 +34,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import spans
-from .columns import U64, keep, mix
+from .columns import U64, keep, mix, slices
 
 BREAK = spans.byte_set([*b".,;:!?", *range(0x0A, 0x0E)])
 GAP = BREAK | spans.byte_set(b" \t")
 #: Text bytes looked at together, phrases per summary or count that a task sends, text bytes per hash partition.
-BLOCK, FLUSH, PER_PART = 1 << 20, 3_000_000, 4 << 20
+BLOCK, FLUSH, PER_PART = 1 << 20, 1_500_000, 4 << 20
 SLACK, FILTER_BITS, SCALE = 4, 27, 1_000_000
 UNKNOWN = "und"
 
@@ -101,11 +101,12 @@ class Cells:
 
 def _pieces(batch: pa.RecordBatch, most: int) -> Iterator[tuple[str, np.ndarray]]:
     """Language and lower-cased bytes, in blocks that end where a piece ends."""
-    lang = batch.column("lang").fill_null(UNKNOWN)
-    for name in pc.unique(lang).to_pylist():
-        data, _ = spans.ended(batch.column("text").filter(pc.equal(lang, name)))
-        for block in spans.blocks(data, BREAK, most):
-            yield name, spans.LOWER[block]
+    for lo, hi in slices(batch.column("text"), 4 * most):
+        lang, text = batch.column("lang").slice(lo, hi - lo).fill_null(UNKNOWN), batch.column("text").slice(lo, hi - lo)
+        for name in pc.unique(lang).to_pylist():
+            data, _ = spans.ended(text.filter(pc.equal(lang, name)))
+            for block in spans.blocks(data, BREAK, most):
+                yield name, spans.LOWER[block]
 
 
 class _Words:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import spans
-from .columns import keep
+from .columns import keep, slices
 
 GAP = spans.byte_set([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 TEXT_BLOCK = 1 << 20
@@ -83,25 +83,24 @@ def _counts(stream, terms: list[str]):
     vocabulary = Vocabulary(terms)
     size = max(len(terms), 1)
     for batch in stream:
-        ids = batch.column("doc_id")
-        data, at = spans.ended(batch.column("text"))
-        n = np.zeros(len(ids), np.int64)
-        doc, term = [], []
-        done = 0
-        for block in spans.blocks(data, GAP, TEXT_BLOCK):
-            block = spans.LOWER[block]
-            starts, ends = spans.words(block, GAP)
-            of = np.searchsorted(at, starts + done, "right") - 1
-            n += np.bincount(of, minlength=len(ids))
-            hit, number = vocabulary.numbers(block, starts, ends)
-            doc.append(of[hit])
-            term.append(number)
-            done += len(block)
-        pair = np.concatenate(doc) * size + np.concatenate(term) if doc else np.zeros(0, np.int64)
-        pair, tf = np.unique(pair, return_counts=True)
-        bounds = np.searchsorted(pair, np.arange(len(ids) + 1) * size).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(v)) for v in ((pair % size).astype(np.int32), tf.astype(np.int64))]
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n), *lists], names=["doc_id", "n", "terms", "tfs"])
+        for first, last in slices(batch.column("text"), 4 * TEXT_BLOCK):
+            data, at = spans.ended(batch.column("text").slice(first, last - first))
+            n = np.zeros(last - first, np.int64)
+            doc, term = [], []
+            done = 0
+            for block in spans.blocks(data, GAP, TEXT_BLOCK):
+                block = spans.LOWER[block]
+                starts, ends = spans.words(block, GAP)
+                of = np.searchsorted(at, starts + done, "right") - 1
+                n += np.bincount(of, minlength=len(n))
+                hit, number = vocabulary.numbers(block, starts, ends)
+                doc.append(of[hit])
+                term.append(number)
+                done += len(block)
+            pair, tf = np.unique(np.concatenate(doc) * size + np.concatenate(term), return_counts=True)
+            bounds = np.searchsorted(pair, np.arange(len(n) + 1) * size).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(v)) for v in ((pair % size).astype(np.int32), tf.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), pa.array(n), *lists], names=["doc_id", "n", "terms", "tfs"])
 
 
 # --- the search inside a task ----------------------------------------------------------
