@@ -30,10 +30,10 @@ def session_calendar(sessions: DataFrame) -> DataFrame:
     )
 
 
-def with_visibility(rows: DataFrame, sessions: DataFrame, ts: str = "an_dt") -> DataFrame:
+def with_visibility(rows: DataFrame, sessions: DataFrame, ts: str = "an_dt", keep_unknown: bool = False) -> DataFrame:
     """First session a timestamp could inform: the same one before 15:30, else the next.
 
-    Rows after the last known session are dropped. The late rule is an equality
+    Rows after the last known session are dropped, or with ``keep_unknown`` kept without one. The late rule is an equality
     join on the date, so nothing is compared pairwise.
     """
     cal = session_calendar(sessions)
@@ -48,7 +48,7 @@ def with_visibility(rows: DataFrame, sessions: DataFrame, ts: str = "an_dt") ->
         F.col("is_session") & F.col("_early"), F.col("_d")
     ).otherwise(F.col("after"))
     return (
-        out.withColumn("visible_from", vis).filter(F.col("visible_from").isNotNull())
+        out.withColumn("visible_from", vis).filter(F.lit(keep_unknown) | F.col("visible_from").isNotNull())
         .drop("_d", "_early", "_first", "date", "is_session", "on_or_after", "after")
     )
 

@@ -252,13 +252,18 @@ def band_shortfall(spark, sf):
         "trades",
         """select id, prov as was, case when abs(official - prov) > 0.005e0 then official else prov end as entry_px,
            case when abs(official - prov) > 0.005e0 then official * (1 - 10e0 / 100) else stop end as stop, case when abs(official - prov) > 0.005e0 then official * (1 + 20e0 / 100) else target end as target,
-           case when abs(official - prov) > 0.005e0 then 'reconciled' else 'confirmed' end as fill_source
-           from (select s.*, case when abs(hash_k) % 3 = 0 then entry_px * 1.01e0 else entry_px end as prov, b.open as official from (select *, length(id) + qty as hash_k from stt where status = 'open') s join bars b on b.symbol = s.symbol and b.day = s.entry_day)""",
+           case when abs(official - prov) > 0.005e0 then 'reconciled' else 'confirmed' end as fill_source from filled""",
         EVENTS,
+        """opn as materialized (select *, case when (length(id) + qty) % 3 = 0 then entry_px * 1.01e0 else entry_px end as prov from stt where status = 'open'),
+           filled as materialized (select p.*, b.open as official from opn p join (select symbol, day, open from bars where day in (select entry_day from opn)) b on b.symbol = p.symbol and b.day = p.entry_day)""",
     ),
 )
 def reconciled_fills(spark, sf):
+    return asof.reconciled(provisional_fills(spark, sf), bars(spark, sf))
+
+
+def provisional_fills(spark, sf):
+    """The open book as a live feed filled it: one price in three is off."""
     fills = book.view(state(spark, sf), "open")
     drift = F.when((F.length("id") + F.col("qty")) % 3 == 0, F.col("entry_px") * 1.01).otherwise(F.col("entry_px"))
-    fills = fills.withColumn("entry_px", drift).withColumn("fill_source", F.lit("live:feed"))
-    return asof.reconciled(fills, bars(spark, sf))
+    return fills.withColumn("entry_px", drift).withColumn("fill_source", F.lit("live:feed"))

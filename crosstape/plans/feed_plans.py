@@ -111,15 +111,18 @@ PAPER = (
     o.sql("trades bars", "select p.symbol, p.day as queued_on, p.entry_day, p.entry_px, p.exit_day, p.exit_px, p.why as exit_reason from wk join pl p using (symbol, ix)", *PAPER).replace("wk as (select", "wk as (select"),
 )
 def position_stream(spark, sf):
-    """Run the streaming position job over every order and bar, then read its closed events."""
+    """Run the streaming position job over every order and bar, a stretch of sessions per micro-batch, then read its closed events."""
     import uuid
 
+    from ..streaming import feeds
+
     base = f"{shared_dir(spark)}/crosstape/positions-{uuid.uuid4().hex[:12]}"
     b = bars(spark, sf).select(F.lit("main").alias("bucket"), "symbol", "day", F.lit("bar").alias("kind"), F.lit(None).cast("long").alias("qty"), "open", "high", "low", "close")
     none = [F.lit(None).cast("double").alias(c) for c in ("open", "high", "low", "close")]
     orders = trades(spark, sf).select(F.lit("main").alias("bucket"), "symbol", "day", F.lit("order").alias("kind"), F.col("qty").cast("long").alias("qty"), *none)
-    b.unionByName(orders).write.parquet(f"{base}/feed")
-    feed = spark.readStream.schema(positions.INPUT).parquet(f"{base}/feed")
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    feeds.write_in_order(b.unionByName(orders), f"{base}/feed", 5, files=files)
+    feed = spark.readStream.schema(positions.INPUT).option("maxFilesPerTrigger", files).parquet(f"{base}/feed")
     positions.run_available(positions.position_events(feed), f"{base}/events", f"{base}/checkpoint")
     closed = spark.read.schema(positions.EVENTS).parquet(f"{base}/events").filter("status = 'closed'")
     return closed.withColumnRenamed("at", "exit_day")

@@ -23,6 +23,8 @@ class PositionMachine(StatefulProcessor):
     From the bar after the fill: stop, else target, else time. An order for a
     live name is skipped; after an exit the name may be queued again. A row older
     than a bar already applied gives a ``late`` event with its kind as the reason.
+    State is one row per bucket and name ever seen. It has no lifetime: that needs processing time, under which a
+    query that takes what is there never ends.
     """
 
     def __init__(self, stop_pct: float = costs.STOP_PCT, target_pct: float = costs.TARGET_PCT, hold: int = costs.HOLD_DAYS):
