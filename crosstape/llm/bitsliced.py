@@ -10,8 +10,8 @@ sum's slices, so they are exact.
 
 Rows whose id or vector is null, or whose vector holds a null or non-finite component, take no part.
 A missing component (shorter vector) counts as zero; values beyond 2**31 saturate. Rows with the
-query's own id are no candidates of it; where rows share a query's id, the least vector is the
-query. Ties go to the smaller id. Extra columns are ignored. An empty table gives no rows.
+query's own id are no candidates of it; where rows share a query's id, the least usable vector is the
+query, so an id is asked once. Ties go to the smaller id. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -174,7 +174,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
     blocks = max(1, -(-v.count() // BLOCK))
     built = keep(index(v, scale, blocks), "slices")
     # Queries in chunks, a copy of each chunk for every block: all queries meet all rows, in blocks.
-    asked = v.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    asked = v.filter((F.col("vec_id") % every == 0) & finite).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     chunks = asked.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-asked.count() // QUERIES)))).alias("chunk")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("queries"))
     met = chunks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(built, "block")
 

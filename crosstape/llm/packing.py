@@ -18,8 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import documents
-from .pieces import Pieces, batches, encode_chunks, tokenizer, worker_cache
+from .columns import documents, flat, slices
+from .pieces import ChunkIds, chunk_starts, encode_chunks, gathered, tokenizer, worker_cache
+
+#: Text bytes packed together.
+SLICE = 4 << 20
 
 
 def piece_lengths(n: int, max_len: int) -> list[int]:
@@ -28,6 +31,22 @@ def piece_lengths(n: int, max_len: int) -> list[int]:
     return [max_len] * (n // max_len) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
+def cut(n: np.ndarray, max_len: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """piece_lengths of many documents: the document, the start in it and the length of every piece, in order."""
+    whole, rest = n // max_len, n % max_len
+    count = whole + np.bitwise_count(rest).astype(np.int64)
+    doc = np.repeat(np.arange(len(n)), count)
+    nth = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+    length = np.full(len(doc), max_len)
+    left, step = rest[doc], nth - whole[doc]
+    for b in range(max_len.bit_length() - 2, -1, -1):
+        here = (left >> b & 1 == 1) & (step >= 0)
+        length[here & (step == 0)] = 1 << b
+        step -= here
+    upto = np.cumsum(length)
+    return doc, upto - length - (np.cumsum(n) - n)[doc], length
+
+
 def pack(docs: DataFrame, tokenizer_path: str, max_len: int = 2048, end_id: int = 1, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, bucket (log2 of the length), ids
     (with_ids), sequence_id, offset. No shuffle: sequence ids come from the partition and the row in it,
@@ -38,28 +57,31 @@ def pack(docs: DataFrame, tokenizer_path: str, max_len: int = 2048, end_id: int
 
     def run(stream):
         tok = tokenizer(tokenizer_path)
-        cache = worker_cache(("ids", tokenizer_path), lambda: Pieces(lambda texts: encode_chunks(tok, texts)))
-        end = np.array([end_id], "<u4").tobytes()
+        cache = worker_cache(("chunk ids", tokenizer_path, end_id), lambda: ChunkIds(lambda texts: encode_chunks(tok, texts), end_id))
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bucket"] + ["ids"] * with_ids
         for batch in stream:
-            keys = batch.column("doc_id").to_pylist()
-            for lo, texts in batches([t or "" for t in batch.column("text").to_pylist()]):
-                cut = [Pieces.chunks(t) for t in texts]
-                cache.fill(cut)
-                out: list[list] = [[], [], [], [], [], [], []]
-                for key, chunks in zip(keys[lo:], cut, strict=False):
-                    raw = b"".join(map(cache.__getitem__, chunks)) + end
-                    view, n, start = memoryview(raw), len(raw) // 4, 0
-                    for k in piece_lengths(n, max_len):
-                        part = view[4 * start : 4 * (start + k)]
-                        for c, x in zip(out, (key, start, k, zlib.crc32(part), n, k.bit_length() - 1, np.frombuffer(part, "<i4") if with_ids else None), strict=True):
-                            c.append(x)
-                        start += k
-                types = [pa.int64()] * 5 + [pa.int32()] + [pa.list_(pa.int32())] * with_ids
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bucket"] + ["ids"] * with_ids
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=False)], names=names)
-
-    cut = documents(docs, id_col, text_col).mapInArrow(run, schema)
-    return cut.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+            for lo, hi in slices(batch.column("text"), SLICE):
+                data, at = flat(batch.column("text").slice(lo, hi - lo))
+                starts = chunk_starts(data, at)
+                chunks = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)]).dictionary_encode()
+                held = cache.rows(chunks.dictionary.to_pylist())
+                # The end id (row 0) behind the last chunk of each document.
+                rows = np.insert(held[chunks.indices.to_numpy()] if len(held) else held, np.searchsorted(starts, at[1:]), 0)
+                entry, size = gathered(cache.at, rows)
+                ids = cache.ids[entry]
+                ends = np.cumsum(size)[np.flatnonzero(rows == 0)]
+                n = np.diff(ends, prepend=0)
+                doc, start, length = cut(n, max_len)
+                bounds = np.concatenate(([0], np.cumsum(length)))
+                view, at4 = memoryview(ids.astype("<u4").tobytes()), (4 * bounds).tolist()
+                crc = [zlib.crc32(view[a:b]) for a, b in zip(at4[:-1], at4[1:], strict=True)]
+                keys = batch.column("doc_id").slice(lo, hi - lo).take(pa.array(doc))
+                bucket = np.bitwise_count(length - 1).astype(np.int32)
+                columns = [keys, *(pa.array(c, pa.int64()) for c in (start, length, crc, n[doc])), pa.array(bucket)]
+                yield pa.RecordBatch.from_arrays(columns + [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))] * with_ids, names=names)
+
+    made = documents(docs, id_col, text_col).mapInArrow(run, schema)
+    return made.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:

@@ -8,6 +8,7 @@ repeats its chunks, so most of them come from the cache.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 from collections.abc import Callable, Iterable
@@ -56,6 +57,76 @@ class Pieces(dict):
             self.update(zip(part, self.encode([k[0] if isinstance(k, tuple) else " " + k for k in part]), strict=True))
 
 
+#: Bytes a text isn't cut behind, the ASCII blanks.
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
+
+
+def chunk_starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where the chunks of texts laid end to end start: at every text, and at every space behind a character
+    that is no white space. Behind a character that may be one (its first byte being that of
+    some other blank) there is no cut, which only makes a chunk longer."""
+    space = np.flatnonzero(data == 0x20)
+    space = space[space > 0]
+    one, two, three = (data[np.maximum(space - k, 0)] for k in (1, 2, 3))
+    cut = np.where(one < 0x80, ~_BLANK[one], np.where(two >= 0xC0, two != 0xC2, (three < 0xC0) | (three == 0xE0) | (three > 0xE3)))
+    starts = np.zeros(len(data) + 1, bool)
+    starts[space[cut]] = True
+    starts[at] = True
+    return np.flatnonzero(starts[:-1])
+
+
+def gathered(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the entries of ragged rows, end to end, and the rows' lengths."""
+    size = at[rows + 1] - at[rows]
+    return np.repeat(at[rows] - (np.cumsum(size) - size), size) + np.arange(size.sum()), size
+
+
+class ChunkIds:
+    """Ids of chunks in one growing ragged array; a chunk is encoded once while it is held. Row 0 holds the end id.
+    Of more than `most` chunks the half used longest ago goes."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], end_id: int, most: int = 600_000):
+        self.encode, self.most, self.turn = encode, most, 0
+        self.row: dict[str, int] = {}
+        self.ids, self.at = np.array([end_id], np.uint32), np.array([0, 1])
+        self.used = np.zeros(1, np.int64)
+
+    def rows(self, chunks: list[str]) -> np.ndarray:
+        """Row of each (distinct) chunk."""
+        self.turn += 1
+        got = np.fromiter(map(self.row.get, chunks, itertools.repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(got < 0)
+        if len(self.row) + len(missing) > self.most and self.row:
+            self.used[got[got >= 0]] = self.turn
+            self._forget()
+            got = np.fromiter(map(self.row.get, chunks, itertools.repeat(-1)), np.int64, len(chunks))
+            missing = np.flatnonzero(got < 0)
+        if len(missing):
+            new = [chunks[i] for i in missing.tolist()]
+            found = [x for lo in range(0, len(new), 20_000) for x in self.encode(new[lo : lo + 20_000])]
+            first = len(self.at) - 1
+            self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(found), "<u4")))
+            self.at = np.concatenate((self.at, self.at[-1] + np.cumsum([len(x) // 4 for x in found])))
+            got[missing] = first + np.arange(len(new))
+            self.row.update(zip(new, got[missing].tolist(), strict=True))
+            self.used = np.concatenate((self.used, np.zeros(len(new), np.int64)))
+        self.used[got] = self.turn
+        return got
+
+    def _forget(self) -> None:
+        """Keep the more recently used half, and all of this turn."""
+        line = min(int(np.median(self.used[1:])) + 1, self.turn)
+        stays = np.flatnonzero(self.used >= line)
+        stays = np.concatenate(([0], stays[stays > 0]))
+        moved = np.full(len(self.used), -1)
+        moved[stays] = np.arange(len(stays))
+        entry, size = gathered(self.at, stays)
+        self.ids, self.at, self.used = self.ids[entry], np.concatenate(([0], np.cumsum(size))), self.used[stays]
+        to = moved.tolist()
+        self.row = {k: to[r] for k, r in self.row.items() if to[r] >= 0}
+
+
 _LOADED: dict = {}
 
 

@@ -108,6 +108,15 @@ def test_top_k(spark, seed, monkeypatch):
     assert got == sorted(brute_top(rows, 5))
 
 
+def test_top_k_of_ids_with_a_bad_row(spark):
+    """A row that takes no part hides no usable row of its id."""
+    inf = float("inf")
+    rows = [(50, [1.0, 1.0]), (50, [1.0, None]), (50, [None, 1.0]), (100, [-inf, 0.0]), (100, [1.0, 0.0]), (100, [float("nan"), 0.0]), (7, [2.0, 0.0]), (150, [None, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = [(50, 1, 7, 131072), (50, 2, 100, 65536), (100, 1, 7, 131072), (100, 2, 50, 65536)]
+    assert sorted(map(tuple, bitsliced.top_k(df).collect())) == want
+
+
 def test_top_k_of_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0]), (50, [2.0]), (7, [-1.0])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, bitsliced.top_k(df).collect())) == [(0, 1, 50, 131072), (0, 2, 7, -65536), (50, 1, 0, 131072), (50, 2, 7, -131072)]
