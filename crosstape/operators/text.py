@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lex
+from . import asof
 
 TOKEN = r"([A-Za-z][A-Za-z\-]+)"
 NEGATION_WINDOW = 3
@@ -132,7 +133,7 @@ def mentions(items: DataFrame, master: DataFrame, key: str, text: str) -> DataFr
     """
     terms = name_terms(master)
     words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}_]+")
-    each = items.select(key, F.explode(words).alias("word"))
+    each = items.select(key, F.explode(F.array_distinct(words)).alias("word"))
     flat = terms.select("symbol", F.size("terms").alias("n_terms"), F.explode("terms").alias("word"))
     freq = flat.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     order = Window.partitionBy("symbol").orderBy(F.col("df").desc(), "word")
@@ -230,20 +231,33 @@ def news_evidence_days(items: DataFrame, master: DataFrame, window: int = 7) ->
     return attributed(items, master).select("symbol", _covered("captured_day", window), "doc_id", "captured_day")
 
 
+def _steps(rows: DataFrame, first: str, window: int, name: str) -> DataFrame:
+    """How a symbol's count changes: up by a day's items on that day, down again when the window has left them."""
+    per_day = rows.filter(F.col(first).isNotNull()).groupBy("symbol", first).agg(F.count(F.lit(1)).alias("_n"))
+    up = F.struct(F.col(first).alias("day"), F.col("_n").alias(name))
+    down = F.struct(F.date_add(first, window + 1).alias("day"), (-F.col("_n")).alias(name))
+    return per_day.select("symbol", F.explode(F.array(up, down)).alias("_s")).select("symbol", "_s.*")
+
+
 def evidence_bundle_days(master: DataFrame, items: DataFrame, announcements: DataFrame, window: int = 7, ann_window: int = 30) -> DataFrame:
     """evidence_bundle for every company and every day from the first item or announcement to the last that a window reaches.
 
-    Items of one symbol and day are counted before they are dealt to the days their window covers.
+    Counts are running sums of changes: two rows per symbol and day with items, however long the window. One window per
+    symbol, whose rows are bounded by the calendar; a span of days beyond ``asof.MOST_DAYS`` is refused.
     """
-    per_day = lambda rows, first, days, n: rows.groupBy("symbol", first).agg(F.count(F.lit(1)).alias("_n")).select("symbol", _covered(first, days), "_n").groupBy("symbol", "day").agg(F.sum("_n").alias(n))
-    news = per_day(attributed(items, master), "captured_day", window, "news_count")
-    ann = per_day(announcements.filter(F.col("visible_from").isNotNull()), "visible_from", ann_window, "announcement_count")
-    a = items.agg(F.min("captured_day").alias("archive_starts"), F.max("captured_day").alias("_last"))
-    b = announcements.agg(F.min("visible_from").alias("_from"), F.max("visible_from").alias("_to"))
-    last = F.greatest(F.date_add("_last", window), F.date_add("_to", ann_window))
-    days = a.crossJoin(b).select("archive_starts", F.explode(F.sequence(F.least("archive_starts", "_from"), last)).alias("day"))
-    grid = master.select("symbol").crossJoin(F.broadcast(days))
-    return grid.join(news, ["symbol", "day"], "left").join(ann, ["symbol", "day"], "left").fillna(0, ["news_count", "announcement_count"])
+    steps = _steps(attributed(items, master), "captured_day", window, "_news").unionByName(_steps(announcements, "visible_from", ann_window, "_ann"), allowMissingColumns=True)
+    seen = items.agg(F.min("captured_day").alias("starts"), F.max("captured_day").alias("_last"))
+    told = announcements.agg(F.min("visible_from").alias("_from"), F.max("visible_from").alias("_to"))
+    starts = seen.select("starts").scalar()
+    lo = F.least(starts, told.select("_from").scalar())
+    hi = F.greatest(F.date_add(seen.select("_last").scalar(), window), F.date_add(told.select("_to").scalar(), ann_window))
+    days = F.when(F.datediff(hi, lo) <= asof.MOST_DAYS, F.sequence(lo, hi)).when(lo.isNotNull() & hi.isNotNull(), F.raise_error(F.lit(f"evidence spans over {asof.MOST_DAYS} days")).cast("array<date>"))
+    grid = master.select("symbol", F.explode(days).alias("day"), F.lit(True).alias("_asked"))
+    per_day = steps.unionByName(grid, allowMissingColumns=True).groupBy("symbol", "day").agg(F.sum("_news").alias("_news"), F.sum("_ann").alias("_ann"), F.max("_asked").alias("_asked"))
+    upto = Window.partitionBy("symbol").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    total = lambda c: F.coalesce(F.sum(c).over(upto), F.lit(0))
+    rows = per_day.select("symbol", "day", "_asked", total("_news").alias("news_count"), total("_ann").alias("announcement_count")).filter("_asked")
+    return rows.select("symbol", "day", "news_count", "announcement_count", starts.alias("archive_starts"))
 
 
 def evidence_bundle(master: DataFrame, news: DataFrame, announcements: DataFrame, day: Column, archive: DataFrame, ann_window: int = 30) -> DataFrame:

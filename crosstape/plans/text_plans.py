@@ -101,22 +101,13 @@ def sentiment_drivers(spark, sf):
 
 
 STOP_LIST = ", ".join(f"'{w}'" for w in lex.NAME_STOP)
-# A company per benchmark item, named by words of its text; documents quote some of them.
-NAMES = f"""mst as materialized (select concat('BNCH', cast(item_id as varchar)) as symbol, array_to_string(string_split_regex(text, '\\s+')[1:5], ' ') as company from benchmark),
+# A company per benchmark item, named by every word of its text; documents quote some of them.
+NAMES = f"""mst as materialized (select concat('BNCH', cast(item_id as varchar)) as symbol, text as company from benchmark),
 trm as materialized (select symbol, lower(symbol) as ticker, list_filter(list_distinct(string_split_regex(lower(company), '[^a-z0-9]+')), lambda w: length(w) >= 4 and w not in ({STOP_LIST}) and w <> lower(symbol)) as terms from mst),
 itx as materialized (select doc_id, list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '')) as words from documents)"""
 
 
 def name_master(spark, sf):
-    words = F.slice(F.split("text", r"\s+"), 1, 5)
-    return table(spark, sf, "benchmark").select(F.concat(F.lit("BNCH"), F.col("item_id").cast("string")).alias("symbol"), F.array_join(words, " ").alias("company"))
-
-
-# The same companies named by every word of the text.
-WHOLE_NAMES = NAMES.replace("array_to_string(string_split_regex(text, '\\s+')[1:5], ' ')", "text")
-
-
-def whole_names(spark, sf):
     return table(spark, sf, "benchmark").select(F.concat(F.lit("BNCH"), F.col("item_id").cast("string")).alias("symbol"), F.col("text").alias("company"))
 
 
@@ -140,17 +131,16 @@ def registered_names(spark, sf):
 
 
 @query("whole_name_mentions", "J6", "doc_id:i symbol:s",
-       o.sql("", "with recursive " + WHOLE_NAMES + " select doc_id, symbol from itx, trm where list_contains(words, ticker) or (len(terms) > 0 and len(list_intersect(words, terms)) >= least(2, len(terms)))"))
+       o.sql("", "with recursive " + NAMES + " select doc_id, symbol from itx, trm where list_contains(words, ticker) or (len(terms) > 0 and len(list_intersect(words, terms)) >= least(2, len(terms)))"))
 def whole_name_mentions(spark, sf):
-    """company_mentions with every word of the names."""
-    return text.mentions(table(spark, sf, "documents"), whole_names(spark, sf), "doc_id", "text")
+    return text.mentions(table(spark, sf, "documents"), name_master(spark, sf), "doc_id", "text")
 
 
 @query("registered_whole_names", "J9", "symbol:s company:s",
-       o.sql("", "with recursive " + WHOLE_NAMES + " select distinct concat('BNCH', cast(doc_id % 60 as varchar)) as symbol, coalesce(company, '') as company from documents left join mst on mst.symbol = concat('BNCH', cast(doc_id % 60 as varchar))"))
-def registered_whole_names(spark, sf):
+       o.sql("", "with recursive " + NAMES + " select distinct concat('BNCH', cast(doc_id % 60 as varchar)) as symbol, coalesce(company, '') as company from documents left join mst on mst.symbol = concat('BNCH', cast(doc_id % 60 as varchar))"))
+def registered_name_master(spark, sf):
     asked = table(spark, sf, "documents").select(F.concat(F.lit("bnch"), (F.col("doc_id") % 60).cast("string")).alias("symbol")).distinct()
-    return text.registered_name(asked, whole_names(spark, sf))
+    return text.registered_name(asked, name_master(spark, sf))
 
 
 # News items: every document is captured at its place in the event calendar.
@@ -199,20 +189,20 @@ cal as materialized (select cast(unnest(generate_series(cast(lo as timestamp), c
 
 
 @query("news_evidence_days", "H8", "symbol:s day:d doc_id:i captured_day:d",
-       o.sql("", "with recursive " + ", ".join((WHOLE_NAMES, NEWS, VISIBLE)) + " select symbol, day, doc_id, captured_day from evd join cal on captured_day between day - 7 and day"))
+       o.sql("", "with recursive " + ", ".join((NAMES, NEWS, VISIBLE)) + " select symbol, day, doc_id, captured_day from evd join cal on captured_day between day - 7 and day"))
 def news_evidence_days(spark, sf):
     """The evidence of every (symbol, day)."""
-    return text.news_evidence_days(news_items(spark, sf), whole_names(spark, sf))
+    return text.news_evidence_days(news_items(spark, sf), name_master(spark, sf))
 
 
 @query(
     "evidence_bundle_days", "H9", "symbol:s day:d news_count:i announcement_count:i archive_starts:d",
-    o.sql("", "with recursive " + ", ".join((WHOLE_NAMES, NEWS, VISIBLE)) + """ select m.symbol, c.day, coalesce(n.k, 0) as news_count, coalesce(a.k, 0) as announcement_count, (select min(captured_day) from nws) as archive_starts from mst m cross join cal c
+    o.sql("", "with recursive " + ", ".join((NAMES, NEWS, VISIBLE)) + """ select m.symbol, c.day, coalesce(n.k, 0) as news_count, coalesce(a.k, 0) as announcement_count, (select min(captured_day) from nws) as archive_starts from mst m cross join cal c
       left join (select symbol, day, count(*) as k from evd join cal on captured_day between day - 7 and day group by all) n on n.symbol = m.symbol and n.day = c.day
       left join (select symbol, day, count(*) as k from ann join cal on visible_from between day - 30 and day group by all) a on a.symbol = m.symbol and a.day = c.day"""),
 )
 def evidence_bundle_days(spark, sf):
-    return text.evidence_bundle_days(whole_names(spark, sf), news_items(spark, sf), visible_events(spark, sf))
+    return text.evidence_bundle_days(name_master(spark, sf), news_items(spark, sf), visible_events(spark, sf))
 
 
 PUBLISHER_MAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in lex.PUBLISHERS.items()) + "}"

@@ -33,10 +33,23 @@ def test_evidence_of_every_day(spark):
 
 def test_names_are_whole(spark):
     sf = "/root/testdata/sf0.001"
-    got = {r.symbol: r.company for r in text_plans.whole_names(spark, sf).collect()}
+    got = {r.symbol: r.company for r in text_plans.name_master(spark, sf).collect()}
     assert got == {f"BNCH{r.item_id}": r.text for r in table(spark, sf, "benchmark").collect()}
     assert max(len(c.split()) for c in got.values()) > 5
     # A document of a name's sixth and later words is about it.
     late = [c for c in sorted(got.values()) if len({w for w in c.lower().split()[5:] if w.isalpha() and len(w) > 4} - set(c.lower().split()[:5])) > 4][0]
     doc = spark.createDataFrame([(1, " ".join(late.split()[5:]))], "doc_id long, text string")
-    assert text.mentions(doc, text_plans.whole_names(spark, sf).filter(F.col("company") == late), "doc_id", "text").count() == 1
+    assert text.mentions(doc, text_plans.name_master(spark, sf).filter(F.col("company") == late), "doc_id", "text").count() == 1
+
+
+def test_evidence_refuses_an_absurd_span_and_takes_empty_input(spark):
+    import pytest
+
+    master = spark.createDataFrame([("AAAA", "amber anvil")], "symbol string, company string")
+    items = spark.createDataFrame([(1, "x", dt.date(1, 1, 1), "AAAA"), (2, "x", dt.date(9000, 1, 1), "AAAA")], "doc_id long, title string, captured_day date, tag string")
+    ann = spark.createDataFrame([("AAAA", day(2))], "symbol string, visible_from date")
+    with pytest.raises(Exception, match="spans over"):
+        text.evidence_bundle_days(master, items, ann).collect()
+    assert text.evidence_bundle_days(master, items.filter("false"), ann.filter("false")).collect() == []
+    plan = text.evidence_bundle_days(master, items, ann)._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
