@@ -27,7 +27,11 @@ def visible_sessions(spark, sf):
     o.sql("annv", "select strftime(visible_from, '%Y-%m') as visible_month, symbol, count(*) as n, min(an_dt) as first_dt, max(an_dt) as last_dt from annv where visible_from is not null group by 1, 2"),
 )
 def announcement_months(spark, sf):
-    rows = visible_announcements(spark, sf).withColumn("visible_month", F.date_format("visible_from", "yyyy-MM"))
+    return by_month(visible_announcements(spark, sf))
+
+
+def by_month(rows):
+    rows = rows.withColumn("visible_month", F.date_format("visible_from", "yyyy-MM"))
     return rows.groupBy("visible_month", "symbol").agg(F.count(F.lit(1)).alias("n"), F.min("an_dt").alias("first_dt"), F.max("an_dt").alias("last_dt"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import asof, book, selection
 from ..session import shared_dir
-from ..sources import derived
+from ..sources import derived, months
 from ..streaming import feeds, order_queue, positions
 from . import asof_plans, book_plans
 from . import oracle as o
@@ -96,3 +96,21 @@ def visibility_stream(spark, sf):
         feeds.visible_by_calendar(feed, f"{base}/sessions", f"{base}/out", f"{base}/checkpoint")
     out = raw.withColumn("visible_from", F.lit(None).cast("date"))
     return spark.read.schema(out.schema).parquet(f"{base}/out/visible")
+
+
+@query("rebuilt_months", "A13", REGISTRY["announcement_months"].cols, REGISTRY["announcement_months"].sql)
+def rebuilt_months(spark, sf):
+    """The announcement table built with a month that doesn't belong there, rebuilt over a range twice, with a rebuild in
+    between that dies before it is published."""
+    rows = asof_plans.visible_announcements(spark, sf).select("symbol", "an_dt", "visible_from")
+    span = rows.agg(F.date_format(F.min("visible_from"), "yyyy-MM").alias("lo"), F.date_format(F.max("visible_from"), "yyyy-MM").alias("hi")).first()
+    store = months.MonthStore(spark, fresh(spark, "months"), "symbol string, an_dt timestamp, visible_from date")
+    if span.lo is None:
+        return asof_plans.by_month(store.rows())
+    stray = rows.limit(1).withColumn("visible_from", F.add_months(F.trunc(F.lit(f"{span.hi}-01").cast("date"), "month"), 2))
+    later = stray.agg(F.date_format(F.min("visible_from"), "yyyy-MM")).first()[0]
+    store.rebuild(rows.unionByName(stray), span.lo, later)
+    store.stage(rows.filter("false"), span.lo, later)
+    for _ in range(2):
+        store.rebuild(rows, span.lo, later)
+    return asof_plans.by_month(store.rows())

@@ -6,6 +6,9 @@ the whole tree; the day comes from the path.
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -98,9 +101,13 @@ def load_bars(spark: SparkSession, root: str, exclude_non_equity: bool = True) -
 
 
 def _matches(spark: SparkSession, pattern: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    return found is not None and len(found) > 0
+    try:
+        spark.read.text(pattern)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
 
 
 def _optional(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -170,20 +177,26 @@ def read_announcements(spark: SparkSession, path: str, sessions: DataFrame) -> D
 def store_announcements(rows: DataFrame, path: str, since: str | None = None, upto: str | None = None) -> None:
     """Rewrite the months present in ``rows``: running it again never duplicates.
 
-    A rebuild names its range (months ``since`` to ``upto``, such as "2024-03"): its months are
-    dropped first, so one that no longer holds a row doesn't keep its old ones.
+    A rebuild names its range (months ``since`` to ``upto``, such as "2024-03"). All its rows are written aside before
+    anything is touched, so they may come from ``path`` itself; then its months are replaced, and those that hold no row
+    any more are emptied. Where readers must never see a part of that, use ``months.MonthStore``.
     """
+    spark = rows.sparkSession
     months = rows.withColumn("month", F.date_format("visible_from", "yyyy-MM"))
+    kinds = months.schema
     if since and upto:
         months = months.filter(F.col("month").between(since, upto))
-        sc = rows.sparkSession.sparkContext
-        first, last = (int(m[:4]) * 12 + int(m[5:]) - 1 for m in (since, upto))
-        for m in range(first, last + 1):
-            folder = sc._jvm.org.apache.hadoop.fs.Path(f"{path}/month={m // 12:04d}-{m % 12 + 1:02d}")
-            folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+        aside = f"{path.rstrip('/')}-aside-{uuid.uuid4().hex[:12]}"
+        months.write.parquet(aside)
+        months = spark.read.schema(kinds).parquet(aside)
     months.repartition("month").sortWithinPartitions("symbol", "visible_from", "an_dt").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("month").parquet(path)
+    if since and upto:
+        there = spark.read.schema(kinds).parquet(path).select("month").filter(F.col("month").between(since, upto)).distinct()
+        # At most the months of the range.
+        for row in there.join(months.select("month").distinct(), "month", "left_anti").collect():
+            spark.createDataFrame([], kinds).drop("month").write.mode("overwrite").parquet(f"{path}/month={row['month']}")
 
 
 def read_filing_index(spark: SparkSession, path: str) -> DataFrame:
