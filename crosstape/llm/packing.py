@@ -22,7 +22,7 @@ from .columns import documents, flat, slices
 from .pieces import ChunkIds, chunk_starts, encode_chunks, gathered, tokenizer, worker_cache
 
 #: Text bytes packed together.
-SLICE = 4 << 20
+SLICE = 8 << 20
 
 
 def piece_lengths(n: int, max_len: int) -> list[int]:

@@ -60,18 +60,31 @@ class Pieces(dict):
 #: Bytes a text isn't cut behind, the ASCII blanks.
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
+_POINT, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_POINT[list(b".,;:!?")] = True
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 
 def chunk_starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Where the chunks of texts laid end to end start: at every text, and at every space behind a character
-    that is no white space. Behind a character that may be one (its first byte being that of
-    some other blank) there is no cut, which only makes a chunk longer."""
+    """Where the chunks of texts laid end to end start: at every text, at every space behind a character
+    that is no white space, and at every _POINT behind a Latin letter (letters and points never share a
+    pre-token, and points open no longer one with letters before them), and behind a lone line feed. Behind a character that may be white space
+    (its first byte being that of some other blank) there is no cut, which only makes a chunk longer."""
     space = np.flatnonzero(data == 0x20)
     space = space[space > 0]
     one, two, three = (data[np.maximum(space - k, 0)] for k in (1, 2, 3))
     cut = np.where(one < 0x80, ~_BLANK[one], np.where(two >= 0xC0, two != 0xC2, (three < 0xC0) | (three == 0xE0) | (three > 0xE3)))
     starts = np.zeros(len(data) + 1, bool)
     starts[space[cut]] = True
+    point = np.flatnonzero(_POINT[data])
+    point = point[point > 0]
+    one, two = data[point - 1], data[np.maximum(point - 2, 0)]
+    starts[point[_LETTER[one] | ((one >= 0x80) & (one != 0x97) & (one != 0xB7) & (two == 0xC3))]] = True
+    # Behind a single line feed that a letter follows: it is a pre-token, or the end of one, either way.
+    line = np.flatnonzero(data == 0x0A)
+    line = line[(line > 0) & (line < len(data) - 1)]
+    before = data[line - 1]
+    starts[line[(before < 0x80) & ~_BLANK[before] & _LETTER[data[line + 1]]] + 1] = True
     starts[at] = True
     return np.flatnonzero(starts[:-1])
 
@@ -145,8 +158,8 @@ def tokenizer(path: str):
 
 
 def encode_chunks(tok, texts: list[str], together: int = 64) -> list[bytes]:
-    """Ids (unsigned 32-bit) of each chunk text. Chunks that start with a space and don't end in white
-    space are encoded together, as one text; the bytes that each token stands for tell where a chunk ends."""
+    """Ids (unsigned 32-bit) of each chunk text. Chunks that start with a space or a Latin letter and don't end in
+    white space are encoded together, as one text; the bytes that each token stands for tell where a chunk ends."""
     if ("length", id(tok)) not in _LOADED:
         length = np.zeros(tok.get_vocab_size(), np.int64)
         for piece, i in tok.get_vocab().items():
@@ -154,18 +167,22 @@ def encode_chunks(tok, texts: list[str], together: int = 64) -> list[bytes]:
         _LOADED["length", id(tok)] = length
     length = _LOADED["length", id(tok)]
     out: list = [None] * len(texts)
-    joint = [i for i, t in enumerate(texts) if t[:1] == " " and not t[-1].isspace()]
+    letter = lambda t: t[0].isascii() and t[0].isalpha()
+    joint = [i for i, t in enumerate(texts) if t and not t[-1].isspace() and (t[0] == " " or letter(t))]
     groups = [joint[lo : lo + together] for lo in range(0, len(joint), together)]
-    for group, e in zip(groups, tok.encode_batch_fast(["".join([texts[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+    # A line feed keeps a chunk that starts with a letter from the one before.
+    told = [[texts[i] if texts[i][0] == " " else "\n" + texts[i] for i in g] for g in groups]
+    for group, parts, e in zip(groups, told, tok.encode_batch_fast(["".join(p) for p in told], add_special_tokens=False), strict=True):
         ids = np.array(e.ids, "<u4")
-        at = np.cumsum(length[ids])
-        ends = np.cumsum([len(texts[i].encode()) for i in group])
-        cut = np.minimum(np.searchsorted(at, ends), len(ids) - 1)
-        if (at[cut] == ends).all():
-            raw, lo = ids.tobytes(), 0
-            for i, hi in zip(group, (4 * cut + 4).tolist(), strict=True):
-                out[i] = raw[lo:hi]
-                lo = hi
+        at = np.concatenate(([0], np.cumsum(length[ids])))
+        size = np.array([len(p.encode()) for p in parts])
+        ends = np.cumsum(size)
+        starts = ends - size + np.array([p[0] == "\n" for p in parts])
+        lo, hi = np.searchsorted(at, starts), np.searchsorted(at, ends)
+        if at[-1] == ends[-1] and (at[lo] == starts).all() and (at[hi] == ends).all():
+            raw = ids.tobytes()
+            for i, x, y in zip(group, (4 * lo).tolist(), (4 * hi).tolist(), strict=True):
+                out[i] = raw[x:y]
     alone = [i for i, x in enumerate(out) if x is None]
     for i, e in zip(alone, tok.encode_batch_fast([texts[i] for i in alone], add_special_tokens=False), strict=True):
         out[i] = np.array(e.ids, "<u4").tobytes()
