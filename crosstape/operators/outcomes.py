@@ -252,6 +252,44 @@ def arm_grid(signals: DataFrame, arms: list[dict]) -> DataFrame:
     return signals.withColumn("_arm", F.explode(F.array(*cells))).select(*signals.columns, "_arm.*")
 
 
+def fired_bits(triggers: dict[str, Column], barred: Column) -> Column:
+    """One number per bar: bit k is set where the k-th trigger fires and the bar is not ``barred``."""
+    bits = None
+    for k, trigger in enumerate(triggers.values()):
+        bit = F.when(trigger, F.lit(1 << k)).otherwise(F.lit(0))
+        bits = bit if bits is None else bits + bit
+    return F.when(barred, F.lit(0)).otherwise(bits)
+
+
+def ladder_return(labelled: DataFrame, rungs: list[tuple[float, float]], qty: str = "qty", into: str = "ladder_ret") -> DataFrame:
+    """The return of the whole position if it is sold by ``ladder_legs``' rungs, in percent, on the labelled row itself."""
+    last = F.when(F.col("why") == "stop", F.col("exit_ix") - 1).otherwise(F.col("exit_ix"))
+    rows, left, taken = labelled.withColumn("_last", last), F.col(qty).cast("double"), F.lit(0.0)
+    for pct, frac in rungs:
+        level = F.col("entry_px") * (1 + pct / 100)
+        hit = F.get(F.filter("path", _reaches(level)), F.lit(0))
+        sold = F.when(hit.isNotNull(), F.least(F.floor(F.col(qty) * float(frac)).cast("double"), left)).otherwise(F.lit(0.0))
+        taken = taken + F.when(sold > 0, sold * F.greatest(level, hit["open"])).otherwise(F.lit(0.0))
+        left = left - sold
+    whole = (taken + left * F.col("exit_px")) / (F.col(qty) * F.col("entry_px"))
+    return rows.withColumn(into, (whole - 1) * 100).drop("_last")
+
+
+def rule_grid(marked: DataFrame, triggers: list[str], exits: list[dict], rungs: list[tuple[float, float]], cash: float) -> DataFrame:
+    """Trades of every cell of trigger x exit x ladder: trigger, a_stop, a_target, a_hold, ladder, ret and the marked row's columns.
+
+    ``marked`` has one row per signal bar with its path and ``fired`` bits. Each signal is labelled once per exit, whatever the
+    number of triggers, and both ladder states are read off that label; triggers only deal the result out.
+    """
+    labelled = arm_grid(marked, exits)
+    labelled = barrier(labelled, F.col("a_stop"), F.col("a_target"), F.col("a_hold"))
+    labelled = ladder_return(labelled.withColumn("qty", F.floor(F.lit(cash) / F.col("entry_px"))).filter("qty >= 1"), rungs)
+    names = F.array(*[F.struct(F.lit(1 << k).alias("bit"), F.lit(t).alias("trigger")) for k, t in enumerate(triggers)])
+    states = F.array(F.struct(F.lit(False).alias("ladder"), F.col("ret").alias("ret")), F.struct(F.lit(True).alias("ladder"), F.col("ladder_ret").alias("ret")))
+    rows = labelled.drop("path").withColumn("_t", F.explode(F.filter(names, lambda t: F.col("fired").bitwiseAND(t["bit"]) != 0))).withColumn("_s", F.explode(states))
+    return rows.drop("ret", "ladder_ret").select("*", "_t.trigger", "_s.ladder", "_s.ret").drop("_t", "_s")
+
+
 def net_trade(trades: DataFrame, qty: Column | None = None, c: Column | float = 1.0,
               adv: str = "liq", vol: str = "vol_pct", exit_adv: str | None = None, exit_vol: str | None = None) -> DataFrame:
     """Impact on both sides and the charge stack on a labelled trade.

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import costs
 from ..functions import indicators as ind
 from ..functions.frames import series
-from ..operators import outcomes, ranking, universe
+from ..functions.triggers import TRIGGERS
+from ..operators import outcomes, ranking, selection, universe
 from . import oracle as o
-from .common import bars, denylist, features, signals, trades
+from .common import bars, candidates, corpus, denylist, features, signals, trades
 from .spec import query
 
 LABEL_COLS = "symbol:s day:d band:s entry_day:d entry_px:f exit_day:d exit_px:f why:s ret:f"
@@ -215,6 +216,43 @@ def rule_sweep(spark, sf):
     return arm_trades(spark, sf).groupBy("arm", "why").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("mean"))
 
 
+GRID_TRIGGERS = ("none", "volume", "breakout", "vol+breakout")
+GRID_EXITS = [{"a_stop": stop, "a_target": target, "a_hold": hold} for stop in (5.0, 10.0) for target in (10.0, 20.0) for hold in (10, 20)]
+GRID_VALUES = ", ".join(f"({e['a_stop']}e0, {e['a_target']}e0, {e['a_hold']})" for e in GRID_EXITS)
+RUNGS = [(6.0, 0.5), (12.0, 0.5)]
+GRID = (
+    f"gtr as materialized (select symbol, ix, {o.VOLUME} as volume_up, {o.BREAKOUT} as broke from bars)",
+    f"""gsg as materialized (select c.symbol, c.day, c.ix, floor((c.band_rank - 1) / case c.band when 'micro' then 3 else 2 end) as cohort, c.locked, t.volume_up, t.broke, a.*
+      from cands c join gtr t using (symbol, ix), (values {GRID_VALUES}) a(a_stop, a_target, a_hold) where floor((c.band_rank - 1) / case c.band when 'micro' then 3 else 2 end) < 6)""",
+    o.label_cte("gl", "gsg", stop="s.a_stop", target="s.a_target", hold="a_hold", keys="a_stop, a_target, a_hold").replace("s.ix + a_hold", "s.ix + s.a_hold").replace("t.ix + a_hold", "t.ix + t.a_hold"),
+    """gq as materialized (select *, floor(45000e0 / entry_px) as q0, case when why = 'stop' then exit_ix - 1 else exit_ix end as lx from gl where floor(45000e0 / entry_px) >= 1),
+    grg as materialized (select q.symbol, q.ix, q.a_stop, q.a_target, q.a_hold, r.leg, q.entry_px * (1 + r.pct / 100) as lvl, floor(q.q0 * 0.5e0) as want, min(b.ix) as hix
+      from gq q, (values (0, 6e0), (1, 12e0)) r(leg, pct), bars b where b.symbol = q.symbol and b.ix between q.ix + 1 and q.lx and b.high >= q.entry_px * (1 + r.pct / 100) group by all),
+    gsold as materialized (select g.symbol, g.ix, g.a_stop, g.a_target, g.a_hold, sum(want) as sold, sum(want * greatest(lvl, b.open)) as taken from grg g join bars b on b.symbol = g.symbol and b.ix = g.hix group by all),
+    gcell as materialized (select q.*, ret as flat_ret, ((coalesce(taken, 0e0) + (q0 - coalesce(sold, 0)) * exit_px) / (q0 * entry_px) - 1) * 100 as ladder_ret
+      from gq q left join gsold using (symbol, ix, a_stop, a_target, a_hold)),
+    gt as materialized (select *, 'none' as trigger from gcell where not locked union all select *, 'volume' from gcell where not locked and volume_up
+      union all select *, 'breakout' from gcell where not locked and broke union all select *, 'vol+breakout' from gcell where not locked and volume_up and broke)""",
+)
+
+
+def grid_trades(spark, sf):
+    """Candidates of six rank cohorts under every trigger, exit and ladder state."""
+    places = selection.cohorts(candidates(spark, sf)).select("symbol", "day", "cohort")
+    rows = corpus(spark, sf).withColumn("fired", outcomes.fired_bits({t: TRIGGERS[t]() for t in GRID_TRIGGERS}, F.col("locked")))
+    marked = outcomes.with_path(rows.join(places, ["symbol", "day"], "left"), 20).filter("cohort is not null and fired > 0")
+    return outcomes.rule_grid(marked.select("symbol", "day", "ix", "cohort", "fired", "path"), list(GRID_TRIGGERS), GRID_EXITS, RUNGS, 45_000.0)
+
+
+@query(
+    "rule_grid", "G11", "trigger:s a_stop:f a_target:f a_hold:i ladder:b cohort:i n:i mean:f",
+    o.sql("cands bars", """select trigger, a_stop, a_target, a_hold, ladder, cohort, count(*) as n, avg(ret) as mean from (
+      select *, false as ladder, flat_ret as ret from (select * exclude (ret) from gt) union all by name select *, true as ladder, ladder_ret as ret from (select * exclude (ret) from gt)) group by all""", *GRID),
+)
+def rule_grid(spark, sf):
+    return grid_trades(spark, sf).groupBy("trigger", "a_stop", "a_target", "a_hold", "ladder", "cohort").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("mean"))
+
+
 @query("net_trades", "F8", "symbol:s day:d qty:i imp:f cost_pct:f net:f net_ret:f", o.sql("trades", "select *, nqty as qty from trades"))
 def net_trades(spark, sf):
     return trades(spark, sf)
