@@ -319,6 +319,74 @@ def adoption(row: DataFrame, conditions: list[tuple[str, Column]]) -> DataFrame:
     return out.withColumn("failed", F.array_join(failed, ",")).withColumn("adopt", F.size(failed) == 0)
 
 
+def arm_facts(trades: DataFrame, control: str, order: list[str]) -> DataFrame:
+    """What the adoption rules compare, one row per arm: edge against the control, means per band, worst half-year, share of the
+    best name, number of names, each with the control's value beside it (c_...); whether the edges run one way
+    over ``order``. Arms are a literal grid, so windows over all of them hold a handful of rows."""
+    every = Window.partitionBy(F.lit(0))
+    mean_of = lambda b: F.avg(F.when(F.col("band") == b, F.col("ret"))).alias(b)
+    base = welch_vs_control(trades.groupBy("arm").agg(*stats.sample_bars(), mean_of("micro"), mean_of("small")), control)
+    blocks = trades.groupBy("arm", stats.half_year(F.col("exit_day")).alias("_b")).agg(F.sum("ret").alias("_t")).groupBy("arm").agg(F.min("_t").alias("worst"))
+    names = trades.groupBy("arm", "symbol").agg(F.sum("ret").alias("_t"))
+    won = F.sum(F.greatest("_t", F.lit(0.0)))
+    names = names.groupBy("arm").agg(F.count(F.lit(1)).alias("names"), (F.try_divide(F.greatest(F.max("_t"), F.lit(0.0)), won) * 100).alias("top1"))
+    rows = base.join(blocks, "arm").join(names, "arm")
+    beside = [F.max(F.when(F.col("arm") == control, F.col(c))).over(every).alias(f"c_{c}") for c in ("micro", "small", "worst", "names", "top1")]
+    place = F.array_position(F.array(*[F.lit(a) for a in order]), F.col("arm"))
+    before = F.lag("gap").over(every.orderBy("_place"))
+    rows = rows.select("*", *beside, place.alias("_place")).withColumn("_up", F.coalesce(F.col("gap") >= before, F.lit(True))).withColumn("_down", F.coalesce(F.col("gap") <= before, F.lit(True)))
+    return rows.withColumn("runs_one_way", F.min("_up").over(every) | F.min("_down").over(every)).drop("_place", "_up", "_down")
+
+
+def seats_rule(worse_by: float = 3.0) -> list[tuple[str, Column]]:
+    """Another number of seats: a resolved edge that runs one way over the arms, in both bands, without a deeper fall."""
+    return [
+        ("resolved", F.abs("gap_t") > 2), ("one_way", F.col("runs_one_way")), ("both_bands", (F.col("micro") > F.col("c_micro")) & (F.col("small") > F.col("c_small"))),
+        ("no_deeper_fall", F.col("maxdd") <= F.col("c_maxdd") + worse_by),
+    ]
+
+
+def pooled_rule() -> list[tuple[str, Column]]:
+    """One pool instead of bands: better trades, and neither the worst block, the concentration, the breadth nor the block falls worse."""
+    return [
+        ("better", F.col("gap_t") > 2), ("worst_block", F.col("worst") >= F.col("c_worst")), ("concentration", F.col("top1") <= F.col("c_top1")),
+        ("breadth", F.col("names") >= F.col("c_names")), ("block_falls", ~(F.coalesce("t", F.lit(0.0)) > 2)),
+    ]
+
+
+def pattern_rule(loose_edge: Column, bar: float = 2.6) -> list[tuple[str, Column]]:
+    """A new trigger: resolved, good in both bands, no worse half-year, and better than merely saying yes more often."""
+    return [
+        ("resolved", F.abs("gap_t") >= bar), ("both_bands", (F.col("micro") > 0) & (F.col("small") > 0)), ("worst_block", F.col("worst") >= F.col("c_worst")),
+        ("not_looser", ~F.coalesce(loose_edge >= F.col("gap"), F.lit(False))),
+    ]
+
+
+def falls_rule(exposure_r: Column, bar: float = 2.81, loo: float = 1.5, most_r: float = 0.7) -> list[tuple[str, Column]]:
+    """A trigger for shallower falls: resolved, not one episode, not bought by holding less, without a resolved loss of return."""
+    return [
+        ("resolved", (F.abs("t") >= bar) & (F.col("mean_diff") < 0)), ("not_one_episode", ((F.col("median_diff") < 0) == (F.col("mean_diff") < 0)) & (F.abs("loo_t") > loo)),
+        ("not_exposure", F.abs(exposure_r) < most_r), ("no_return_cost", ~F.coalesce(F.col("gap_t") <= -2, F.lit(False))),
+    ]
+
+
+def exit_rule(longer_edge: Column, bar: float = 2.6) -> list[tuple[str, Column]]:
+    """A new exit: resolved, good in both bands, no worse half-year, and not half explained by holding longer."""
+    explained = (F.col("gap") > 0) & (longer_edge >= 0.5 * F.col("gap"))
+    return [
+        ("resolved", F.abs("gap_t") >= bar), ("both_bands", (F.col("micro") > 0) & (F.col("small") > 0)), ("worst_block", F.col("worst") >= F.col("c_worst")),
+        ("not_longer", ~F.coalesce(explained, F.lit(False))),
+    ]
+
+
+def tone_rule(bar: float = 2.64, most_echo: float = 0.3) -> list[tuple[str, Column]]:
+    """A text score: resolved, beats the category alone, is not momentum restated, has one sign in both bands."""
+    return [
+        ("resolved", F.abs("t") >= bar), ("beats_category", F.col("spread") > F.col("category_spread")), ("not_momentum", F.abs("echo") < most_echo),
+        ("one_sign", (F.col("micro") > 0) == (F.col("small") > 0)),
+    ]
+
+
 def keep_bar(arms: DataFrame, cagr: float = 5.0, dd: float = 55.0, n: int = 150, win: float = 30.0) -> DataFrame:
     return adoption(arms, [
         ("ok_cagr", F.col("cagr") > cagr), ("ok_dd", F.col("maxdd") < dd), ("ok_n", F.col("n") >= n), ("ok_win", F.col("win") >= win),

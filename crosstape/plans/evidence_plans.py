@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -433,6 +434,48 @@ def adoption_table(spark, sf):
     ])
 
 
+FACTS = f"""fct0 as materialized (select arm, avg(ret) filter (where band = 'micro') as micro, avg(ret) filter (where band = 'small') as small from al group by arm),
+fct1 as materialized (select arm, min(t) as worst from (select arm, {HALF.format(d='exit_day')} as b, sum(ret) as t from al group by all) group by arm),
+fct2 as materialized (select arm, count(*) as names, greatest(max(t), 0e0) / nullif(sum(greatest(t, 0e0)), 0) * 100 as top1 from (select arm, symbol, sum(ret) as t from al group by all) group by arm),
+fct3 as materialized (select e.arm, e.mean - c.mean as gap, (e.mean - c.mean) / nullif(sqrt(e.sd * e.sd / e.n + c.sd * c.sd / c.n), 0) as gap_t from ({EDGE_SQL}) e, ({EDGE_SQL}) c where c.arm = 's10_t20_h10'),
+fct4 as materialized (select *, list_position({ARM_NAMES!r}, arm) as place from fct0 join fct1 using (arm) join fct2 using (arm) join fct3 using (arm) join (select arm, maxdd from pths) using (arm)),
+fct as materialized (select f.*, c.micro as c_micro, c.small as c_small, c.worst as c_worst, c.names as c_names, c.top1 as c_top1, c.maxdd as c_maxdd, p.t, p.mean_diff, p.median_diff, p.loo_t,
+  (select bool_and(u) or bool_and(d) from (select coalesce(gap >= lag(gap) over (order by place), true) as u, coalesce(gap <= lag(gap) over (order by place), true) as d from fct4)) as one_way,
+  (select gap from fct4 where arm = 's10_t20_h20') as long_gap, (select corr(o.mean_held, b.dd) from occr o join (select arm, avg(dd) as dd from blk group by arm) b using (arm)) as expo
+  from fct4 f join fct4 c on c.arm = 's10_t20_h10' join (select *, case when se > 0 then mean_diff / se else 0e0 end as t from pdr) p on p.arm = f.arm),
+rls as materialized (
+  select 'seats' as rule, arm, [('resolved', abs(gap_t) > 2), ('one_way', one_way), ('both_bands', micro > c_micro and small > c_small), ('no_deeper_fall', maxdd <= c_maxdd + 3)] as c from fct
+  union all select 'pooled', arm, [('better', gap_t > 2), ('worst_block', worst >= c_worst), ('concentration', top1 <= c_top1), ('breadth', names >= c_names), ('block_falls', not (coalesce(t, 0) > 2))] from fct
+  union all select 'pattern', arm, [('resolved', abs(gap_t) >= 2.6e0), ('both_bands', micro > 0 and small > 0), ('worst_block', worst >= c_worst), ('not_looser', not coalesce(long_gap >= gap, false))] from fct
+  union all select 'falls', arm, [('resolved', abs(t) >= 2.81e0 and mean_diff < 0), ('not_one_episode', (median_diff < 0) = (mean_diff < 0) and abs(loo_t) > 1.5e0), ('not_exposure', abs(expo) < 0.7e0), ('no_return_cost', not coalesce(gap_t <= -2, false))] from fct
+  union all select 'exit', arm, [('resolved', abs(gap_t) >= 2.6e0), ('both_bands', micro > 0 and small > 0), ('worst_block', worst >= c_worst), ('not_longer', not coalesce(gap > 0 and long_gap >= 0.5e0 * gap, false))] from fct)"""
+
+
+@query(
+    "adoption_rules", "I26", "rule:s arm:s failed:s adopt:b",
+    o.sql("signals bars sess", "select rule, arm, array_to_string(list_transform(list_filter(c, lambda x: not coalesce(x[2], false)), lambda x: x[1]), ',') as failed, len(list_filter(c, lambda x: not coalesce(x[2], false))) = 0 as adopt from rls",
+          *ARM_CTES, CURVE, BLOCKS, PAIRED, PATH, OCC, FACTS),
+)
+def adoption_rules(spark, sf):
+    """Five pre-set bars over the arms of the sweep; the longest hold stands for the looser and the longer arm."""
+    control, longest = "s10_t20_h10", "s10_t20_h20"
+    t, s = arm_trades(spark, sf), sessions(spark, sf)
+    every = Window.partitionBy(F.lit(0))
+    curve = evidence.daily_curve(t, s, ARM_NAMES, 300_000.0, 450.0)
+    falls = evidence.path_summary(curve, 300_000.0).select("arm", "maxdd")
+    blocks = evidence.block_drawdowns(curve)
+    held = evidence.occupancy_report(evidence.occupancy(t, s, ARM_NAMES), 5)
+    expo = held.join(blocks.groupBy("arm").agg(F.avg("dd").alias("dd")), "arm").agg(stats.correlation("mean_held", "dd")).scalar()
+    facts = evidence.arm_facts(t, control, ARM_NAMES).join(falls, "arm")
+    facts = facts.withColumn("c_maxdd", F.max(F.when(F.col("arm") == control, F.col("maxdd"))).over(every)).withColumn("long_gap", F.max(F.when(F.col("arm") == longest, F.col("gap"))).over(every))
+    facts = facts.withColumn("expo", expo).join(evidence.paired_blocks(blocks, control).select("arm", "t", "mean_diff", "median_diff", "loo_t"), "arm")
+    rules = {
+        "seats": evidence.seats_rule(), "pooled": evidence.pooled_rule(), "pattern": evidence.pattern_rule(F.col("long_gap")), "falls": evidence.falls_rule(F.col("expo")), "exit": evidence.exit_rule(F.col("long_gap")),
+    }
+    out = [evidence.adoption(facts, conditions).select(F.lit(r).alias("rule"), "arm", "failed", "adopt") for r, conditions in rules.items()]
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
 @query(
     "keep_bar", "I27", "arm:s cagr:f maxdd:f n:i win:f ok_cagr:b ok_dd:b ok_n:b ok_win:b failed:s adopt:b",
     o.sql(
