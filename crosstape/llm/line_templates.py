@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .columns import keep, text_key
 
-DEPTH, MIN_TOKENS, MIN_DOCS, SIMILARITY = 3, 4, 10, 0.7
+DEPTH, MIN_TOKENS, MIN_DOCS, SIMILARITY = 3, 1, 10, 0.7
 NO_ID = -(2**63)
 #: Leaves (8 bytes each) up to which the recurring ones are broadcast; beyond it they are joined by a shuffle.
 SMALL = 500_000

@@ -190,7 +190,7 @@ def test_components(spark):
 # --- line templates --------------------------------------------------------------------
 
 
-def brute_lines(rows, depth=3, min_tokens=4, min_docs=10, similarity=0.7):
+def brute_lines(rows, depth=3, min_tokens=1, min_docs=10, similarity=0.7):
     """(doc key, text) -> numbers of the lines that go. Keys sort as documents do."""
     lines = []
     for key, text in rows:
