@@ -423,19 +423,34 @@ def newest(rows: DataFrame, key: str, at: str = "at") -> DataFrame:
 EXPECTED = dict(rate_mo=2.86, per_trade=2.15, se=1.08, occ=3.10)
 
 
+#: Sessions an order may wait for its fill, and the weekend allowed on top, in days.
+STALE_SESSIONS, WEEKEND = 3, 2
+
+
+def stale_pending(state: DataFrame, today: Column, sessions: int = STALE_SESSIONS) -> DataFrame:
+    """One row: pending orders and how many of them have waited too long."""
+    waits = F.datediff(today, F.col("queued_on")) > sessions + WEEKEND
+    pending = F.col("status") == "pending"
+    return state.agg(F.sum(F.when(pending, 1).otherwise(0)).alias("pending"), F.sum(F.when(pending & waits, 1).otherwise(0)).alias("stale"))
+
+
 def forward_checks(row: DataFrame, expected: dict[str, float] = EXPECTED) -> DataFrame:
     """Trading rate, holding time, occupancy and edge against frozen expectations.
 
     Each check is 'early' until its sample can decide anything. The input row has
-    closed, months, mean_hold, occ, mean and se, all measured from trades and sessions.
+    closed, months, mean_hold, occ, mean and se, all measured from trades and sessions; with entered
+    (positions entered, the rate's count) and stale (orders pending for too long) it also gives the fills check.
     """
     want = expected["rate_mo"] * F.col("months")
     half = 1.96 * F.sqrt(F.greatest(want, F.lit(1.0)))
     verdict = lambda early, ok: F.when(early, "early").when(ok, "pass").otherwise("fail")
     few = F.col("closed") < 10
     edge = F.abs(F.col("mean") - expected["per_trade"]) <= 1.96 * F.sqrt(F.col("se") * F.col("se") + expected["se"] * expected["se"])
+    entered = F.col("entered" if "entered" in row.columns else "closed")
+    fills = [("fills", F.col("stale").cast("double"), F.when(F.col("stale") > 0, "fail").otherwise("pass"))] if "stale" in row.columns else []
     checks = [
-        ("rate", F.col("closed").cast("double"), verdict(F.col("months") < 6, F.col("closed").between(want - half, want + half))),
+        *fills,
+        ("rate", entered.cast("double"), verdict(F.col("months") < 6, entered.between(want - half, want + half))),
         ("hold", F.col("mean_hold"), verdict(few, F.col("mean_hold").between(4, 10))),
         ("occupancy", F.col("occ"), verdict(few, F.abs(F.col("occ") - expected["occ"]) <= 1)),
         ("edge", F.col("mean"), verdict(F.col("closed") < 195, edge)),

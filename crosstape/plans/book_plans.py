@@ -267,3 +267,28 @@ def provisional_fills(spark, sf):
     fills = book.view(state(spark, sf), "open")
     drift = F.when((F.length("id") + F.col("qty")) % 3 == 0, F.col("entry_px") * 1.01).otherwise(F.col("entry_px"))
     return fills.withColumn("entry_px", drift).withColumn("fill_source", F.lit("live:feed"))
+
+
+FORWARD = """wnd as materialized (select *, (select max(queued_on) from stt) as today from stt where bucket = 'main'),
+fw as materialized (select count(*) filter (where status in ('open', 'closed')) as entered, count(*) filter (where status = 'closed') as closed, count(*) filter (where status = 'pending' and date_diff('day', queued_on, today) > 5) as stale,
+  date_diff('day', min(queued_on), max(today)) / 30.4375e0 as months from wnd)"""
+
+
+@query(
+    "forward_fills", "I30", "check_name:s value:f state:s",
+    o.sql("trades", """select 'fills' as check_name, stale as value, case when stale > 0 then 'fail' else 'pass' end as state from fw
+       union all select 'rate', entered, case when months < 6 then 'early' when entered between 2.86e0 * months - 1.96e0 * sqrt(greatest(2.86e0 * months, 1e0)) and 2.86e0 * months + 1.96e0 * sqrt(greatest(2.86e0 * months, 1e0)) then 'pass' else 'fail' end from fw""",
+          EVENTS, FORWARD),
+)
+def forward_fills(spark, sf):
+    """Orders of the main book that wait too long for a fill, and the rate of entered positions, on the book's last day."""
+    from ..operators import evidence
+
+    rows = state(spark, sf).filter("bucket = 'main'")
+    today = state(spark, sf).agg(F.max("queued_on")).scalar()
+    n = lambda *s: F.sum(F.when(F.col("status").isin(*s), 1).otherwise(0))
+    facts = rows.agg(n("open", "closed").alias("entered"), n("closed").alias("closed"), (F.datediff(today, F.min("queued_on")) / 30.4375).alias("months"))
+    facts = facts.withColumn("stale", evidence.stale_pending(rows, today).select("stale").scalar())
+    for c in ("mean_hold", "occ", "mean", "se"):
+        facts = facts.withColumn(c, F.lit(None).cast("double"))
+    return evidence.forward_checks(facts).filter(F.col("check_name").isin("fills", "rate"))

@@ -187,12 +187,12 @@ pr3 as materialized (select *, list_dot_product(ca, ca) as va, list_dot_product(
 pairs as materialized (select day, slot_a, slot_b, sym_a, sym_b, case when n >= 20 and va > 1e-18 and vb > 1e-18 then cv / (sqrt(va) * sqrt(vb)) else 0e0 end as corr from pr3)"""
 
 
-def refresh_candidates(spark, sf):
-    """Candidates of every fifth session in list order, each with its last 60 returns."""
+def refresh_candidates(spark, sf, every=selection.REFRESH):
+    """Candidates of every ``every``-th session in list order, each with its last 60 returns."""
     b = bars(spark, sf).withColumn("ret1", bar_return(1)).withColumn("tail60", selection.tail_returns(bars(spark, sf)))
     c = candidates(spark, sf)
     w = Window.partitionBy("day").orderBy(selection.tenths("score").desc(), "band_ix", "rank")
-    s = sessions(spark, sf).filter(F.col("session_ix") % selection.REFRESH == 0).select("day")
+    s = sessions(spark, sf).filter(F.col("session_ix") % every == 0).select("day")
     return c.join(s, "day", "left_semi").withColumn("slot", F.row_number().over(w)).join(b.select("symbol", "day", "tail60"), ["symbol", "day"])
 
 
@@ -204,25 +204,27 @@ def pair_correlations(spark, sf):
     return selection.pair_correlations(refresh_candidates(spark, sf))
 
 
-@query(
-    "decorrelated", "D16", "day:d slot:i symbol:s",
-    o.sql(
-        "cands sess feat",
-        "select k.day, k.slot, rc.symbol from kept k join rc using (day, slot)",
-        REFRESH_CANDS,
-        # Rows are decided in list order; a row stays unless it clashes with a row already kept.
-        """days as materialized (select day, max(slot) as n from rc group by day),
+# Rows are decided in list order; a row stays unless it clashes with a row already kept.
+DECORRELATED = """days as materialized (select day, max(slot) as n from rc group by day),
            walk as (select day, n, 1 as slot, [1] as keep from days
              union all select w.day, w.n, w.slot + 1,
                case when exists (select 1 from pairs p where p.day = w.day and p.slot_b = w.slot + 1 and list_contains(w.keep, cast(p.slot_a as int)) and abs(p.corr) > 0.2e0)
                  then w.keep else list_append(w.keep, w.slot + 1) end from walk w where w.slot < w.n),
-           kept as (select day, unnest(keep) as slot from walk where slot = n)""",
-    ),
-)
+           kept as (select day, unnest(keep) as slot from walk where slot = n)"""
+KEPT = "select k.day, k.slot, rc.symbol from kept k join rc using (day, slot)"
+
+
+@query("decorrelated", "D16", "day:d slot:i symbol:s", o.sql("cands sess feat", KEPT, REFRESH_CANDS, DECORRELATED))
 def decorrelated(spark, sf):
     return selection.decorrelated(refresh_candidates(spark, sf), 0.2)
 
 
+@query("decorrelated_other_sessions", "D16 G12", "day:d slot:i symbol:s", o.sql("cands sess feat", KEPT, REFRESH_CANDS.replace("s.session_ix % 5 = 0", "s.session_ix % 3 = 0"), DECORRELATED))
+def decorrelated_other_sessions(spark, sf):
+    """The same with another refresh interval."""
+    return selection.decorrelated(refresh_candidates(spark, sf, 3), 0.2)
+
+
 @query(
     "position_sizes", "D17", "symbol:s day:d qty:i qty_small_book:i qty_twelve:i risk_rupees:f",
     o.sql(
