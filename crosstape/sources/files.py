@@ -214,47 +214,31 @@ def filing_index(raw: DataFrame) -> DataFrame:
     return rows.filter(F.col("visible_from").isNotNull() & F.col("quarter_end").isNotNull())
 
 
-FACTS = "path string, start_date string, end_date string, field string, pos int, value double"
-
-
-def _facts_of(content: bytes):
-    """Period facts of one filing: contexts with a segment or without a period are skipped."""
-    import xml.etree.ElementTree as ET
-
-    try:
-        root = ET.fromstring(content)
-    except ET.ParseError:
-        return
-    name = lambda el: el.tag.rsplit("}", 1)[-1]
-    spans = {}
-    for ctx in (e for e in root.iter() if name(e) == "context"):
-        parts = {name(e): (e.text or "").strip() for e in ctx.iter()}
-        if "explicitMember" not in parts and {"startDate", "endDate"} <= parts.keys():
-            spans[ctx.get("id")] = (parts["startDate"], parts["endDate"])
-    for pos, el in enumerate(root.iter()):
-        field, span = XBRL_FIELDS.get(name(el)), spans.get(el.get("contextRef"))
-        if field and span:
-            try:
-                yield (*span, field, pos, float(el.text or ""))
-            except ValueError:
-                continue
+_MEMBERS = "struct<explicitMember array<string>>"
+#: What is read of a filing: contexts, and the facts by tag. An attribute has an underscore, a text is _VALUE.
+XBRL_SCHEMA = (
+    f"context array<struct<_id string, entity struct<segment {_MEMBERS}>, scenario {_MEMBERS}, period struct<startDate string, endDate string>>>, "
+    + ", ".join(f"{tag} array<struct<_VALUE string, _contextRef string>>" for tag in XBRL_FIELDS)
+)
 
 
 def xbrl_facts(files: DataFrame) -> DataFrame:
-    """(path, start, end, field, pos, value) of every period fact, from (path, content) rows.
+    """(path, start_date, end_date, field, pos, value) of every period fact, from (path, content) rows.
 
-    One filing is some tens of kilobytes; parsing is row-local and Spark spreads the files.
+    Contexts with a segment member or without a period are skipped, as are values that are no numbers and files that are
+    no XML. pos counts the facts of one tag in a file. One filing is some tens of kilobytes; it is parsed where it stands.
     """
-
-    def parse(batches):
-        import pandas as pd
-
-        cols = [c.split()[0] for c in FACTS.split(", ")]
-        for b in batches:
-            rows = [(p, *f) for p, c in zip(b["path"], b["content"]) for f in _facts_of(bytes(c))]
-            yield pd.DataFrame(rows, columns=cols)
-
-    return files.select("path", "content").mapInPandas(parse, FACTS)
+    filing = F.from_xml(F.decode("content", "UTF-8"), XBRL_SCHEMA, {"ignoreNamespace": "true"})
+    def cells(tag: str, field: str) -> Column:
+        return F.transform(F.coalesce(F.col(f"_x.{tag}"), F.array()), lambda v, i: F.struct(F.lit(field).alias("field"), i.alias("pos"), v["_VALUE"].alias("text"), v["_contextRef"].alias("ref")))
+
+    member = lambda c: F.coalesce(c["entity"]["segment"]["explicitMember"], c["scenario"]["explicitMember"])
+    plain = F.filter("_x.context", lambda c: member(c).isNull() & c["period"]["startDate"].isNotNull() & c["period"]["endDate"].isNotNull())
+    rows = files.select("path", filing.alias("_x")).select("path", plain.alias("_c"), F.explode(F.concat(*[cells(t, f) for t, f in XBRL_FIELDS.items()])).alias("_f"))
+    of = F.get(F.reverse(F.filter("_c", lambda c: c["_id"] == F.col("_f.ref"))), F.lit(0))["period"]
+    value = F.expr("try_cast(trim(_f.text) as double)")
+    found = rows.select("path", F.trim(of["startDate"]).alias("start_date"), F.trim(of["endDate"]).alias("end_date"), "_f.field", "_f.pos", value.alias("value"))
+    return found.filter(F.col("start_date").isNotNull() & F.col("value").isNotNull())
 
 
 def quarter_figures(facts: DataFrame, index: DataFrame) -> DataFrame:
