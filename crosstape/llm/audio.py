@@ -144,7 +144,8 @@ def from_arrow(raw: bytes) -> tuple[np.ndarray, pa.RecordBatch]:
 
 def audio_columns(docs: DataFrame, with_media: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, frames,
-    segments, feature and, with_media, media, tensors (an Arrow stream) and spans (start_s, end_s)."""
+    segments, feature and, with_media, media, tensors (an Arrow stream) and spans (start_s, end_s). Media, tensors and spans
+    are always made and read back; with_media only says whether they are handed on."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames int, segments int, feature string"
     schema += ", media binary, tensors binary, spans array<struct<start_s:double,end_s:double>>" * with_media
 
@@ -155,10 +156,15 @@ def audio_columns(docs: DataFrame, with_media: bool = True, id_col: str = "doc_i
         x = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
         mel = log_mel(resample(x))
         parts = segments(mel)
-        blocks = tensors(mel)
-        feature = f"f{len(mel)} t{len(blocks)} s{len(parts)} e{float(mel.mean()):.2f} c{zlib.crc32(np.round(blocks * 16).astype('<i2').tobytes()):08x}"
+        spans = [{"start_s": seconds(a), "end_s": seconds(b)} for a, b in parts]
+        stored = to_arrow(tensors(mel), len(mel))
+        # The feature is that of the tensors read back.
+        blocks, batch = from_arrow(stored)
+        frames = int(np.sum(batch.column("frames").to_numpy()))
+        mean = float(blocks.reshape(-1, MELS)[:frames].mean())
+        feature = f"f{frames} t{len(blocks)} s{len(spans)} e{mean:.2f} c{zlib.crc32(np.round(blocks * 16).astype('<i2').tobytes()):08x}"
         row = [len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), len(mel), len(parts), feature]
-        return row + [media, to_arrow(blocks, len(mel)), [{"start_s": seconds(a), "end_s": seconds(b)} for a, b in parts]] * with_media
+        return row + [media, stored, spans] * with_media
 
     def run(stream):
         types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()]

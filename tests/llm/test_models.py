@@ -193,7 +193,37 @@ def test_audio(table, nothing):
         assert sum(batch.column("frames").to_pylist()) == r.frames and len(r.spans) == r.segments
         assert all(a.end_s <= b.start_s for a, b in zip(r.spans, r.spans[1:], strict=False))
         assert by_text.setdefault(r.media_sha256, r.feature) == r.feature
+        digest = zlib.crc32(np.round(mel * 16).astype("<i2").tobytes())
+        assert r.feature == f"f{r.frames} t{len(mel)} s{len(r.spans)} e{float(mel.reshape(-1, audio.MELS)[: r.frames].mean()):.2f} c{digest:08x}"
     assert audio.audio_columns(nothing).count() == 0
+    thin = audio.audio_columns(table, with_media=False)
+    assert "tensors" not in thin.columns and Counter(r.feature for r in thin.collect()) == Counter(r.feature for r in rows)
+
+
+def test_log_mel_and_segments_by_hand():
+    rng = np.random.default_rng(2)
+    x = (rng.normal(size=9000) * np.repeat(rng.uniform(0.01, 1, 30), 300)).astype(np.float32)
+    mel = audio.log_mel(x)
+    assert len(mel) == -(-(len(x) - audio.FRAME) // audio.HOP) + 1
+    k, n = np.arange(audio.FRAME // 2 + 1)[:, None], np.arange(audio.FRAME)[None]
+    wave = np.exp(-2j * np.pi * k * n / audio.FRAME)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(audio.FRAME) / audio.FRAME)
+    for f in range(0, len(mel), 7):
+        piece = np.zeros(audio.FRAME)
+        cut = x[f * audio.HOP : f * audio.HOP + audio.FRAME]
+        piece[: len(cut)] = cut
+        power = np.abs(wave @ (piece * window)) ** 2
+        assert np.allclose(mel[f], np.maximum(audio.FLOOR, np.log(power @ audio.mel_bank() + 1e-12)), atol=2e-3)
+    energy = [float(np.mean(m)) for m in mel]
+    mean, spread = float(np.mean(energy)), float(np.std(energy))
+    on, start, want = False, 0, []
+    for i, e in enumerate([*energy, -1e9]):
+        if not on and e >= mean + 0.25 * spread:
+            on, start = True, i
+        elif on and e < mean - 0.25 * spread:
+            on = False
+            want.append([start, i])
+    assert audio.segments(mel).tolist() == want and len(want) > 1
 
 
 def test_resampling_in_blocks_is_direct_convolution(monkeypatch):
