@@ -11,8 +11,9 @@ nothing keeps its text as it is; null stays null. Rows with the same doc_id and
 document; a null doc_id comes first. Extra columns are kept by drop_recurring and ignored by
 the rest. An empty table gives no rows.
 
-Only leaves with min_docs lines or more are looked at after the first count. Joins on a leaf, line
-or template are plain shuffle joins, so Spark splits a hot one; counts are partial aggregates.
+Only leaves with min_docs lines or more are looked at after the first count. Recurring leaves and
+templates are broadcast up to SMALL of them, so a common one deals no rows to a task of its own; beyond
+that, and on lines, these are plain shuffle joins, whose hot keys Spark splits. Counts are partial aggregates.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from .columns import keep, text_key
 
 DEPTH, MIN_TOKENS, MIN_DOCS, SIMILARITY = 3, 1, 10, 0.7
 NO_ID = -(2**63)
-#: Leaves (8 bytes each) up to which the recurring ones are broadcast; beyond it they are joined by a shuffle.
+#: Leaves (8 bytes each) or templates (32 bytes each) up to which the recurring ones are broadcast; beyond it they are joined by a shuffle.
 SMALL = 500_000
 
 
@@ -64,7 +65,8 @@ def recurring(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS,
     held = keep(held, "held-lines")
     docs_of = held.select("template", "_id", "_key").distinct()
     often = docs_of.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("_id", "_key")).alias("first")).filter(F.col("docs") >= min_docs)
-    lost = held.join(often, "template").filter((F.col("_id") != F.col("first._id")) | (F.col("_key") != F.col("first._key")))
+    often = keep(often, "often")
+    lost = held.join(F.broadcast(often) if often.count() <= SMALL else often, "template").filter((F.col("_id") != F.col("first._id")) | (F.col("_key") != F.col("first._key")))
     return lost.select("_id", "_key", "no", "leaf", "line", "template", "docs"), seeds
 
 

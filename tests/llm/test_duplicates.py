@@ -241,6 +241,17 @@ def test_lines(spark):
     assert found["request from host <*> took <*> ms in total"] == 61 and found["All rights are reserved by nobody."] == 40
 
 
+def test_lines_beyond_the_broadcast_bound(spark, table, monkeypatch):
+    rows = [(i, f"request {i} took {i} ms in total\nown words of document{chr(97 + i % 7)} {chr(97 + i % 5)}") for i in range(40)]
+    for df in (toy(spark, rows), table):
+        report = lambda d=df: Counter(map(tuple, line_templates.line_report(d, min_docs=2).collect()))
+        small = report()
+        with monkeypatch.context() as m:
+            m.setattr(line_templates, "SMALL", -1)
+            assert report() == small
+        assert sum(n for _, _, n, _ in small.elements()) > 0
+
+
 def test_lines_on_the_odd_table(table, nothing):
     got = line_templates.drop_recurring(table, min_docs=2).collect()
     assert len(got) == len(ROWS) and set(got[0].asDict()) == {*table.columns, "_dropped"}
