@@ -45,7 +45,7 @@ def op8_byte_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_digest_cache_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), scratch(spark, "token-counts"), limit=512)
+    return token_counts.count_in_batches(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), scratch(spark, "token-counts"), limit=512)
 
 
 def op10_ngram_orders_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,17 +62,44 @@ def encode_counts(distinct: DataFrame, tokenizer_path: str) -> DataFrame:
     return distinct.mapInArrow(run, "content_digest binary, n_tokens long")
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
+def _version(cache_path: str, version: str, spark) -> DataFrame:
+    return stored(spark, cache_path).filter(F.col("version_digest") == version)
 
-    Two appends at once may store a key twice, so the read takes one count per key."""
-    spark = docs.sparkSession
+
+def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return documents(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _digest(F.col("text")).alias("content_digest"))
+
+
+def append_misses(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Encode each distinct content that the cache doesn't hold, once, and append its count."""
     version = version_digest(tokenizer_path)
-    d = documents(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _digest(F.col("text")).alias("content_digest"))
-    before = stored(spark, cache_path).filter(F.col("version_digest") == version).select("content_digest")
-    misses = d.select("content_digest", "text").join(before, "content_digest", "left_anti").groupBy("content_digest").agg(F.first("text").alias("text"))
+    before = _version(cache_path, version, docs.sparkSession).select("content_digest")
+    misses = _read(docs, id_col, text_col).select("content_digest", "text").join(before, "content_digest", "left_anti").groupBy("content_digest").agg(F.first("text").alias("text"))
     fresh = encode_counts(misses, tokenizer_path).withColumn("version_digest", F.lit(version))
     fresh.select("content_digest", "version_digest", "n_tokens").write.mode("append").parquet(cache_path)
-    known = stored(spark, cache_path).filter(F.col("version_digest") == version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
-    rows = d.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content_digest")
+
+
+def look_up(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The stored counts of documents whose contents the cache holds.
+
+    Two appends at once may store a key twice, so the read takes one count per key."""
+    known = _version(cache_path, version_digest(tokenizer_path), docs.sparkSession).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
+    rows = _read(docs, id_col, text_col).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content_digest")
     return rows.join(known, "content_digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+
+
+def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit)."""
+    append_misses(docs, tokenizer_path, cache_path, id_col, text_col)
+    return look_up(docs, tokenizer_path, cache_path, limit, id_col, text_col)
+
+
+def count_in_batches(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """count_tokens of a table that comes in two batches, the upper half of its ids first: the second batch meets what
+    the first has stored, and only contents that it alone holds are encoded then. Rows without an id come second."""
+    key = docs[id_col].cast("long")
+    low, high = docs.agg(F.min(key), F.max(key)).first()
+    upper = F.coalesce(key > F.lit(0 if low is None else (low + high) // 2), F.lit(False))
+    for batch in (docs.filter(upper), docs.filter(~upper)):
+        append_misses(batch, tokenizer_path, cache_path, id_col, text_col)
+    return look_up(docs, tokenizer_path, cache_path, limit, id_col, text_col)

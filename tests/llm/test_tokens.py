@@ -73,6 +73,20 @@ def test_counts_and_cache(spark, table, ids):
     assert len(stored) == len({bytes(r.content_digest) for r in stored}) == len({t or "" for _, t in ROWS}) > len(before)
 
 
+def test_second_batch_meets_the_first(spark, table, ids, monkeypatch):
+    encoded = []
+    plain = token_counts.encode_counts
+    monkeypatch.setattr(token_counts, "encode_counts", lambda d, path: encoded.append(d.count()) or plain(d, path))
+    want = Counter((i, len((t or "").encode()), len(x), len(x) > 512) for (i, t), (_, x) in zip(ROWS, ids, strict=True))
+    rows = token_counts.count_in_batches(table, JSON, scratch(spark, "counts")).collect()
+    assert Counter(map(tuple, rows)) == want
+    known = [i for i, _ in ROWS if i is not None]
+    middle = (min(known) + max(known)) // 2
+    first = {t or "" for i, t in ROWS if i is not None and i > middle}
+    second = {t or "" for i, t in ROWS if i is None or i <= middle}
+    assert encoded == [len(first), len(second - first)]
+
+
 def test_byte_pieces(table):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -93,3 +107,4 @@ def test_empty_tables(spark, nothing):
     assert packing.pack(nothing, JSON).count() == 0
     assert byte_pieces.encode_decode(nothing, RANKS, P.PATTERN).count() == 0
     assert token_counts.count_tokens(nothing, JSON, scratch(spark, "counts")).count() == 0
+    assert token_counts.count_in_batches(nothing, JSON, scratch(spark, "counts")).count() == 0
