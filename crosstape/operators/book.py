@@ -123,10 +123,12 @@ def shortfall(cands: DataFrame, take: dict[str, int]) -> DataFrame:
     return per.select("day", F.explode(F.array(*cells)).alias("_c")).select("day", "_c.*").filter(F.col("have") < F.col("need"))
 
 
-def assertions(checks: dict[str, DataFrame]) -> DataFrame:
-    """(name, ok, violations) from one query of offending rows per rule."""
+def assertions(counts: list[DataFrame]) -> DataFrame:
+    """(rule, ok, violations) from frames of one row whose columns are named like rules and count their violations:
+    rules over the same rows share one frame, and so one scan."""
     out = None
-    for name, bad in checks.items():
-        row = bad.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("rule"), (F.col("violations") == 0).alias("ok"), "violations")
-        out = row if out is None else out.unionByName(row)
+    for frame in counts:
+        pairs = F.array(*[F.struct(F.lit(c).alias("rule"), F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("long").alias("violations")) for c in frame.columns])
+        rows = frame.select(F.inline(pairs)).select("rule", (F.col("violations") == 0).alias("ok"), "violations")
+        out = rows if out is None else out.unionByName(rows)
     return out

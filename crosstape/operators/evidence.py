@@ -193,13 +193,30 @@ def median_spread(long: DataFrame, least: int = 100, side: int = 50) -> DataFram
     return out.withColumn("spread", F.when(ok, F.col("_h") - F.col("_l"))).drop("_h", "_l")
 
 
-def signed_split(long: DataFrame) -> DataFrame:
-    """High/low groups per feature where it varies: sign for tone, set/unset for flag, median otherwise."""
+def _signed(long: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """The rows with their feature's median, and what is high and low: sign for tone, set/unset for flag, median otherwise."""
     med = exact_median(long, "x", ["feature"], "med")
     f, x = F.col("feature"), F.col("x")
     hi = F.when(f.isin("ann_tone", "ann_flag"), x > 0).otherwise(x > F.col("med"))
     lo = F.when(f == "ann_tone", x < 0).when(f == "ann_flag", x == 0).otherwise(x <= F.col("med"))
-    return long.join(F.broadcast(med), "feature").groupBy("feature").agg(*stats.spread_columns(F.col("ret"), hi, lo))
+    # One row per feature: bounded by the feature list.
+    return long.join(F.broadcast(med), "feature"), hi, lo
+
+
+def signed_split(long: DataFrame) -> DataFrame:
+    """High/low groups per feature where it varies: sign for tone, set/unset for flag, median otherwise."""
+    rows, hi, lo = _signed(long)
+    return rows.groupBy("feature").agg(*stats.spread_columns(F.col("ret"), hi, lo))
+
+
+def tone_facts(long: DataFrame, category: str, echo: str, bands: tuple[str, ...] = ("micro", "small")) -> DataFrame:
+    """What tone_rule asks of each score: the split's spread and t, the spread of the category alone, the score's
+    correlation with the column ``echo``, and the spread within each band."""
+    rows, hi, lo = _signed(long)
+    within = [stats.spread_columns(F.col("ret"), hi & (F.col("band") == b), lo & (F.col("band") == b))[2].alias(b) for b in bands]
+    facts = rows.groupBy("feature").agg(*stats.spread_columns(F.col("ret"), hi, lo), stats.correlation("x", echo).alias("echo"), *within)
+    alone = F.max(F.when(F.col("feature") == category, F.col("spread"))).over(Window.partitionBy(F.lit(0)))
+    return facts.withColumn("category_spread", alone).filter(F.col("feature") != category)
 
 
 # --- equity curves and blocks ---------------------------------------------

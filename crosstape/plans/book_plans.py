@@ -210,27 +210,28 @@ def gate_table(spark, sf):
 def quality_assertions(spark, sf):
     from .common import bands, picks
 
-    b, banded = bars(spark, sf), bands(spark, sf).select("symbol", "day", "band", "size_med")
-    # Five rules read the picks (at most forty a day): computed once, kept reliably.
+    on = lambda cond: F.count_if(cond)
+    banded = bands(spark, sf).select("symbol", "day", "band", "size_med")
+    # Three rules read what is taken of the picks (at most forty a day): computed once, kept reliably.
     top_picks = durable(picks(spark, sf))
     c = selection.candidates(top_picks)
-    taken = selection.allocate(c)
+    taken = selection.allocate(c).groupBy("day", "band").agg(F.count(F.lit(1)).alias("n"), on(~F.col("triggered")).alias("idle"), on(F.col("locked")).alias("locked"))
     eligible = corpus(spark, sf).filter((F.col("ix") >= 200) & (F.col("size_n") > 100))
-    top = eligible.groupBy("day").agg(F.max("size_med").alias("m"))
+    # One row per session: bounded by the calendar.
+    top = F.broadcast(eligible.groupBy("day").agg(F.max("size_med").alias("m")))
+    named = banded.join(top, "day", "left").groupBy("symbol", "day").agg((F.min("band") != F.max("band")).alias("twice"), on(F.col("size_med") > F.col("m")).alias("above"))
+    # Bars are bucketed by symbol, so one row per symbol needs no shuffle.
+    b = bars(spark, sf).groupBy("symbol").agg(on(F.col("ix") >= 199).alias("late_bars"), on(F.col("day") > as_date("2026-01-01")).alias("future"))
+    known = corpus(spark, sf).select("symbol").union(denylist(spark, sf).select("symbol")).distinct().withColumn("known", F.lit(True))
     quota = F.when(F.col("band") == "micro", 3).otherwise(2)
-    kept = corpus(spark, sf).select("symbol").distinct()
-    return book.assertions({
-        "bands are disjoint": banded.groupBy("symbol", "day").agg(F.countDistinct("band").alias("n")).filter("n > 1"),
-        "most liquid names are excluded": banded.join(top, "day").filter(F.col("size_med") > F.col("m")),
-        "no pick below its 200-bar mean": top_picks.filter(~(F.col("close") > F.col("sma200"))),
-        "no restricted candidate": c.filter("asm is not null and surveillance_known"),
-        "quota respected": taken.groupBy("day", "band").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > quota),
-        "every taken name has triggered": taken.filter(~F.col("triggered")),
-        "delisted symbols are lost": b.filter("ix >= 199").join(kept, "symbol", "left_anti").join(denylist(spark, sf), "symbol", "left_anti"),
-        "bar dated in the future": b.filter(F.col("day") > as_date("2026-01-01")),
-        "shadow level not below entry": trades(spark, sf).filter(~(F.col("entry_px") * 0.95 < F.col("entry_px"))),
-        "locked bar bought": taken.filter("locked"),
-    })
+    return book.assertions([
+        named.agg(on(F.col("twice")).alias("bands are disjoint"), F.sum("above").alias("most liquid names are excluded")),
+        top_picks.agg(on(~(F.col("close") > F.col("sma200"))).alias("no pick below its 200-bar mean")),
+        c.agg(on(F.expr("asm is not null and surveillance_known")).alias("no restricted candidate")),
+        taken.agg(on(F.col("n") > quota).alias("quota respected"), F.sum("idle").alias("every taken name has triggered"), F.sum("locked").alias("locked bar bought")),
+        b.join(known, "symbol", "left").agg(F.sum(F.when(F.col("known").isNull(), F.col("late_bars")).otherwise(0)).alias("delisted symbols are lost"), F.sum("future").alias("bar dated in the future")),
+        trades(spark, sf).agg(on(~(F.col("entry_px") * 0.95 < F.col("entry_px"))).alias("shadow level not below entry")),
+    ])
 
 
 @query("closed_summary", "M7", "band:s n:i won:i hit_rate:f net:f",

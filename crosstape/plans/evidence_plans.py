@@ -308,6 +308,27 @@ def risk_by_tone(spark, sf):
     return t.agg(*stats.spread_columns(F.col("held_vol"), g, ~g), *prop[:4], prop[4].alias("t_stop"))
 
 
+SPREAD_SQL = lambda b="true": f"case when count(ret) filter (where hi and {b}) >= 2 and count(ret) filter (where lo and {b}) >= 2 then avg(ret) filter (where hi and {b}) - avg(ret) filter (where lo and {b}) end"
+
+TONE_FACTS = f"""tnl as materialized (select *, case when feature = 'ann_tone' then x > 0 else x > med end as hi, case when feature = 'ann_tone' then x < 0 else x <= med end as lo from (
+  select *, median(x) over (partition by feature) as med from (select ret, band, rs_raw, 'ann_burst' as feature, ann_burst as x from annt union all select ret, band, rs_raw, 'ann_tone', ann_tone from annt))),
+tnf as materialized (select feature, {SPREAD_SQL()} as spread, sqrt(var_samp(ret) filter (where hi) / nullif(count(ret) filter (where hi), 0) + var_samp(ret) filter (where lo) / nullif(count(ret) filter (where lo), 0)) as se,
+  corr(x, rs_raw) as echo, {SPREAD_SQL("band = 'micro'")} as micro, {SPREAD_SQL("band = 'small'")} as small, (select {SPREAD_SQL()} from (select ret, ann_flag > 0 as hi, ann_flag = 0 as lo from annt)) as category_spread from tnl group by feature),
+tnr as materialized (select *, spread / nullif(se, 0) as t, [('resolved', abs(spread / nullif(se, 0)) >= 2.64e0), ('beats_category', spread > category_spread), ('not_momentum', abs(echo) < 0.3e0), ('one_sign', (micro > 0) = (small > 0))] as c from tnf)"""
+
+
+@query(
+    "tone_adoption", "I26", "feature:s spread:f t:f category_spread:f echo:f micro:f small:f failed:s adopt:b",
+    o.sql("bands sess annv", """select feature, spread, t, category_spread, echo, micro, small, array_to_string(list_transform(list_filter(c, lambda x: not coalesce(x[2], false)), lambda x: x[1]), ',') as failed,
+       len(list_filter(c, lambda x: not coalesce(x[2], false))) = 0 as adopt from tnr""", *ANN_TRADES, TONE_FACTS),
+)
+def tone_adoption(spark, sf):
+    """The pre-set bar of a text score over random trades: burst and tone of announcements against the error category alone."""
+    t = announced_trades(spark, sf).select("symbol", "day", "band", "ret", "rs_raw", "ann_burst", "ann_tone", "ann_flag")
+    facts = evidence.tone_facts(evidence.unpivot_features(t, ("ann_burst", "ann_tone", "ann_flag")), "ann_flag", "rs_raw")
+    return evidence.adoption(facts, evidence.tone_rule()).drop("n_hi", "n_lo", "se")
+
+
 @query("echo_correlation", "I16", "r:f", o.sql("trades", "select corr(rs_raw, near_high) as r from trades"))
 def echo_correlation(spark, sf):
     return trades(spark, sf).agg(stats.correlation("rs_raw", "near_high").alias("r"))

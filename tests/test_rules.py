@@ -1,10 +1,12 @@
 """The rule grid's parts and the adoption bars."""
 
+import statistics
 from datetime import date, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
-from crosstape.operators import evidence, outcomes
+from crosstape.operators import book, evidence, outcomes
 from crosstape.sources import files
 
 from toys import bars, series
@@ -90,3 +92,33 @@ def test_filing_contexts_and_odd_values(spark):
     <f:Expenses contextRef="B">1</f:Expenses><f:Expenses contextRef="A">n/a</f:Expenses><f:Expenses contextRef="A"> 2.5 </f:Expenses><f:Expenses contextRef="none">3</f:Expenses><f:Other contextRef="A">9</f:Other></x:xbrl>"""
     df = spark.createDataFrame([("p", bytearray(doc.encode())), ("empty", bytearray(b"")), ("null", None)], "path string, content binary")
     assert [tuple(r) for r in files.xbrl_facts(df).collect()] == [("p", "2024-01-01", "2024-03-31", "expenses", 2, 2.5)]
+
+
+def test_assertions_count_by_frame(spark):
+    rows = spark.createDataFrame([(1, True), (2, None), (3, False)], "n int, flag boolean")
+    nothing = rows.filter("n > 5")
+    got = book.assertions([
+        rows.agg(F.count_if(F.col("n") > 1).alias("n is one"), F.count_if(F.col("flag")).alias("not flagged")),
+        nothing.agg(F.sum("n").alias("of no rows")), rows.agg(F.count_if(F.col("n") > 9).alias("n.small")),
+    ])
+    assert {r.rule: (r.ok, r.violations) for r in got.collect()} == {"n is one": (False, 2), "not flagged": (False, 1), "of no rows": (True, 0), "n.small": (True, 0)}
+
+
+def test_tone_facts_against_plain_sums(spark):
+    rows = [(f, DAY, f"S{i}", ("micro", "small")[i % 2], float((i * 5) % 7 - 2), float((i * 3) % 11), x) for i in range(24) for f, x in (("ann_burst", float((i * 7) % 13)), ("ann_tone", float(i % 3 - 1)), ("ann_flag", float(i % 4 == 0)))]
+    long = spark.createDataFrame(rows, "feature string, day date, symbol string, band string, ret double, rs_raw double, x double")
+    got = {r.feature: r for r in evidence.tone_facts(long, "ann_flag", "rs_raw").collect()}
+    assert set(got) == {"ann_burst", "ann_tone"}
+    mean = lambda v: sum(v) / len(v)
+
+    def spread(f, band=None):
+        own = [r for r in rows if r[0] == f]
+        med = statistics.median(r[6] for r in own)
+        hi = {"ann_tone": lambda x: x > 0, "ann_flag": lambda x: x > 0}.get(f, lambda x: x > med)
+        lo = {"ann_tone": lambda x: x < 0, "ann_flag": lambda x: x == 0}.get(f, lambda x: x <= med)
+        side = lambda ok: mean([r[4] for r in own if ok(r[6]) and band in (None, r[3])])
+        return side(hi) - side(lo)
+
+    for f, r in got.items():
+        want = [spread(f), spread(f, "micro"), spread(f, "small"), spread("ann_flag"), statistics.correlation(*zip(*[(q[6], q[5]) for q in rows if q[0] == f], strict=True))]
+        assert [r.spread, r.micro, r.small, r.category_spread, r.echo] == pytest.approx(want)
