@@ -169,11 +169,13 @@ st as materialized (select *, case when bl <= sp then 'stop' when bh >= tp then
 
 @query("structural_exits", "G8", LABEL_COLS, o.sql("signals ema20 atr14", "select *, (exit_px / entry_px - 1) * 100 as ret from st", STRUCT))
 def structural_exits(spark, sf):
-    shaped = outcomes.with_structure(ind.with_atr(ind.with_ema(bars(spark, sf), "close", 20, "ema20"), 14, "atr"))
-    paths = outcomes.with_path(shaped, 31, ("shape_ok", "atr")).select("symbol", "day", "path")
-    rows = universe.corpus(features(spark, sf), denylist(spark, sf))
-    rows = ranking.size_bands(rows).filter(F.col("trig") & ~F.col("locked"))
-    return outcomes.structural_exit(rows.join(paths, ["symbol", "day"]))
+    # Paths stay in the symbol's partition: every bar ranks, but only labels of signals and their bands meet in the join.
+    hit = F.col("trig") & ~F.col("locked")
+    rows = corpus(spark, sf)
+    shaped = outcomes.with_structure(ind.with_atr(ind.with_ema(rows, "close", 20, "ema20"), 14, "atr"))
+    labelled = outcomes.structural_exit(outcomes.with_path(shaped, 31, ("shape_ok", "atr")).filter(hit))
+    banded = ranking.size_bands(rows).filter(hit).select("symbol", "day", "band")
+    return labelled.select("symbol", "day", "entry_day", "entry_px", "exit_day", "exit_px", "why", "ret").join(banded, ["symbol", "day"])
 
 
 @query(
