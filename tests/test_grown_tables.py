@@ -1,6 +1,9 @@
-"""What holds on larger tables: what joins carry."""
+"""What holds on larger tables: what joins carry, sums that don't follow the partitions, rankings computed once."""
+
+from pyspark.sql import functions as F
 
 from crosstape.plans import REGISTRY
+from crosstape.sources import derived
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,3 +25,15 @@ def test_structural_exits_joins_no_paths(spark):
     plan = REGISTRY["structural_exits"].run(spark, SF)._jdf.queryExecution().optimizedPlan()
     kinds = joined_kinds(plan)
     assert "string" in kinds and "array" not in kinds
+
+
+def test_filings_do_not_follow_the_partitions(spark, tmp_path):
+    """The same orders in another order and another number of files give the same cents."""
+    orders = derived.table(spark, "/root/testdata/sf0.01", "orders")
+    suppliers = derived.table(spark, SF, "supplier").limit(3)
+    for name, rows in (("one", orders.coalesce(1)), ("many", orders.repartition(13, F.rand(7)))):
+        rows.write.parquet(str(tmp_path / name / "orders.parquet"))
+        suppliers.write.parquet(str(tmp_path / name / "supplier.parquet"))
+    one, many = (derived.filings(spark, str(tmp_path / n)) for n in ("one", "many"))
+    assert one.count() > 50
+    assert one.exceptAll(many).isEmpty() and many.exceptAll(one).isEmpty()
