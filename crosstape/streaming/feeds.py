@@ -19,6 +19,12 @@ def captured_once(items: DataFrame, horizon: str = "1 day") -> DataFrame:
     return text.stories(items).withWatermark("captured_at", horizon).dropDuplicatesWithinWatermark(["link"])
 
 
+def laid_down(rows: DataFrame, path: str) -> DataFrame:
+    """The rows written once and read back: ``write_in_order`` reads its rows two times per span and once for their days."""
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def write_in_order(rows: DataFrame, path: str, parts: int, day: str = "day", files: int = 1) -> int:
     """Lay rows down as ``parts`` equal spans of days, one after the other and ``files`` files each, as a feed would have
     brought them: a stream that takes ``files`` per trigger reads them in that order. Returns how many spans had rows."""

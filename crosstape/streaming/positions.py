@@ -91,9 +91,20 @@ def position_events(feed: DataFrame, **rules) -> DataFrame:
     return feed.groupBy("bucket", "symbol").transformWithStateInPandas(PositionMachine(**rules), EVENTS, "append", "none")
 
 
-def run_available(events: DataFrame, path: str, checkpoint: str) -> None:
-    """Process what is there, append the events, stop. Restarts continue from the checkpoint."""
-    q = events.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(path)
+def run_available(events: DataFrame, path: str, checkpoint: str, partitions: int | None = None) -> None:
+    """Process what is there, append the events, stop. Restarts continue from the checkpoint.
+
+    ``partitions`` is for state of few keys: every state partition starts a worker and commits its store in every
+    micro-batch, also without a key. A query copies the session's settings when it starts.
+    """
+    conf = events.sparkSession.conf
+    usual = conf.get("spark.sql.shuffle.partitions")
+    if partitions is not None:
+        conf.set("spark.sql.shuffle.partitions", str(min(partitions, int(usual))))
+    try:
+        q = events.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(path)
+    finally:
+        conf.set("spark.sql.shuffle.partitions", usual)
     try:
         q.awaitTermination()
     finally:

@@ -1,9 +1,11 @@
 """What holds on larger tables: what joins carry, sums that don't follow the partitions, rankings computed once."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from crosstape.plans import REGISTRY
 from crosstape.sources import derived
+from crosstape.streaming import feeds
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,3 +39,21 @@ def test_filings_do_not_follow_the_partitions(spark, tmp_path):
     one, many = (derived.filings(spark, str(tmp_path / n)) for n in ("one", "many"))
     assert one.count() > 50
     assert one.exceptAll(many).isEmpty() and many.exceptAll(one).isEmpty()
+
+
+class Seen(Exception):
+    pass
+
+
+@pytest.mark.parametrize("name", ["queue_stream", "late_fills", "burst_stream"])
+def test_spans_of_a_feed_are_cut_from_files(spark, monkeypatch, name):
+    """Rows are read several times per span, so nothing but files may stand behind them."""
+
+    def look(rows, *_, **__):
+        raise Seen(rows._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(feeds, "write_in_order", look)
+    with pytest.raises(Seen) as seen:
+        REGISTRY[name].run(spark, SF)
+    plan = str(seen.value)
+    assert "Relation" in plan and not any(node in plan for node in ("Join", "Window", "Aggregate"))
