@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import fixed_frames
 from .frames import full, lag, let, series, trailing
 
 RS_LOOKBACKS = (20, 60, 125, 250)
@@ -149,24 +150,28 @@ def with_rsi(df: DataFrame, n: int = 14, out: str = "rsi") -> DataFrame:
 def with_features(bars: DataFrame) -> DataFrame:
     """All fixed-frame columns used by ranking, sizing, costs and ledgers.
 
-    Lazy and wide on purpose: column pruning drops the windows a query does not read.
+    Lags and leads are windows; the frames of 21 to 251 bars are taken in arrays of whole symbols, with the values
+    that ``with_positive_median``, ``positive_mean``, ``sma`` and ``daily_vol_pct`` give bar by bar.
     """
-    return (
-        with_positive_median(with_positive_median(bars, "turnover", 251, "size_med", "size_n"), "turnover", 61, "liq")
-        .withColumn("ret1", bar_return(1))
+    rows = (
+        bars.withColumn("ret1", bar_return(1))
         .withColumn("rs_raw", bar_return(125))
         .withColumn("ret63", bar_return(63))
-        .withColumn("deliv_mean", positive_mean("deliv_pct", 61))
-        .withColumn("off_high", high_gap_pct())
-        .withColumn("near_high", -F.col("off_high"))
-        .withColumn("sma200", sma("close", 200))
-        .withColumn("vol_raw", daily_vol_pct())
-        .withColumn("vol_pct", F.when(F.col("liq").isNotNull(), F.col("vol_raw")))
-        .drop("vol_raw")
-        .withColumn("max_ret21", F.max("ret1").over(trailing(-20)))
         .withColumn("next_open", F.lead("open", 1).over(series()))
         .withColumn("next_day", F.lead("day", 1).over(series()))
     )
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rows.schema] + [fixed_frames.FRAMES])
+    top, c = F.col("top126"), F.col("close")
+    # The windows above leave a symbol's bars in one partition, side by side and in the order of their days.
+    return (
+        rows.sortWithinPartitions("symbol", "day").mapInArrow(fixed_frames.feature_frames, schema)
+        .withColumn("deliv_mean", F.round("deliv_avg", 9))
+        .withColumn("off_high", (top - c) / top * 100)
+        .withColumn("near_high", -F.col("off_high"))
+        .withColumn("sma200", full(F.col("avg200"), 200))
+        .withColumn("vol_pct", F.when(F.col("liq").isNotNull() & (F.col("vol_n") >= 5), F.col("vol_sd") * 100))
+        .drop("deliv_avg", "top126", "avg200", "vol_n", "vol_sd")
+    )
 
 
 def with_entry_snapshot(features: DataFrame) -> DataFrame:

@@ -19,18 +19,18 @@ TABLES = (
 ).split()
 
 # One row per supplier and ship date: a deterministic random walk.
-BARS_CTES = """
-g as (
+BARS_DAYS = """
   select concat('S', lpad(cast(l_suppkey as varchar(20)), 6, '0')) as symbol, cast(l_shipdate as date) as day,
          sum(cast(floor(100*l_discount + 0.5e0) as int) - 5) as step, max(cast(floor(100*l_tax + 0.5e0) as int)) as tx,
          max(cast(floor(100*l_discount + 0.5e0) as int)) as dc, sum(cast(floor(100*l_tax + 0.5e0) as int) - 4) as ot,
          cast(sum(l_quantity) as bigint) as volume, floor(sum(l_extendedprice)*100 + 0.5e0)/100 as turnover,
          case when min(l_returnflag) = 'R' then null else 20 + avg(l_quantity) end as deliv_pct
-  from lineitem group by 1, 2),
-p as (select *, floor(10000*exp(0.01e0*sum(step) over (partition by symbol order by day)) + 0.5e0)/100 as c from g),
+  from lineitem group by 1, 2"""
+BARS_WALK = """p as (select *, floor(10000*exp(0.01e0*sum(step) over (partition by symbol order by day)) + 0.5e0)/100 as c from g),
 q as (select *, (tx = 8 and dc = 10) as locked,
              floor(100*coalesce(lag(c) over (partition by symbol order by day), 100e0)*(1 + 0.002e0*ot) + 0.5e0)/100 as o from p)
 """
+BARS_CTES = f"\ng as ({BARS_DAYS}),\n{BARS_WALK}"
 BARS_SELECT = """
 select symbol, day, case when locked then c else o end as open,
        case when locked then c else floor(100*greatest(o, c)*(1 + 0.002e0*tx) + 0.5e0)/100 end as high,
@@ -77,15 +77,18 @@ def _run(spark: SparkSession, sf_dir: str, sql: str, names: tuple[str, ...]) ->
     return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
 
 
-def bars_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bars_query(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
     """Bars straight from lineitem, lazily.
 
     Raw rows shrink to one per (symbol, day) with map-side partial aggregation
     before anything is partitioned by symbol, so a supplier holding a third of
-    all lines still yields at most one row per session.
+    all lines still yields at most one row per session. With ``parts`` these rows
+    are laid in that many partitions by symbol, which the windows then share.
     """
-    sql = f"with {BARS_CTES} {BARS_SELECT}".replace("from lineitem", "from {lineitem}")
-    return _run(spark, sf_dir, sql, ("lineitem",))
+    days = _run(spark, sf_dir, BARS_DAYS.replace("from lineitem", "from {lineitem}"), ("lineitem",))
+    if parts:
+        days = days.repartition(parts, "symbol")
+    return spark.sql(f"with {BARS_WALK} {BARS_SELECT}".replace("from g)", "from {g})"), g=days)
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +97,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     Ingest happens once per application into the shared folder; after that the
     per-symbol windows read it without a shuffle.
     """
-    return ledger.bucketed(spark, sf_dir, "bars", bars_query)
+    return ledger.bucketed(spark, sf_dir, "bars", lambda s, d: bars_query(s, d, ledger.buckets(s, d)), laid=True)
 
 
 def sessions(bars_: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ _BUCKETED: dict[tuple[str, str, str], str] = {}
 _WRITTEN: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 # Spark refuses over 100,000 buckets by default; far fewer hold any table here.
 MOST_BUCKETS = 20_000
+# Input behind one bucket: about half a million bars, a task of seconds in the heaviest per-symbol step.
+BUCKET_BYTES = 8 << 20
 
 
 def _write_once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]):
@@ -34,21 +36,28 @@ def _source_bytes(spark: SparkSession, sf_dir: str) -> int:
     return int(listed.agg(F.sum("length")).first()[0] or 0)
 
 
-def bucketed(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+def buckets(spark: SparkSession, sf_dir: str) -> int:
+    """Buckets of the per-symbol tables: one for each BUCKET_BYTES of input, so that a task's work stays the same."""
+    floor_parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
+    return min(MOST_BUCKETS, max(floor_parts, -(-_source_bytes(spark, sf_dir) // BUCKET_BYTES)))
+
+
+def bucketed(
+    spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame], laid: bool = False
+) -> DataFrame:
     """A per-symbol table bucketed and sorted by symbol, written once per application.
 
-    Bucket count follows the input bytes (256 MB each) up to MOST_BUCKETS: raw rows
-    shrink to one per symbol and session, so buckets stay far below a task's
-    memory. Windows and joins on symbol then need no shuffle.
+    Bucket count follows the input bytes up to MOST_BUCKETS: raw rows shrink to one per symbol and session, so
+    buckets stay far below a task's memory. Windows and joins on symbol then need no shuffle. ``laid``: the rows
+    already lie in these buckets (they come from such a table, or from an exchange of theirs), so none is added.
     """
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _BUCKETED:
         tag = hashlib.sha256("|".join(key).encode()).hexdigest()[:12]
-        floor_parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-        n = min(MOST_BUCKETS, max(floor_parts, -(-_source_bytes(spark, sf_dir) // (256 << 20))))
+        n = buckets(spark, sf_dir)
         rows = build(spark, sf_dir)
         (
-            rows.repartition(n, "symbol").write.mode("overwrite").format("parquet")
+            (rows if laid else rows.repartition(n, "symbol")).write.mode("overwrite").format("parquet")
             .option("path", f"{shared_dir(spark)}/crosstape/{name}-{tag}")
             .bucketBy(n, "symbol").sortBy("symbol", "day").saveAsTable(f"crosstape_{name}_{tag}")
         )
