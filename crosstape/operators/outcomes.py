@@ -15,10 +15,17 @@ BACKTEST = dict(first=1, late=1, close_short=False)
 PAPER = dict(first=2, late=1, close_short=False)
 
 
-def with_path(bars: DataFrame, reach: int, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Attach the next ``reach`` bars as a bounded array; no join is needed to look forward."""
+def with_path(bars: DataFrame, reach: int, extra: tuple[str, ...] = (), only: Column | None = None) -> DataFrame:
+    """Attach the next ``reach`` bars as a bounded array; no join is needed to look forward.
+
+    With ``only`` the array is made for those bars alone, the others get NULL.
+    """
     bar = F.struct("ix", "day", "open", "high", "low", "close", *extra)
-    return bars.withColumn("path", F.collect_list(bar).over(series().rowsBetween(1, reach)))
+    if only is None:
+        return bars.withColumn("path", F.collect_list(bar).over(series().rowsBetween(1, reach)))
+    names = [f"_next{k}" for k in range(1, reach + 1)]
+    ahead = bars.withColumn("_bar", bar).withColumns({n: F.lead("_bar", k).over(series()) for k, n in enumerate(names, 1)})
+    return ahead.withColumn("path", F.when(only, F.array_compact(F.array(*names)))).drop("_bar", *names)
 
 
 def barrier(

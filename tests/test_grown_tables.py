@@ -5,6 +5,7 @@ import toys
 from pyspark.sql import functions as F
 
 from crosstape.functions import indicators as ind
+from crosstape.operators import outcomes
 from crosstape.plans import REGISTRY, common
 from crosstape.sources import derived
 from crosstape.streaming import feeds
@@ -97,3 +98,25 @@ def test_feature_frames_are_those_of_spark(spark):
     want = want.withColumn("vol_pct", F.when(F.col("liq").isNotNull(), ind.daily_vol_pct())).withColumn("max_ret21", F.max("ret1").over(ind.trailing(-20)))
     cells = lambda rows: sorted(str(tuple(r)) for r in rows)
     assert len(got) == 738 and cells(got) == cells(want.select(keep).collect())
+
+
+def test_a_days_rank_carries_no_paths(spark):
+    def windows(plan):
+        out = [plan] if plan.nodeName() == "Window" else []
+        children = plan.children()
+        for i in range(children.size()):
+            out += windows(children.apply(i))
+        return out
+
+    plan = common.signals(spark, SF)._jdf.queryExecution().optimizedPlan()
+    by_day = [w for w in windows(plan) if "(day#" in w.partitionSpec().toString()]
+    outs = [w.output() for w in by_day]
+    assert outs and not any(o.apply(k).dataType().typeName() == "array" for o in outs for k in range(o.size()))
+
+
+def test_paths_of_some_bars_are_those_of_all(spark):
+    b = toys.bars(spark, toys.series("A", range(1, 30)), toys.series("B", range(1, 3)))
+    odd = F.col("ix") % 3 == 1
+    all_, some = outcomes.with_path(b, 4).filter(odd), outcomes.with_path(b, 4, only=odd)
+    rows = lambda df: sorted(str(r) for r in df.select("symbol", "ix", "path").collect())
+    assert rows(some.filter(odd)) == rows(all_) and some.filter(~odd & F.col("path").isNotNull()).isEmpty()
