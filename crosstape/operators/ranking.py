@@ -56,9 +56,16 @@ def wide_ranked(
 
 def percentile_rank(df: DataFrame, by: list[str], value: str, ties: list[str], into: str) -> DataFrame:
     """Position / group size * 100; equal values take consecutive places in ``ties`` order."""
-    order = [F.col(value), *[F.col(t) for t in ties]]
-    out = ranked(df, by, order, "_k", "_m")
-    return out.withColumn(into, F.col("_k") / F.col("_m") * 100).drop("_k", "_m")
+    return percentile_ranks(df, by, {value: into}, ties)
+
+
+def percentile_ranks(df: DataFrame, by: list[str], values: dict[str, str], ties: list[str]) -> DataFrame:
+    """``percentile_rank`` of several columns of the same groups, whose sizes are counted once, in the first one's order."""
+    out = df
+    for k, (value, into) in enumerate(values.items()):
+        order = [F.col(value), *[F.col(t) for t in ties]]
+        out = ranked(out, by, order, "_k", None if k else "_m").withColumn(into, F.col("_k") / F.col("_m") * 100)
+    return out.drop("_k", "_m")
 
 
 def neutral_percentile_rank(df: DataFrame, by: list[str], value: str, ties: list[str], into: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import costs
 from ..functions.frames import let, series
-from .ranking import neutral_percentile_rank, percentile_rank, ranked
+from .ranking import neutral_percentile_rank, percentile_ranks, ranked
 
 SCORED = ("rs", "deliv", "liq", "near_high")
 DEFAULT_WEIGHTS = {"rs": 1.0, "deliv": 1.5, "liq": 1.0, "near_high": 1.0}
@@ -54,9 +54,7 @@ def score(
     ``extra`` features (columns of that name, NULL = unknown) rank neutrally.
     """
     weights = weights or DEFAULT_WEIGHTS
-    out = rows
-    for f in SCORED:
-        out = percentile_rank(out, by, f"x_{f}", ["size_rank"], f"r_{f}")
+    out = percentile_ranks(rows, by, {f"x_{f}": f"r_{f}" for f in SCORED}, ["size_rank"])
     for f in extra:
         out = neutral_percentile_rank(out, by, f, ["size_rank"], f"r_{f}")
     total, wsum = F.lit(0.0), 0.0

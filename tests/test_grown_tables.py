@@ -120,3 +120,8 @@ def test_paths_of_some_bars_are_those_of_all(spark):
     all_, some = outcomes.with_path(b, 4).filter(odd), outcomes.with_path(b, 4, only=odd)
     rows = lambda df: sorted(str(r) for r in df.select("symbol", "ix", "path").collect())
     assert rows(some.filter(odd)) == rows(all_) and some.filter(~odd & F.col("path").isNotNull()).isEmpty()
+
+
+def test_scores_count_their_groups_once(spark):
+    text = common.scored(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("count(1) windowspecdefinition(day") == 2  # the bands' day and the scores' day and band
