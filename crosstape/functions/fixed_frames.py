@@ -20,6 +20,9 @@ LONGEST = 251
 #: Bars whose frames are sorted at once: bounds the memory of a median.
 BLOCK = 4096
 
+#: Stands for the symbol of bars without one, which are a group of their own to Spark.
+NO_NAME = "\0"
+
 FRAMES = (
     "size_med double, size_n int, liq double, deliv_avg double, top126 double, avg200 double, vol_n long, vol_sd double, max_ret21 double"
 )
@@ -29,7 +32,7 @@ class Layout:
     """Where the bars of several symbols stand when each symbol has LONGEST - 1 blanks before it."""
 
     def __init__(self, symbols: pa.ChunkedArray):
-        codes = symbols.combine_chunks().dictionary_encode().indices.to_numpy()
+        codes = symbols.combine_chunks().fill_null(NO_NAME).dictionary_encode().indices.to_numpy()
         number = np.concatenate([[0], np.cumsum(np.diff(codes) != 0)])
         self.place = np.arange(len(codes)) + (LONGEST - 1) * (number + 1)
         self.size = int(self.place[-1]) + 1
@@ -135,9 +138,9 @@ def feature_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        symbols = batch.column("symbol")
+        symbols = batch.column("symbol").fill_null(NO_NAME)
         first_of_last = pc.index(symbols, symbols[-1]).as_py()
-        if waiting and (first_of_last > 0 or waiting[-1].column("symbol")[-1] != symbols[0]):
+        if waiting and (first_of_last > 0 or waiting[-1].column("symbol").fill_null(NO_NAME)[-1] != symbols[0]):
             if first_of_last > 0:
                 waiting.append(batch.slice(0, first_of_last))
             yield from with_frames(pa.Table.from_batches(waiting)).combine_chunks().to_batches()

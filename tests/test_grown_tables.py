@@ -81,7 +81,7 @@ def test_feature_frames_are_those_of_spark(spark):
     """Unknown, zero, negative and NaN values, flat and short series, symbols cut by batches: every value to the last bit."""
     odd = [None, 0.0, -3.0, float("nan"), 1e15, 0.1, 0.2, 0.3]
     rows = []
-    for symbol, n in (("A", 1), ("B", 300), ("C", 7), ("D", 430)):
+    for symbol, n in (("A", 1), ("B", 300), ("C", 7), ("D", 430), (None, 50)):
         for i, row in enumerate(toys.series(symbol, [100 + ((i * 37) % 23) * 0.1 for i in range(n)])):
             turnover = odd[i % 8] if symbol == "D" and i < 60 else 1e5 + (i * 7919) % 1013 + 0.3
             deliv = None if (symbol, i % 3) == ("B", 0) or symbol == "C" else (odd[i % 8] if symbol == "D" and i > 300 else 20 + (i * 31) % 17 + 0.7)
@@ -97,7 +97,7 @@ def test_feature_frames_are_those_of_spark(spark):
     want = want.withColumn("deliv_mean", ind.positive_mean("deliv_pct", 61)).withColumn("off_high", ind.high_gap_pct()).withColumn("sma200", ind.sma("close", 200))
     want = want.withColumn("vol_pct", F.when(F.col("liq").isNotNull(), ind.daily_vol_pct())).withColumn("max_ret21", F.max("ret1").over(ind.trailing(-20)))
     cells = lambda rows: sorted(str(tuple(r)) for r in rows)
-    assert len(got) == 738 and cells(got) == cells(want.select(keep).collect())
+    assert len(got) == 788 and cells(got) == cells(want.select(keep).collect())
 
 
 def test_a_days_rank_carries_no_paths(spark):
