@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import costs, stats
 from ..functions.indicators import bar_return
 from ..operators import evidence, outcomes, ranking, selection
-from ..session import shared_dir
+from ..session import durable, shared_dir
 from ..sources import ledger
 from . import oracle as o
-from .common import TRADE_COLUMNS, bands, candidates, corpus, features, pooled_candidates, sessions, signals, trades, with_paths
+from .common import TRADE_COLUMNS, bands, by_day, candidates, corpus, features, pooled_candidates, sessions, signals, trades
 from .outcome_plans import ARM_CTES, ARM_NAMES, arm_trades
 from .selection_plans import announcement_points
 from .spec import query
@@ -125,11 +125,18 @@ smp as materialized (select * exclude (h, k) from (select *, row_number() over (
 
 def random_trades(spark, sf, banded: bool = True):
     """Labelled trades on a hash-ordered draw of symbols per sampled session, whatever their rank."""
-    rows = with_paths(spark, sf, 10) if banded else outcomes.with_path(corpus(spark, sf), 10)
+    rows = corpus(spark, sf)
     days = evidence.sample_sessions(sessions(spark, sf), 300, 10, 90).select("day")
+    # A day's bands read that day alone, so only the sampled days are ranked, with what the rank reads.
     # At most a hundred sampled dates, whatever the data: safe to broadcast.
-    drawn = evidence.random_sample(rows.join(F.broadcast(days), "day", "left_semi"), 45)
-    return outcomes.barrier(drawn)
+    names = rows.select("symbol", "day", *(("ix", "size_med", "size_n") if banded else ())).join(F.broadcast(days), "day", "left_semi")
+    names = by_day(spark, sf, names)
+    if banded:
+        names = ranking.size_bands(names).select("symbol", "day", "band_ix", "band", "size_rank")
+    # At most 45 rows on each of these dates: read twice, and safe to broadcast too.
+    drawn = durable(evidence.random_sample(names, 45))
+    paths = outcomes.with_path(rows.join(F.broadcast(drawn.select("symbol").distinct()), "symbol", "left_semi"), 10)
+    return outcomes.barrier(paths.join(F.broadcast(drawn), ["symbol", "day"]))
 
 
 SAMPLED = (SAMPLE_SQL.format(src="bands"), o.label_cte("rt", "smp"))
@@ -257,8 +264,9 @@ def median_split(spark, sf):
 
 def announced_trades(spark, sf):
     """Random trades with the announcement features visible on the signal day."""
-    t = random_trades(spark, sf).drop("n")
-    return announcement_points(spark, sf, t).filter(F.col("ann_burst").isNotNull())
+    # A few thousand rows, kept so that what reads them several times does not draw them again.
+    t = durable(random_trades(spark, sf).drop("n"))
+    return durable(announcement_points(spark, sf, t, t.select("symbol").distinct()).filter(F.col("ann_burst").isNotNull()))
 
 
 from .selection_plans import ANN_FEATURES_CTE  # noqa: E402

@@ -65,10 +65,13 @@ annx as materialized (select symbol, day, recent_n, base_n, case when base_n > 0
    case when base_n > 0 then coalesce(t, 0e0) end as ann_tone, case when base_n > 0 then case when fl then 1e0 else 0e0 end end as ann_flag from annf)"""
 
 
-def announcement_points(spark, sf, points):
-    """Attach the announcement features to (symbol, day) rows."""
+def announcement_points(spark, sf, points, names=None):
+    """Attach the announcement features to (symbol, day) rows. ``names``: the symbols of the points, where these are few."""
     cal = sessions(spark, sf).filter(F.weekday("day") < 5)
-    vis = asof.with_visibility(derived.announcements_raw(spark, sf), cal)
+    raw = derived.announcements_raw(spark, sf)
+    if names is not None:
+        raw = raw.join(F.broadcast(names), "symbol", "left_semi")
+    vis = asof.with_visibility(raw, cal)
     return asof.announcement_features(points, asof.announcement_days(vis, TONE, FLAG_CATEGORIES))
 
 

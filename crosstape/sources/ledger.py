@@ -42,6 +42,11 @@ def buckets(spark: SparkSession, sf_dir: str) -> int:
     return min(MOST_BUCKETS, max(floor_parts, -(-_source_bytes(spark, sf_dir) // BUCKET_BYTES)))
 
 
+def parts(spark: SparkSession, sf_dir: str) -> int:
+    """Partitions of an exchange of bars by another key: two for each bucket, whatever the session's own number."""
+    return 2 * buckets(spark, sf_dir)
+
+
 def bucketed(
     spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame], laid: bool = False
 ) -> DataFrame:
