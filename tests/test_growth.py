@@ -10,6 +10,13 @@ from crosstape.sources import derived, ledger
 from crosstape.streaming import feeds, positions
 
 
+@pytest.fixture
+def grown(spark, monkeypatch):
+    """The tables as written for the small input; from then on the input counts as one of 50 buckets."""
+    common.trades(spark, SF)
+    monkeypatch.setattr(ledger, "buckets", lambda *_: 50)
+
+
 @pytest.mark.parametrize("name", ["tone_adoption", "signed_split", "random_sample_trades", "unconditioned_information"])
 def test_samples_are_drawn_from_sampled_days_without_paths(spark, monkeypatch, name):
     def look(rows, *_, **__):
@@ -28,3 +35,20 @@ def test_a_sample_is_banded_as_the_whole_day(spark):
     keys = ["symbol", "day", "band", "size_rank"]
     drawn = evidence_plans.random_trades(spark, SF).select(*keys)
     assert drawn.count() > 50 and drawn.exceptAll(common.bands(spark, SF).select(*keys)).isEmpty()
+
+
+def test_day_ranks_follow_the_input(spark, grown):
+    assert common.bands(spark, SF).select("symbol", "day", "band").rdd.getNumPartitions() == 100
+
+
+def test_bars_are_combined_without_a_sort(spark):
+    plan = derived.bars_query(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_the_least_flag_as_a_number(spark):
+    flags = [["R"], ["R", "R"], ["A", "R"], ["N"], ["R", "S"], ["S"], [None], [None, "R"], [None, "A", "R"], ["", "R"]]
+    rows = spark.createDataFrame([(k, f) for k, fs in enumerate(flags) for f in fs], "k int, l_returnflag string")
+    text, number = derived.HASHED_FLAG
+    out = rows.groupBy("k").agg(F.expr(f"case when {text} then 1 else 0 end").alias("a"), F.expr(f"case when {number} then 1 else 0 end").alias("b")).collect()
+    assert len(out) == len(flags) and all(r.a == r.b for r in out) and {r.a for r in out} == {0, 1}
