@@ -33,7 +33,7 @@ def population_sql(src: str, key: str) -> str:
 )
 def breakout_edge_by_band(spark, sf):
     """The headline question, computed end to end without the stored ledger."""
-    net = outcomes.net_trade(outcomes.barrier(signals(spark, sf)))
+    net = signals(spark, sf, label=lambda paths: outcomes.net_trade(outcomes.barrier(paths)))
     return net.groupBy("band").agg(*stats.population_bars("net_ret"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from ..sources import derived, files
+from ..sources import derived, files, ledger
 from ..streaming import positions
 from . import oracle as o
 from . import text_plans
@@ -120,10 +120,11 @@ def position_stream(spark, sf):
     b = bars(spark, sf).select(F.lit("main").alias("bucket"), "symbol", "day", F.lit("bar").alias("kind"), F.lit(None).cast("long").alias("qty"), "open", "high", "low", "close")
     none = [F.lit(None).cast("double").alias(c) for c in ("open", "high", "low", "close")]
     orders = trades(spark, sf).select(F.lit("main").alias("bucket"), "symbol", "day", F.lit("order").alias("kind"), F.col("qty").cast("long").alias("qty"), *none)
-    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # State partitions, and files of a micro-batch: one for four buckets, as every one of them starts a worker in each batch.
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-ledger.buckets(spark, sf) // 4))
     feeds.write_in_order(b.unionByName(orders), f"{base}/feed", 5, files=files)
     feed = spark.readStream.schema(positions.INPUT).option("maxFilesPerTrigger", files).parquet(f"{base}/feed")
-    positions.run_available(positions.position_events(feed), f"{base}/events", f"{base}/checkpoint")
+    positions.run_available(positions.position_events(feed), f"{base}/events", f"{base}/checkpoint", partitions=files)
     closed = spark.read.schema(positions.EVENTS).parquet(f"{base}/events").filter("status = 'closed'")
     return closed.withColumnRenamed("at", "exit_day")
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +15,13 @@ from ..session import shared_dir
 
 _BUCKETED: dict[tuple[str, str, str], str] = {}
 _WRITTEN: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+_BYTES: dict[tuple[str, str, str], int] = {}
 # Spark refuses over 100,000 buckets by default; far fewer hold any table here.
 MOST_BUCKETS = 20_000
 # Input behind one bucket: about half a million bars, a task of seconds in the heaviest per-symbol step.
 BUCKET_BYTES = 8 << 20
+# Input behind one file split while a table is written: what a task combines before the first exchange.
+SPLIT_BYTES = 32 << 20
 
 
 def _write_once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]):
@@ -25,15 +30,19 @@ def _write_once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[Sp
         tag = hashlib.sha256("|".join(key).encode()).hexdigest()[:12]
         path = f"{shared_dir(spark)}/crosstape/{name}-{tag}"
         df = build(spark, sf_dir)
-        df.write.mode("overwrite").parquet(path)
+        with sized(spark, sf_dir):
+            df.write.mode("overwrite").parquet(path)
         _WRITTEN[key] = (path, df.schema)
     return _WRITTEN[key]
 
 
 def _source_bytes(spark: SparkSession, sf_dir: str) -> int:
     """Bytes of the largest input table, from the file listing alone."""
-    listed = spark.read.format("binaryFile").load(f"{sf_dir}/lineitem.parquet")
-    return int(listed.agg(F.sum("length")).first()[0] or 0)
+    key = (spark.sparkContext.applicationId, sf_dir, "lineitem")
+    if key not in _BYTES:
+        listed = spark.read.format("binaryFile").load(f"{sf_dir}/lineitem.parquet")
+        _BYTES[key] = int(listed.agg(F.sum("length")).first()[0] or 0)
+    return _BYTES[key]
 
 
 def buckets(spark: SparkSession, sf_dir: str) -> int:
@@ -47,6 +56,26 @@ def parts(spark: SparkSession, sf_dir: str) -> int:
     return 2 * buckets(spark, sf_dir)
 
 
+def _as_bytes(size: str) -> int:
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)i?b?", size.strip().lower()).groups()
+    return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+
+
+@contextmanager
+def sized(spark: SparkSession, sf_dir: str) -> Iterator[None]:
+    """While a table is written its exchanges and file splits follow the input, so that no task's memory grows with it."""
+    shuffle, split = "spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes"
+    usual = {k: spark.conf.get(k) for k in (shuffle, split)}
+    wanted = {shuffle: max(int(usual[shuffle]), parts(spark, sf_dir)), split: min(_as_bytes(usual[split]), SPLIT_BYTES)}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, str(v))
+        yield
+    finally:
+        for k, v in usual.items():
+            spark.conf.set(k, v)
+
+
 def bucketed(
     spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame], laid: bool = False
 ) -> DataFrame:
@@ -61,18 +90,19 @@ def bucketed(
         tag = hashlib.sha256("|".join(key).encode()).hexdigest()[:12]
         n = buckets(spark, sf_dir)
         rows = build(spark, sf_dir)
-        (
-            (rows if laid else rows.repartition(n, "symbol")).write.mode("overwrite").format("parquet")
-            .option("path", f"{shared_dir(spark)}/crosstape/{name}-{tag}")
-            .bucketBy(n, "symbol").sortBy("symbol", "day").saveAsTable(f"crosstape_{name}_{tag}")
-        )
+        with sized(spark, sf_dir):
+            (
+                (rows if laid else rows.repartition(n, "symbol")).write.mode("overwrite").format("parquet")
+                .option("path", f"{shared_dir(spark)}/crosstape/{name}-{tag}")
+                .bucketBy(n, "symbol").sortBy("symbol", "day").saveAsTable(f"crosstape_{name}_{tag}")
+            )
         _BUCKETED[key] = f"crosstape_{name}_{tag}"
     return spark.table(_BUCKETED[key])
 
 
 def forget(spark: SparkSession, sf_dir: str) -> None:
     """Drop what is remembered of an input that has changed: the next query writes its tables anew."""
-    for known in (_BUCKETED, _WRITTEN):
+    for known in (_BUCKETED, _WRITTEN, _BYTES):
         for key in [k for k in known if k[:2] == (spark.sparkContext.applicationId, sf_dir)]:
             del known[key]
 

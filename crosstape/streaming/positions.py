@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,6 +15,10 @@ from ..functions import costs
 INPUT = "bucket string, symbol string, day date, kind string, qty long, open double, high double, low double, close double"
 EVENTS = "bucket string, symbol string, status string, at date, queued_on date, entry_day date, entry_px double, qty long, stop double, target double, exit_px double, exit_reason string"
 STATE = "status string, queued_on date, qty long, entry_day date, entry_px double, held int, seen date"
+_READ = ("day", "kind", "qty", "open", "high", "low", "close")
+_DAY_KIND = itemgetter(0, 1)
+_Row = namedtuple("_Row", _READ)
+_WRITTEN = [c.split()[0] for c in EVENTS.split(", ")]
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -36,10 +42,9 @@ class PositionMachine(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         bucket, symbol = key
         # One bar and at most a few orders per session: bounded by the calendar.
-        # A day's bar comes before the orders queued after its close.
-        todo = pd.concat(list(rows)).sort_values(["day", "kind"], kind="stable")
-        now = self.position.get() if self.position.exists() else (None,) * 7
-        status, queued, qty, entry_day, entry_px, held, seen = now
+        # A day's bar comes before the orders queued after its close. Plain lists: frames cost more than the few rows of a name.
+        todo = sorted((r for part in rows for r in zip(*[part[c].tolist() for c in _READ], strict=True)), key=_DAY_KIND)
+        status, queued, qty, entry_day, entry_px, held, seen = self.position.get() or (None,) * 7
         out = []
 
         def emit(state, day, px=None, why=None):
@@ -49,7 +54,7 @@ class PositionMachine(StatefulProcessor):
                 entry_px * (1 + self.target_pct / 100) if filled else None, px, why,
             ))
 
-        for r in todo.itertuples(index=False):
+        for r in map(_Row._make, todo):
             if seen is not None and r.day < seen:
                 # Later bars were applied before this row came: it leaves a record, and a bar is not applied.
                 emit("late", r.day, why=r.kind)
@@ -79,7 +84,7 @@ class PositionMachine(StatefulProcessor):
                 status = queued = qty = entry_day = entry_px = held = None
         self.position.update((status, queued, qty, entry_day, entry_px, held, seen))
         if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in EVENTS.split(", ")])
+            yield pd.DataFrame(out, columns=_WRITTEN)
 
     def close(self) -> None:
         pass
@@ -94,13 +99,14 @@ def position_events(feed: DataFrame, **rules) -> DataFrame:
 def run_available(events: DataFrame, path: str, checkpoint: str, partitions: int | None = None) -> None:
     """Process what is there, append the events, stop. Restarts continue from the checkpoint.
 
-    ``partitions`` is for state of few keys: every state partition starts a worker and commits its store in every
-    micro-batch, also without a key. A query copies the session's settings when it starts.
+    ``partitions`` is for state of few keys, and for more of them than the session's partitions hold: every state partition
+    starts a worker and commits its store in every micro-batch, also without a key. A query copies the session's settings
+    when it starts.
     """
     conf = events.sparkSession.conf
     usual = conf.get("spark.sql.shuffle.partitions")
     if partitions is not None:
-        conf.set("spark.sql.shuffle.partitions", str(min(partitions, int(usual))))
+        conf.set("spark.sql.shuffle.partitions", str(partitions))
     try:
         q = events.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(path)
     finally:

@@ -52,3 +52,33 @@ def test_the_least_flag_as_a_number(spark):
     text, number = derived.HASHED_FLAG
     out = rows.groupBy("k").agg(F.expr(f"case when {text} then 1 else 0 end").alias("a"), F.expr(f"case when {number} then 1 else 0 end").alias("b")).collect()
     assert len(out) == len(flags) and all(r.a == r.b for r in out) and {r.a for r in out} == {0, 1}
+
+
+def test_trades_join_no_paths(spark):
+    kinds = joined_kinds(common.build_trades(spark, SF)._jdf.queryExecution().optimizedPlan())
+    assert "string" in kinds and "array" not in kinds
+
+
+def test_tables_are_written_in_partitions_that_follow_the_input(spark, grown):
+    shuffle, split = "spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes"
+    before = [spark.conf.get(k) for k in (shuffle, split)]
+    with pytest.raises(ValueError), ledger.sized(spark, SF):
+        assert spark.conf.get(shuffle) == "100" and int(spark.conf.get(split)) == ledger.SPLIT_BYTES
+        raise ValueError
+    assert [spark.conf.get(k) for k in (shuffle, split)] == before
+    assert [ledger._as_bytes(t) for t in ("134217728b", "16m", "1MB", "2g", "7")] == [1 << 27, 1 << 24, 1 << 20, 1 << 31, 7]
+
+
+def test_position_state_follows_the_input(spark, monkeypatch):
+    common.trades(spark, SF)
+    monkeypatch.setattr(ledger, "buckets", lambda *_: 400)
+    seen = {}
+    monkeypatch.setattr(feeds, "write_in_order", lambda rows, path, parts, files: seen.update(files=files) or rows.limit(0).write.parquet(path))
+
+    def look(events, path, checkpoint, partitions=None):
+        raise Seen(partitions)
+
+    monkeypatch.setattr(positions, "run_available", look)
+    with pytest.raises(Seen) as stopped:
+        REGISTRY["position_stream"].run(spark, SF)
+    assert seen["files"] == stopped.value.args[0] == 100
