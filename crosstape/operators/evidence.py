@@ -66,15 +66,15 @@ def feature_information(long: DataFrame, by: tuple[str, ...] = (), least: int =
     )
 
 
-def split_check(long: DataFrame, least: int = 100, split: float = 0.5) -> DataFrame:
+def split_check(long: DataFrame, least: int = 100, split: float = 0.5, slabs: int | None = None) -> DataFrame:
     """Does a feature's spread keep its sign from the early to the late part of the trades?
 
     verdict: consistent, flips, none (no information in one half), thin (too few rows).
     """
-    r = wide_ranked(long, ["feature"], [F.col("day"), F.col("symbol")], "_o", "_all")
+    r = wide_ranked(long, ["feature"], [F.col("day"), F.col("symbol")], "_o", "_all", slabs)
     halves = r.withColumn("half", F.when(F.col("_o") <= F.floor(F.col("_all") * split), "early").otherwise("late"))
     total = halves.groupBy("feature").agg(F.max("_all").alias("n"))
-    info = feature_information(halves.drop("_o", "_all"), ("half",))
+    info = feature_information(halves.drop("_o", "_all"), ("half",), slabs=slabs)
     wide = info.groupBy("feature").agg(
         F.max(F.when(F.col("half") == "early", F.col("spread"))).alias("early"),
         F.max(F.when(F.col("half") == "late", F.col("spread"))).alias("late"),

@@ -47,7 +47,8 @@ def wide_ranked(
         sizes = sizes.withColumn(count_into, F.sum("_n").over(Window.partitionBy(*keys)))
     local = F.row_number().over(Window.partitionBy("_slab", *by).orderBy(*order))
     return (
-        laid.withColumn("_local", local)
+        # As many partitions as slabs: the exchange by slab may not put them together again.
+        laid.repartition(slabs, "_slab", *by).withColumn("_local", local)
         .join(sizes.drop("_n"), ["_slab", *by])
         .withColumn(into, (F.col("_local") + F.col("_before")).cast("long"))
         .drop("_local", "_before", "_slab")

@@ -88,6 +88,11 @@ def info_sql(src: str, keys: str) -> str:
         row_number() over (partition by {keys} order by x, day, symbol) as k, count(*) over (partition by {keys}) as m from {src}) where m >= 30 group by {keys}"""
 
 
+def slabs(spark, sf) -> int:
+    """Slabs of the ledger's ranks: they follow the input where the session's partitions do not."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), ledger.buckets(spark, sf))
+
+
 def ledger_long(rows, ret: str = "ret"):
     wide = rows.select(
         "symbol", "day", F.col(ret).alias("ret"), F.col("ret63").alias("rs"), F.col("deliv_mean").alias("deliv"), "liq", "off_high", "near_high",
@@ -98,7 +103,7 @@ def ledger_long(rows, ret: str = "ret"):
 
 @query("feature_information", "I6", "feature:s n:i top_third:f bottom_third:f spread:f no_variance:b", o.sql("trades", info_sql("lng", "feature"), LEDGER_SQL))
 def feature_information(spark, sf):
-    return evidence.feature_information(ledger_long(trades(spark, sf)))
+    return evidence.feature_information(ledger_long(trades(spark, sf)), slabs=slabs(spark, sf))
 
 
 SPLIT_SQL = f"""hv as materialized (select *, case when o <= floor(al * 0.5e0) then 'early' else 'late' end as half from (
@@ -112,7 +117,7 @@ sc as materialized (select n.feature, n.n, h.early, h.late, case when n.n < 100
 
 @query("split_half_check", "I7", "feature:s n:i early:f late:f verdict:s", o.sql("trades", "select * from sc", LEDGER_SQL, SPLIT_SQL))
 def split_half_check(spark, sf):
-    return evidence.split_check(ledger_long(trades(spark, sf)))
+    return evidence.split_check(ledger_long(trades(spark, sf)), slabs=slabs(spark, sf))
 
 
 # --- unconditioned sample --------------------------------------------------
@@ -177,7 +182,7 @@ def weight_proposal(spark, sf):
     book = ledger.weight_rows(trades(spark, sf).withColumn("portfolio", F.lit("main")))
     long, n = ledger_long(book), trades(spark, sf).agg(F.count(F.lit(1))).scalar()
     return evidence.weight_proposal(
-        evidence.feature_information(long), evidence.split_check(long), unconditioned_information(spark, sf), selection.DEFAULT_WEIGHTS, n
+        evidence.feature_information(long, slabs=slabs(spark, sf)), evidence.split_check(long, slabs=slabs(spark, sf)), unconditioned_information(spark, sf), selection.DEFAULT_WEIGHTS, n
     )
 
 

@@ -79,6 +79,15 @@ def test_official_bars_come_in_files_that_follow_the_input(spark, grown, monkeyp
     assert seen.value.args[0] == 50
 
 
+def test_slabs_stay_apart(spark, grown):
+    assert evidence_plans.slabs(spark, SF) == 50
+    rows = spark.range(1000).withColumn("x", F.col("id") % 7)
+    ranked = ranking.wide_ranked(rows, [], [F.col("x"), F.col("id")], "k", slabs=40)
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert ", 40), REPARTITION_BY_NUM" in plan
+    assert sorted(r.k for r in ranked.collect()) == list(range(1, 1001))
+
+
 def test_position_state_follows_the_input(spark, monkeypatch):
     common.trades(spark, SF)
     monkeypatch.setattr(ledger, "buckets", lambda *_: 400)
