@@ -204,8 +204,7 @@ def arm_edges(spark, sf):
 def cohort_trades(spark, sf):
     """Labelled candidates of each depth cohort that had triggered."""
     rows = selection.cohorts(candidates(spark, sf)).filter("triggered")
-    paths = outcomes.with_path(features(spark, sf), 10).select("symbol", "day", "path")
-    return outcomes.barrier(rows.join(paths, ["symbol", "day"]))
+    return _label_picks(spark, sf, rows.select("symbol", "day", "cohort"), "cohort")
 
 
 COHORT = (
@@ -598,9 +597,18 @@ def exposure_control(spark, sf):
 # --- variants of selection ----------------------------------------------------
 
 
-def _label_picks(spark, sf, picks):
-    paths = outcomes.with_path(features(spark, sf), 10).select("symbol", "day", "path")
-    return outcomes.barrier(picks.join(paths, ["symbol", "day"]))
+def _label_picks(spark, sf, picks, arm: str = "arm"):
+    """Picks labelled once for each value of ``arm``; picks are some seats of every session.
+
+    A picked bar is marked where it lies, in its symbol's partition: only marked bars get a path, and none is shuffled.
+    The marks follow the calendar, not the listed names, so they are broadcast, from files: what ranks the days may
+    take longer than a broadcast is waited for.
+    """
+    marks = durable(picks.groupBy("symbol", "day").agg(F.collect_list(arm).alias("_arms")))
+    picked = F.col("_arms").isNotNull()
+    rows = features(spark, sf).select("symbol", "day", "ix", "open", "high", "low", "close").join(F.broadcast(marks), ["symbol", "day"], "left")
+    labelled = outcomes.barrier(outcomes.with_path(rows, 10, only=picked).filter(picked)).drop("path")
+    return labelled.withColumn(arm, F.explode("_arms")).drop("_arms")
 
 
 LIT = ["base", "skip_month", "max_screen", "both"]
