@@ -11,10 +11,22 @@ from .ranking import wide_ranked
 LEDGER_FEATURES = ("rs", "deliv", "liq", "off_high", "near_high", "rsi")
 
 
-def attribution(trades: DataFrame, key: str, ret: str = "ret") -> DataFrame:
+def attribution(trades: DataFrame, key: str, ret: str = "ret", order: tuple[str, ...] = ()) -> DataFrame:
+    """Count, sum, mean and wins of each key's trades.
+
+    With ``order``, which must be total inside a key, the returns are added in it: a sum taken as the rows arrive has
+    other last bits with every shuffle, so keys with the same trades would rank by chance.
+    """
     x = F.col(ret)
+    n, total, avg = F.count(x), F.sum(x), F.avg(x)
+    if order:
+        w = Window.partitionBy(key).orderBy(*order)
+        run = F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        trades = trades.withColumn("_at", F.row_number().over(w)).withColumn("_run", run)
+        total = F.max_by("_run", "_at")
+        avg = total / F.nullif(n, F.lit(0))
     return trades.groupBy(key).agg(
-        F.count(x).alias("n"), F.sum(x).alias("total"), F.avg(x).alias("avg"),
+        n.alias("n"), total.alias("total"), avg.alias("avg"),
         F.sum(F.when(x > 0, 1).otherwise(0)).alias("wins"),
     )
 

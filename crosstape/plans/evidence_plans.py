@@ -37,10 +37,15 @@ def breakout_edge_by_band(spark, sf):
     return net.groupBy("band").agg(*stats.population_bars("net_ret"))
 
 
+def by_symbol(spark, sf):
+    """Each symbol's trades, a day's at most one, added in the order of their days."""
+    return evidence.attribution(trades(spark, sf), "symbol", order=("day",))
+
+
 @query("per_symbol", "I1 K5", "symbol:s n:i total:f avg:f wins:i place:i",
        o.sql("trades", "select *, row_number() over (order by total desc, symbol) as place from (select symbol, count(ret) as n, sum(ret) as total, avg(ret) as avg, sum(cast(ret > 0 as int)) as wins from trades group by symbol)"))
 def per_symbol(spark, sf):
-    rows = evidence.attribution(trades(spark, sf), "symbol")
+    rows = by_symbol(spark, sf)
     return ranking.wide_ranked(rows, [], [F.col("total").desc(), F.col("symbol")], "place")
 
 
@@ -48,7 +53,7 @@ def per_symbol(spark, sf):
        o.sql("trades", """select 'top' as side, * from (select * from t order by total desc, symbol limit 5) union all select 'bottom', * from (select * from t order by total, symbol desc limit 5)""",
              "t as (select symbol, sum(ret) as total from trades group by symbol)"))
 def top_and_bottom(spark, sf):
-    t = trades(spark, sf).groupBy("symbol").agg(F.sum("ret").alias("total"))
+    t = by_symbol(spark, sf).select("symbol", "total")
     top = t.orderBy(F.col("total").desc(), "symbol").limit(5).withColumn("side", F.lit("top"))
     return top.unionByName(t.orderBy("total", F.col("symbol").desc()).limit(5).withColumn("side", F.lit("bottom")))
 
@@ -67,7 +72,7 @@ def per_band(spark, sf):
       from (select *, row_number() over (order by total desc, symbol) as k, count(*) over () as n from (select symbol, sum(ret) as total from trades group by symbol))"""),
 )
 def gain_concentration(spark, sf):
-    return evidence.concentration(evidence.attribution(trades(spark, sf), "symbol"))
+    return evidence.concentration(by_symbol(spark, sf))
 
 
 @query("overall_error_bars", "I4 I5", "n:i mean:f se:f lo:f hi:f t:f significant:b needed:i",

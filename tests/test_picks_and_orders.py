@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from crosstape.operators import outcomes
+from crosstape.operators import evidence, outcomes
 from crosstape.plans import REGISTRY, common, evidence_plans
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +38,28 @@ def test_picks_are_labelled_as_all_bars(spark):
     want = outcomes.barrier(picks.join(paths, ["symbol", "day"])).select(keep)
     got = evidence_plans._label_picks(spark, SF, picks).select(keep)
     assert got.count() > 150 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+@pytest.fixture
+def twins(spark, monkeypatch):
+    """Forty symbols with the same trades, whose rows arrive in any order."""
+    returns = [-10.0, 20.0, 0.1, 3.3, -7.7, 1e-3, 11.1, -0.7, 2.2, 19.9, -9.3, 5.6]
+    rows = [(f"S{k:02d}", i, r) for k in range(40) for i, r in enumerate(returns)]
+    day = F.expr("date_add(date '2020-01-01', i)")
+    dealt = spark.createDataFrame(rows, "symbol string, i int, ret double").withColumn("day", day).repartition(13, F.rand(3)).localCheckpoint()
+    monkeypatch.setattr(evidence_plans, "trades", lambda *_: dealt)
+    return [f"S{k:02d}" for k in range(40)]
+
+
+def test_symbols_with_the_same_trades_stand_in_their_own_order(spark, twins):
+    got = REGISTRY["per_symbol"].run(spark, SF).orderBy("place").collect()
+    assert [r.symbol for r in got] == twins and {(r.n, r.wins) for r in got} == {(12, 8)}
+    sides = REGISTRY["top_and_bottom"].run(spark, SF).collect()
+    assert [r.symbol for r in sides] == [*twins[:5], *twins[:-6:-1]]
+
+
+def test_ordered_sums_skip_unknown_returns(spark):
+    rows = [("A", 1, 1.5), ("A", 2, None), ("A", 3, -0.5), ("B", 1, None), (None, 1, 2.0)]
+    df = spark.createDataFrame(rows, "symbol string, day int, ret double")
+    kinds = [evidence.attribution(df, "symbol", order=order).select("symbol", "n", "total", "avg", "wins") for order in ((), ("day",))]
+    assert sorted(map(str, kinds[0].collect())) == sorted(map(str, kinds[1].collect()))
