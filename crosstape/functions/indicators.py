@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import fixed_frames
+from . import fixed_frames, walks
 from .frames import full, lag, let, series, trailing
 
 RS_LOOKBACKS = (20, 60, 125, 250)
-# Bars per block of the recurrence scan. 64 keeps (1-a)**-64 far from overflow
-# for every smoothing constant used here and keeps block lists short.
-SCAN_BLOCK = 64
 
 
 def sma(name: str, n: int) -> Column:
@@ -99,52 +96,46 @@ def daily_vol_pct(ret: str = "ret1") -> Column:
     return F.when(F.count(ret).over(w) >= 5, F.stddev_pop(ret).over(w) * 100)
 
 
-def smooth(df: DataFrame, value: Column, seed: Column, seed_ix: int, alpha: float, out: str) -> DataFrame:
-    """y[i] = (1-alpha) y[i-1] + alpha value[i], with y[seed_ix] = seed; NULL before.
+def with_means(
+    df: DataFrame, ema: dict[str, tuple[str, int]] | None = None, atr: dict[str, int] | None = None, rsi: dict[str, int] | None = None
+) -> DataFrame:
+    """Smoothed columns by name, all in one pass: exponential means of (column, bars), Wilder means of the range, RSI.
 
-    A linear recurrence as a two-level scan, all in window functions on the
-    symbol partitioning: inside a block of SCAN_BLOCK bars the recurrence is a
-    running sum of rescaled terms; the carry into a block folds the (few) block
-    totals before it. No Python, no per-symbol array of all bars.
+    y[i] = (1-alpha) y[i-1] + alpha value[i] from the seed on, NULL before. An exponential mean is seeded with the plain
+    mean of the first n bars, a Wilder mean at bar n from the n values after bar 0. A symbol's bars are walked in their order.
     """
-    keep = 1.0 - alpha
-    pos = F.col("ix") - F.lit(seed_ix)
-    work = (
-        df.withColumn("_u", F.when(pos == 0, seed).when(pos > 0, F.lit(alpha) * value))
-        .withColumn("_b", F.when(pos >= 0, F.floor(pos / SCAN_BLOCK)).otherwise(F.lit(-1)))
-        .withColumn("_r", F.when(pos >= 0, (pos % SCAN_BLOCK).cast("int")))
-    )
-    block = Window.partitionBy("symbol", "_b").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    work = work.withColumn("_p", F.sum(F.col("_u") * F.pow(F.lit(keep), -F.col("_r"))).over(block) * F.pow(F.lit(keep), F.col("_r")))
-    before = series().rowsBetween(Window.unboundedPreceding, -1)
-    ends = F.collect_list(F.when(F.col("_r") == SCAN_BLOCK - 1, F.col("_p"))).over(before)
-    carry = F.aggregate(ends, F.lit(0.0), lambda acc, p: acc * (keep**SCAN_BLOCK) + p)
-    return work.withColumn(
-        out, F.when(pos >= 0, F.col("_p") + F.pow(F.lit(keep), F.col("_r") + 1) * carry)
-    ).drop("_u", "_b", "_r", "_p")
+    ema, atr, rsi = ema or {}, atr or {}, rsi or {}
+    step = F.col("close") - lag("close", 1)
+    means = [(F.col(name), n, n - 1, 2.0 / (n + 1), out) for out, (name, n) in ema.items()]
+    means += [(true_range(), n, n, 1.0 / n, out) for out, n in atr.items()]
+    for out, n in rsi.items():
+        means += [(F.greatest(step, F.lit(0.0)), n, n, 1.0 / n, f"_up_{out}"), (F.greatest(-step, F.lit(0.0)), n, n, 1.0 / n, f"_dn_{out}")]
+    rows = df.withColumns({f"_x{k}": value.cast("double") for k, (value, *_) in enumerate(means)})
+    seed = lambda k, n, at: F.when(F.col("ix") == at, F.avg(f"_x{k}").over(trailing(-(n - 1))))
+    rows = rows.withColumns({f"_s{k}": seed(k, n, at) for k, (_, n, at, *_) in enumerate(means)})
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"`{out}` double" for *_, out in means])
+    walk = walks.walker([(f"_x{k}", f"_s{k}", at, alpha, out) for k, (_, _, at, alpha, out) in enumerate(means)])
+    # The windows of the seeds leave a symbol's bars in one partition, side by side and in the order of their days.
+    rows = rows.sortWithinPartitions("symbol", "day").mapInArrow(walk, schema).drop(*[f"_{c}{k}" for k in range(len(means)) for c in "xs"])
+    for out in rsi:
+        up, dn = F.col(f"_up_{out}"), F.col(f"_dn_{out}")
+        # With no loss since the start the ratio is undefined and the index is 100.
+        index = F.when(dn == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide(up, dn)))
+        rows = rows.withColumn(out, F.when(up.isNotNull(), index)).drop(f"_up_{out}", f"_dn_{out}")
+    return rows
 
 
 def with_ema(df: DataFrame, name: str, n: int, out: str) -> DataFrame:
     """Exponential mean seeded with the plain mean of the first n bars."""
-    return smooth(df, F.col(name), F.avg(name).over(trailing(-(n - 1))), n - 1, 2.0 / (n + 1), out)
-
-
-def with_wilder(df: DataFrame, name: str, n: int, out: str) -> DataFrame:
-    """Wilder mean: first value at bar n, from the n values after bar 0."""
-    return smooth(df, F.col(name), F.avg(name).over(trailing(-(n - 1))), n, 1.0 / n, out)
+    return with_means(df, ema={out: (name, n)})
 
 
 def with_atr(df: DataFrame, n: int = 14, out: str = "atr") -> DataFrame:
-    return with_wilder(df.withColumn("_tr", true_range()), "_tr", n, out).drop("_tr")
+    return with_means(df, atr={out: n})
 
 
 def with_rsi(df: DataFrame, n: int = 14, out: str = "rsi") -> DataFrame:
-    step = F.col("close") - lag("close", 1)
-    df = df.withColumn("_up", F.greatest(step, F.lit(0.0))).withColumn("_dn", F.greatest(-step, F.lit(0.0)))
-    df = with_wilder(with_wilder(df, "_up", n, "_au"), "_dn", n, "_ad")
-    # With no loss since the start the ratio is undefined and the index is 100.
-    rsi = F.when(F.col("_ad") == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide(F.col("_au"), F.col("_ad"))))
-    return df.withColumn(out, F.when(F.col("_au").isNotNull(), rsi)).drop("_up", "_dn", "_au", "_ad")
+    return with_means(df, rsi={out: n})
 
 
 def with_features(bars: DataFrame) -> DataFrame:

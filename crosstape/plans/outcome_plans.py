@@ -172,7 +172,7 @@ def structural_exits(spark, sf):
     # Paths stay in the symbol's partition: every bar ranks, but only labels of signals and their bands meet in the join.
     hit = F.col("trig") & ~F.col("locked")
     rows = corpus(spark, sf)
-    shaped = outcomes.with_structure(ind.with_atr(ind.with_ema(rows, "close", 20, "ema20"), 14, "atr"))
+    shaped = outcomes.with_structure(ind.with_means(rows, ema={"ema20": ("close", 20)}, atr={"atr": 14}))
     labelled = outcomes.structural_exit(outcomes.with_path(shaped, 31, ("shape_ok", "atr")).filter(hit))
     banded = ranking.size_bands(rows).filter(hit).select("symbol", "day", "band")
     return labelled.select("symbol", "day", "entry_day", "entry_px", "exit_day", "exit_px", "why", "ret").join(banded, ["symbol", "day"])

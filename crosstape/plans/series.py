@@ -162,7 +162,7 @@ def triggers_plain(spark, sf):
     ),
 )
 def triggers_smoothed(spark, sf):
-    rows = ind.with_rsi(ind.with_ema(bars(spark, sf), "close", 20, "ema20"), 14, "rsi14")
+    rows = ind.with_means(bars(spark, sf), ema={"ema20": ("close", 20)}, rsi={"rsi14": 14})
     return rows.select("symbol", "day", *[TRIGGERS[t]().alias(t) for t in ("not_overbought", "rsi_band", "pullback")])
 
 

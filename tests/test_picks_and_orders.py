@@ -1,8 +1,10 @@
 """Labels of picks move no bars, and sums that an order reads don't follow the shuffle."""
 
 import pytest
+import toys
 from pyspark.sql import functions as F
 
+from crosstape.functions import indicators as ind
 from crosstape.operators import evidence, outcomes
 from crosstape.plans import REGISTRY, common, evidence_plans
 
@@ -63,3 +65,35 @@ def test_ordered_sums_skip_unknown_returns(spark):
     df = spark.createDataFrame(rows, "symbol string, day int, ret double")
     kinds = [evidence.attribution(df, "symbol", order=order).select("symbol", "n", "total", "avg", "wins") for order in ((), ("day",))]
     assert sorted(map(str, kinds[0].collect())) == sorted(map(str, kinds[1].collect()))
+
+
+def walked(xs, n, at, alpha):
+    total, y, out = 0.0, None, []
+    for i, x in enumerate(xs):
+        if at - n < i <= at:
+            total += x
+        y = total / n if i == at else None if y is None else y * (1.0 - alpha) + x * alpha
+        out.append(y)
+    return out
+
+
+def test_means_are_walked_bar_by_bar(spark):
+    """To the last bit, over batches that cut symbols: a close that stays at its mean is decided by it."""
+    closes = {s: [100 + ((i * k) % 23) * 0.37 if i < 30 else 103.1 for i in range(n)] for s, k, n in (("A", 37, 200), ("B", 11, 7), ("C", 29, 90))}
+    b = toys.bars(spark, *[toys.series(s, xs) for s, xs in closes.items()]).repartition(3, F.rand(5))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        rows = ind.with_means(b, ema={"e": ("close", 20)}, rsi={"r": 14}).orderBy("symbol", "ix").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for symbol, xs in closes.items():
+        moves = [0.0] + [b - a for a, b in zip(xs, xs[1:])]
+        up, dn = (walked([max(s * m, 0.0) for m in moves], 14, 14, 1.0 / 14) for s in (1, -1))
+        assert [r.e for r in rows if r.symbol == symbol] == walked(xs, 20, 19, 2.0 / 21)
+        assert [r.r for r in rows if r.symbol == symbol] == [None if u is None else 100.0 if d == 0 else 100 - 100 / (1 + u / d) for u, d in zip(up, dn)]
+
+
+def test_a_mean_stays_unknown_after_an_unknown_close(spark):
+    b = toys.bars(spark, toys.series("A", range(1, 10)), toys.series("B", range(1, 10))).withColumn("close", F.when((F.col("symbol") == "B") | (F.col("ix") != 5), F.col("close")))
+    rows = ind.with_ema(b, "close", 3, "e").orderBy("symbol", "ix").collect()
+    assert [r.e is None for r in rows] == [True] * 2 + [False] * 3 + [True] * 4 + [True] * 2 + [False] * 7
